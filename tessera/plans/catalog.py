@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = (
     "tessera.plans.analysis_queries",
+    "tessera.plans.error_queries",
 )
 
 
