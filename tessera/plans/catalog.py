@@ -7,6 +7,7 @@ import importlib
 _MODULES = (
     "tessera.plans.analysis_queries",
     "tessera.plans.error_queries",
+    "tessera.plans.corpus_queries",
 )
 
 
