@@ -8,6 +8,7 @@ _MODULES = (
     "tessera.plans.analysis_queries",
     "tessera.plans.error_queries",
     "tessera.plans.corpus_queries",
+    "tessera.plans.vector_queries",
 )
 
 
