@@ -9,6 +9,7 @@ _MODULES = (
     "tessera.plans.error_queries",
     "tessera.plans.corpus_queries",
     "tessera.plans.vector_queries",
+    "tessera.plans.web_queries",
 )
 
 
