@@ -10,6 +10,7 @@ _MODULES = (
     "tessera.plans.corpus_queries",
     "tessera.plans.vector_queries",
     "tessera.plans.web_queries",
+    "tessera.plans.extra_queries",
 )
 
 
