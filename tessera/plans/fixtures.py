@@ -60,7 +60,9 @@ def logits_table(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logits plus p_hs, confidence, predicted, correct."""
-    docs = read_table(spark, sf_dir, "documents")
+    # Only ids (and text for a few example reports) are read from
+    # documents; no per-row heavy work, so the scan is not spread.
+    docs = read_table(spark, sf_dir, "documents", spread_rows=False)
     labels = read_table(spark, sf_dir, "labels")
     return with_scores(logits_table(docs, labels))
 

@@ -13,10 +13,33 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Tables whose rows carry long text or vectors: per-row work dominates.
+HEAVY_TABLES = ("documents", "pages", "conversations", "benchmark", "embeddings")
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool | None = None) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread_rows is None:
+        spread_rows = name in HEAVY_TABLES
+    return spread(df) if spread_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than cores.
+
+    A Parquet file is split by row group; a file with a single row group
+    is read by a single task however many splits are planned, and every
+    per-row regex / tokenizer / matmul after it would run on one core.  On
+    a cluster-sized input the scan already has far more partitions than
+    cores and this is a no-op.  Filters and column pruning still reach the
+    scan (Catalyst pushes them through a round-robin repartition).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def read_csv(spark: SparkSession, path: str, schema, columns=None) -> DataFrame:
