@@ -91,7 +91,12 @@ def q_cal_table(spark, sf_dir):
 
 
 # --- DOM18 on calibrated confidence ---------------------------------------------
-@register("dom18_selective_sweep_calibrated")
+def _cal_sweep_sql():
+    from tessera.plans.analysis_queries import _sweep_select, _sweep_sql
+    return with_scored(_CAL_CTE + "," + _sweep_sql("confidence_cal", "cal2")) + _sweep_select()
+
+
+@register("dom18_selective_sweep_calibrated", _cal_sweep_sql())
 def q_sweep_cal(spark, sf_dir):
     c = _calibrated(spark, sf_dir)
     return M.selective_sweep(c, conf="confidence_cal")
