@@ -52,11 +52,14 @@ def hashed_embeddings(df: DataFrame, id_col: str, text_col: str = "text", dim: i
     toks = df.select(F.col(id_col).alias("_id"),
                      F.explode_outer(tokens(F.lower(F.col(text_col)))).alias("_t"))
     bucket = (F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    counts = toks.groupBy("_id", bucket.alias("_b")).agg(F.count("_t").alias("_n"))
-    per_id = counts.groupBy("_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("_b", "_n"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("double"))
+    # One aggregation keyed by id with a counter per bucket: the bucket is
+    # computed in the projection, the counters are partial-aggregated
+    # map-side (a huge text split over partitions is combined there), and a
+    # single shuffle carries one row of ``dim`` counts per id and partition.
+    # A text with no token keeps one row with a NULL bucket -> zero vector.
+    b = toks.select("_id", bucket.alias("_b"))
+    per_id = b.groupBy("_id").agg(*[F.count_if(F.col("_b") == i).alias(f"_c{i}") for i in range(dim)])
+    dense = F.array(*[F.col(f"_c{i}").cast("double") for i in range(dim)])
     return per_id.select(F.col("_id").alias(out_id), l2_normalize(dense).alias("embedding"))
 
 
@@ -86,22 +89,24 @@ def _query_batches(queries: DataFrame, max_bytes: int):
     """Collect the query side in batches of bounded size (the check that
     guards the broadcast).  Yields (ids, self_ids, matrix)."""
     q = queries.select("query_id", F.coalesce(F.col("self_id"), F.lit(NO_SELF)).alias("self_id"),
-                       "embedding")
-    n = q.count()
-    if n == 0:
-        return
-    first = q.select(F.size("embedding").alias("d")).first()
-    dim = max(int(first["d"] or 1), 1)
-    per_batch = max(1, max_bytes // (dim * 8 + 16))
-    n_batches = (n + per_batch - 1) // per_batch
-    keyed = q.withColumn("_b", (F.xxhash64("query_id") % n_batches + n_batches) % n_batches) \
-        if n_batches > 1 else q.withColumn("_b", F.lit(0))
-    for b in range(n_batches):
-        pdf = keyed.where(F.col("_b") == b).drop("_b").toPandas()
-        if len(pdf) == 0:
-            continue
-        mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
-        yield (pdf["query_id"].to_numpy(np.int64), pdf["self_id"].to_numpy(np.int64), mat)
+                       "embedding").persist()
+    try:
+        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+        n, dim = int(stats["n"]), max(int(stats["d"] or 1), 1)
+        if n == 0:
+            return
+        per_batch = max(1, max_bytes // (dim * 8 + 16))
+        n_batches = (n + per_batch - 1) // per_batch
+        keyed = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_batches))) \
+            if n_batches > 1 else q.withColumn("_b", F.lit(0))
+        for b in range(n_batches):
+            pdf = keyed.where(F.col("_b") == b).drop("_b").toPandas()
+            if len(pdf) == 0:
+                continue
+            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
+            yield (pdf["query_id"].to_numpy(np.int64), pdf["self_id"].to_numpy(np.int64), mat)
+    finally:
+        q.unpersist()
 
 
 def _local_hits(corpus: DataFrame, qids, qself, qmat, k: int | None, threshold: float | None,
