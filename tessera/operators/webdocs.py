@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import web as W
-from tessera.functions.text import collapse_ws, strip, tokens
+from tessera.functions.text import strip, tokens
 from tessera.operators.corpus import keep_first
 from tessera.operators.prefix import contiguous_ids
+from tessera.session import materialize
 
 WINDOW_MAX_TOKENS = 50
 WINDOW_STRIDE = 25
@@ -60,6 +61,12 @@ def page_records(pages: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
                     F.length("md").alias("markdown_length"))
 
 
+def parsed_records(pages: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
+    """Successfully parsed records, checkpointed: name and body feed several
+    expressions downstream and must not be re-parsed for each of them."""
+    return materialize(page_records(pages, label)).where(F.col("skip_reason") == "parsed_successfully")
+
+
 def skip_counts(records: DataFrame) -> DataFrame:
     """AGG17: pages per skip reason."""
     return records.groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"))
@@ -119,33 +126,34 @@ def token_windows(records: DataFrame, max_tok: int = WINDOW_MAX_TOKENS, stride:
     """DOM1: '[label] name: body' as one chunk when it has <= max_tok tokens,
     else overlapping windows of the body behind the prefix: budget =
     max_tok - |prefix| - margin, starts 0, stride, ... until a window
-    reaches the end; budget <= 0 gives one hard cut of prefix + body."""
-    r = records.select("*", collapse_ws(F.concat(F.lit("["), F.col("label"), F.lit("] "), F.col("name"),
-                                                 F.lit(": "), F.col("body"))).alias("_full"))
+    reaches the end; budget <= 0 gives one hard cut of prefix + body.
+
+    Whitespace collapsing equals joining the whitespace tokens, so every
+    text is built from the prefix and body token arrays (tokenised once)
+    with array slices -- no regex runs per window.
+    """
     prefix = F.concat(F.lit("["), F.col("label"), F.lit("] "), F.col("name"), F.lit(": "))
-    r = (r.withColumn("original_token_length", F.size(tokens("_full")))
-          .withColumn("_pt", tokens(prefix)).withColumn("_bt", tokens("body"))
-          .withColumn("_budget", F.lit(max_tok) - F.size("_pt") - F.lit(margin))
-          .withColumn("_prefix", prefix))
-    n = F.size("_bt")
-    k = window_count(n, F.col("_budget"), stride)
-    single = F.array(F.col("_full"))
-    hard = F.array(F.array_join(F.slice(F.concat("_pt", "_bt"), 1, max_tok), " "))
+    r = records.withColumn("_pt", tokens(prefix)).withColumn("_bt", tokens("body"))
+    r = (r.withColumn("original_token_length", F.size("_pt") + F.size("_bt"))
+          .withColumn("_budget", F.lit(max_tok) - F.size("_pt") - F.lit(margin)))
+    k = window_count(F.size("_bt"), F.col("_budget"), stride)
+    both = F.concat("_pt", "_bt")
+    single = F.array(F.array_join(both, " "))
+    hard = F.array(F.array_join(F.slice(both, 1, max_tok), " "))
     wins = F.when(k <= 0, F.array().cast("array<string>")).otherwise(F.transform(
         F.sequence(F.lit(0), k - 1),
-        lambda i: collapse_ws(F.concat(F.col("_prefix"),
-                                       F.array_join(F.slice("_bt", i * stride + 1, F.col("_budget")), " ")))))
+        lambda i: F.array_join(F.slice(F.concat(F.col("_pt"), F.slice("_bt", i * stride + 1, F.col("_budget"))),
+                                       1, max_tok), " ")))
     texts = (F.when(F.col("original_token_length") <= max_tok, single)
              .when(F.col("_budget") <= 0, hard).otherwise(wins))
-    capped = F.transform(texts, lambda t: F.array_join(F.slice(tokens(t), 1, max_tok), " "))
-    out = r.select("*", F.posexplode(capped).alias("window", "text"))
-    return out.drop("_full", "_pt", "_bt", "_budget", "_prefix")
+    out = r.select("*", F.posexplode(texts).alias("window", "text"))
+    return out.drop("_pt", "_bt", "_budget")
 
 
 def glossary_chunks(pages: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
     """DOM33: parsed pages -> token windows -> contiguous chunk ids ->
     token length.  Columns follow the study's full provenance layout."""
-    rec = page_records(pages, label).where(F.col("skip_reason") == "parsed_successfully")
+    rec = parsed_records(pages, label)
     win = token_windows(rec)
     ids = contiguous_ids(win, [F.col("page_id"), F.col("window")], "chunk_id")
     return ids.select("chunk_id", "text", "source", "label", "url", F.col("name").alias("symbol_name"),

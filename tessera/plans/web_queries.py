@@ -151,7 +151,7 @@ chunks_g AS (SELECT row_number() OVER (ORDER BY page_id, "window") - 1 AS chunk_
 @register("dom1_token_windows", WINDOWS_CTE + """
 SELECT page_id, "window", text, original_token_length FROM w5""")
 def q_windows(spark, sf_dir):
-    rec = WD.page_records(_pages(spark, sf_dir)).where(F.col("skip_reason") == "parsed_successfully")
+    rec = WD.parsed_records(_pages(spark, sf_dir))
     return WD.token_windows(rec).select("page_id", "window", "text", "original_token_length")
 
 
