@@ -39,3 +39,41 @@ def test_ml_scoring_grid(spark):
     assert bad == 0
     summary = M.performance_summary(s).collect()
     assert len(summary) > 0
+
+
+def test_small_library_functions(spark):
+    import numpy as np
+    import pytest
+    from tessera.functions import text as TX
+    from tessera.operators import lexicon as LX
+    from tessera.operators import vectors as V
+    from tessera.operators.classify import compute_metric, register_metric
+    from tessera.sources import sinks as SK
+
+    df = spark.createDataFrame([("  Hello World! Nice  ", "1.5"), ("-- A_b c --", "x")], "t string, n string")
+    r = df.select(TX.slugify("t").alias("s"), TX.lenient_double("n").alias("d")).collect()
+    assert [x["s"] for x in r] == ["hello-world-nice", "ab-c"] and r[0]["d"] == 1.5 and r[1]["d"] is None
+
+    rows = spark.createDataFrame([("c1", "t1", 0, 1), ("c1", "t2", 0, 2), ("c1", "t1", 1, 0), ("c2", "t3", 0, 5)],
+                                 "target_category string, term string, filter_order int, row_pos int")
+    ft = {r["target_category"]: r["first_terms"] for r in LX.first_terms(rows, n=15).collect()}
+    assert ft == {"c1": ["t1", "t2"], "c2": ["t3"]}
+
+    texts = spark.createDataFrame([(1, "a b"), (2, "")], "chunk_id long, text string")
+    enc = V.encode_with(texts, "text", lambda ts: np.array([[len(t), 0.0] for t in ts]))
+    got = {r["chunk_id"]: r["embedding"] for r in enc.collect()}
+    assert got[1] == [1.0, 0.0] and got[2] == [0.0, 0.0]
+
+    register_metric("n_rows", lambda s: s.agg(F.count(F.lit(1)).alias("n")))
+    assert compute_metric("n_rows", texts).first()["n"] == 2
+
+    with pytest.raises(ValueError):
+        V.id_offset(spark.createDataFrame([(100000, "x")], "chunk_id long, text string"), 0, check_below=100000)
+
+    d = tempfile.mkdtemp(prefix="tessera-sinks-")
+    SK.write_chunks(texts, os.path.join(d, "chunks"))
+    SK.write_lookup(texts, os.path.join(d, "lookup"))
+    vec = spark.createDataFrame([("m", "v", "s", 1, [1.0])], "model string, variant string, source string, chunk_id long, embedding array<double>")
+    SK.write_vectors(vec, os.path.join(d, "vectors"))
+    assert spark.read.parquet(os.path.join(d, "chunks")).count() == 2
+    assert spark.read.parquet(os.path.join(d, "vectors")).where("model = 'm' AND variant = 'v'").count() == 1
