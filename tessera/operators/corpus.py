@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dedup_norm, word_count
-from tessera.operators.prefix import contiguous_ids, exact_quantiles
+from tessera.operators.prefix import contiguous_ids
 
 # Corpora in priority order, carved out of documents.source
 # by numeric suffix (src0-6, src7-13, src14-19).
@@ -192,18 +192,22 @@ def dedup_report(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- profiles
 
 def length_profile(df: DataFrame, col: str, limit: int, group: Sequence[str] = ()) -> DataFrame:
-    """AGG6: mean, median, p95 (linear), max and count over ``limit``."""
-    g = list(group) or []
-    key = g if g else ["_all"]
-    d = df if g else df.withColumn("_all", F.lit(0))
-    base = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean"),
-                               F.max(col).alias("max"), F.count_if(F.col(col) > limit).alias("n_over_limit"))
-    q = exact_quantiles(d.select(*key, F.col(col).cast("double").alias("_v")), key, "_v",
-                        [0.5, 0.95], ["median", "p95"])
-    out = base.join(q, key)
-    cols = [*g, "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"),
-            F.round("p95", 6).alias("p95"), "max", "n_over_limit"]
-    return out.select(*cols)
+    """AGG6: mean, median, p95 (linear), max and count over ``limit``.
+
+    Lengths are small integers: Spark's exact ``percentile`` keeps a
+    value -> count map whose size is bounded by the longest text, merged
+    map-side, so one aggregation suffices (continuous values use
+    ``prefix.exact_quantiles`` instead).
+    """
+    g = list(group)
+    v = F.col(col)
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"),
+            F.percentile(v.cast("double"), F.lit(0.5)).alias("median"),
+            F.percentile(v.cast("double"), F.lit(0.95)).alias("p95"),
+            F.max(v).alias("max"), F.count_if(v > limit).alias("n_over_limit")]
+    out = df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs)
+    return out.select(*g, "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"),
+                      F.round("p95", 6).alias("p95"), "max", "n_over_limit")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
