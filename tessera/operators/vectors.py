@@ -49,9 +49,13 @@ def hashed_embeddings(df: DataFrame, id_col: str, text_col: str = "text", dim: i
     dense vector.  Ids whose text has no token get the zero vector.
     """
     out_id = out_id or id_col
+    # Tokens are lower-cased one by one: Spark's lower() takes a slow path
+    # for a whole string as soon as it holds one non-ASCII character, while
+    # most single tokens are ASCII.  Case mapping never creates or removes
+    # whitespace, so this equals tokenising the lower-cased text.
     toks = df.select(F.col(id_col).alias("_id"),
-                     F.explode_outer(tokens(F.lower(F.col(text_col)))).alias("_t"))
-    bucket = (F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+                     F.explode_outer(tokens(F.col(text_col))).alias("_t"))
+    bucket = (F.conv(F.substring(F.md5(F.lower("_t")), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
     # One aggregation keyed by id with a counter per bucket: the bucket is
     # computed in the projection, the counters are partial-aggregated
     # map-side (a huge text split over partitions is combined there), and a
