@@ -64,7 +64,7 @@ records AS (
               WHEN lower({sql_strip('name')}) IN ({_BAD}) THEN 'index_or_listing_page'
               WHEN length(body) < 50 THEN 'body_too_short_after_cleaning'
               ELSE 'parsed_successfully' END AS skip_reason,
-         length(md) AS markdown_length
+         CAST(length(md) AS INTEGER) AS markdown_length
   FROM p5)"""
 
 _SKIP = " AND ".join(f"NOT regexp_matches(link, {_q(p)})" for p in WD.SKIP_PATTERNS)
@@ -101,7 +101,7 @@ def q_links(spark, sf_dir):
 
 @register("dom35_link_harvest_log", LINKS_CTE + f""",
 lc AS (SELECT page_id, count(*) AS links_found FROM links GROUP BY page_id)
-SELECT p.page_id, {W.sql_canonical_url('p.url')} AS page_url, length({W.sql_html_to_markdown('p.html')}) AS markdown_length,
+SELECT p.page_id, {W.sql_canonical_url('p.url')} AS page_url, CAST(length({W.sql_html_to_markdown('p.html')}) AS INTEGER) AS markdown_length,
        coalesce(lc.links_found, 0) AS links_found,
        CASE WHEN coalesce(lc.links_found, 0) > 0 THEN 'ok' ELSE 'no_links' END AS status
 FROM pages p LEFT JOIN lc USING (page_id)""")
