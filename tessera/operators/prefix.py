@@ -23,12 +23,6 @@ def _order(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence, values: Sequence[str],
                 prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` per ``group`` in ``order``.
@@ -40,10 +34,12 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence, values: Se
     group = list(group)
     order_cols = [_order(c) for c in order]
     ensure_checkpoint_dir(df.sparkSession)
-    n = _partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *[F.col(g) for g in group], *order_cols)
-                .withColumn("_p", F.spark_partition_id())
-                .checkpoint(eager=True))
+    keys = [*[F.col(g) for g in group], *order_cols]
+    # Without an explicit count the range exchange keeps AQE's coalescing
+    # (contiguous ranges merge, so partition order still follows the key
+    # order); the partition index is materialised by the checkpoint.
+    by_range = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ranged = by_range.withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
     slice_w = (Window.partitionBy(*group, "_p").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.select("*", *[F.sum(v).over(slice_w).alias(f"_l_{v}") for v in values])
