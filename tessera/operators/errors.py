@@ -112,16 +112,15 @@ def _model_index(models: Sequence[str]) -> Column:
 
 def per_example(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
     """One row per (dataset, ex_id) with bitmasks of wrong / positive
-    predictions over ``models`` and the mean confidence."""
+    predictions over ``models`` and the mean confidence (no text: it would
+    ride through the shuffle for every example)."""
     bit = F.expr("shiftleft(1, _idx)")
     return df.withColumn("_idx", _model_index(models).cast("int")).where(F.col("_idx") >= 0) \
         .groupBy("dataset", "ex_id").agg(
         F.count(F.lit(1)).alias("n_models"),
         F.sum(F.when(~F.col("correct"), bit).otherwise(0)).alias("err_mask"),
         F.sum(F.when(F.col("predicted") == 1, bit).otherwise(0)).alias("pos_mask"),
-        F.avg("confidence").alias("avg_conf"),
-        F.first("label").alias("label"), F.first("text").alias("text"),
-        F.first("orig_class").alias("orig_class"))
+        F.avg("confidence").alias("avg_conf"))
 
 
 def consensus_failures(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
@@ -138,11 +137,14 @@ def consensus_failures(df: DataFrame, models: Sequence[str] = MODELS) -> DataFra
 
 def consensus_examples(df: DataFrame, models: Sequence[str] = MODELS, n: int = TOP_N) -> DataFrame:
     """DOM26 examples: top ``n`` consensus failures per dataset by mean
-    confidence, with each model's (wrong) prediction."""
+    confidence, with each model's (wrong) prediction.  Ranking runs on the
+    text-free masks; text, label and class are joined for the top rows only."""
     full = (1 << len(models)) - 1
     ex = per_example(df, models).where(F.col("err_mask") == full)
     w = Window.partitionBy("dataset").orderBy(F.col("avg_conf").desc(), F.col("ex_id"))
     top = ex.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    info = df.where(F.col("model") == models[0]).select("dataset", "ex_id", "text", "label", "orig_class")
+    top = top.join(info, ["dataset", "ex_id"])
     preds = [label_name(F.when(F.col("pos_mask").bitwiseAND(1 << i) != 0, 1).otherwise(0)).alias(m)
              for i, m in enumerate(models)]
     return top.select("dataset", "rank", "ex_id", first_chars("text", TEXT_CHARS).alias("text"),
