@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.scoring import calibrated_p, confidence, log_odds
 from tessera.operators.metrics import GROUP, ece
+from tessera.session import BROADCAST_MAX_ROWS, bounded_broadcast
 
 P_CLIP = 1e-12
 T_BOUNDS = (0.5, 20.0)
@@ -56,7 +57,8 @@ def fit_temperature(df: DataFrame, group: Sequence[str] = GROUP, z: str = "log_o
     for _ in range(passes):
         # One row per group; its size is the number of groups, known here.
         brackets = spark.createDataFrame([(*k, lo, hi) for k, (lo, hi) in br.items()], schema)
-        j = compact.join(F.broadcast(brackets), group)
+        # its row count is known on the driver: broadcast within the cap
+        j = compact.join(F.broadcast(brackets) if len(br) <= BROADCAST_MAX_ROWS else brackets, group)
         cand = j.select(*group, "_z", "_y", "_c", "_lo", "_hi",
                         F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("_i"))
         u = F.col("_lo") + (F.col("_hi") - F.col("_lo")) / F.lit(float(n_grid - 1)) * F.col("_i").cast("double")
@@ -84,7 +86,7 @@ def fit_temperature(df: DataFrame, group: Sequence[str] = GROUP, z: str = "log_o
 def nll_at(df: DataFrame, temps: DataFrame, group: Sequence[str] = GROUP,
            label: str = "label") -> DataFrame:
     """Mean clipped NLL at given temperatures (for checking a fit)."""
-    j = df.join(F.broadcast(temps.select(*group, "T")), list(group))
+    j = df.join(bounded_broadcast(temps.select(*group, "T")), list(group))
     p = calibrated_p(log_odds(), F.col("T"))
     pc = F.when(F.col(label) == 1, p).otherwise(F.lit(1.0) - p)
     return j.groupBy(*group).agg(
@@ -93,8 +95,8 @@ def nll_at(df: DataFrame, temps: DataFrame, group: Sequence[str] = GROUP,
 
 def apply_temperature(df: DataFrame, temps: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """DOM15: add log_odds, T, p_hs_cal, confidence_cal.  ``temps`` holds one
-    row per group (a bounded table), so it is broadcast."""
-    j = df.join(F.broadcast(temps.select(*group, "T")), list(group))
+    row per group; it is broadcast after a size check."""
+    j = df.join(bounded_broadcast(temps.select(*group, "T")), list(group))
     return (j.withColumn("log_odds", log_odds())
              .withColumn("p_hs_cal", calibrated_p("log_odds", "T"))
              .withColumn("confidence_cal", confidence("p_hs_cal")))

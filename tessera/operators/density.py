@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import hard_token_cap
 from tessera.operators.prefix import exact_quantiles
+from tessera.session import bounded_broadcast
 
 GRID = 100
 CUT = 2.0
@@ -36,8 +37,8 @@ def kde(df: DataFrame, group: Sequence[str], value: str, gridsize: int = GRID, c
         .withColumn("_bw", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd")) \
         .withColumn("_lo", F.col("_mn") - F.lit(cut) * F.col("_bw")) \
         .withColumn("_step", (F.col("_mx") - F.col("_mn") + F.lit(2 * cut) * F.col("_bw")) / F.lit(gridsize - 1))
-    # one row per group: bounded broadcast
-    j = df.select(*group, v.alias("_v")).join(F.broadcast(stats), group)
+    # one row per group; broadcast after a size check
+    j = df.select(*group, v.alias("_v")).join(bounded_broadcast(stats), group)
     g = j.select(*group, "_n", "_bw", "_lo", "_step", "_v",
                  F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
     x = F.col("_lo") + F.col("i").cast("double") * F.col("_step")

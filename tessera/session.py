@@ -70,3 +70,14 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only after checking its size: one small count job;
+    beyond ``max_rows`` the caller's join stays a shuffle join."""
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
