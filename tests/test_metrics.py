@@ -139,3 +139,17 @@ def test_box_summary_keeps_empty_quadrants(spark):
     b = {r["quadrant"]: r for r in M.box_summary(_scored(spark, rows)).collect()}
     assert set(b) == {"TN", "FP", "TP", "FN"}
     assert b["TP"]["n"] == 5 and b["FN"]["n"] == 0 and b["FN"]["median"] is None
+
+
+def test_coverage_monotone_and_partition_independent(spark):
+    from tessera.plans.fixtures import scored
+    from .conftest import SF001
+    s = scored(spark, SF001)
+    sw = M.selective_sweep(s).orderBy("model", "dataset", "step").collect()
+    by = {}
+    for r in sw:
+        by.setdefault((r["model"], r["dataset"]), []).append(r["coverage"])
+    assert all(all(a >= b for a, b in zip(c, c[1:])) for c in by.values())
+    one = sorted(tuple(r) for r in M.performance_summary(s.repartition(1)).collect())
+    many = sorted(tuple(r) for r in M.performance_summary(s.repartition(7)).collect())
+    assert one == many
