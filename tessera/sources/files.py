@@ -102,3 +102,14 @@ def listing_frontier(config: DataFrame) -> DataFrame:
     url = W.page_url("base_url", "pagination", "page_num")
     return ex.select("source", "page_num", url.alias("page_url"),
                      F.when(url.isNull(), F.lit("unknown_pagination")).alias("error"))
+
+
+def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
+    """SRC2 writer: a labelled corpus partitioned by its split column."""
+    df.write.mode(mode).partitionBy(split_col).parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, split: str, split_col: str = "split") -> DataFrame:
+    """SRC2: one split of a multi-split dataset; the filter on the partition
+    column prunes directories (PartitionFilters), other splits are never read."""
+    return spark.read.parquet(path).where(F.col(split_col) == split)

@@ -171,3 +171,16 @@ def test_file_sources_and_sinks(spark):
     meta = spark.createDataFrame([("a", "hate"), ("b", "noHate")], "file_id string, label string")
     lab = FS.labelled_text_dir(spark, os.path.join(d, "*.txt"), meta, keep_labels=["hate", "noHate"]).collect()
     assert [r["file_id"] for r in lab] == ["a", "b"]
+
+
+def test_split_partition_pruning(spark):
+    from tessera.operators.corpus import labelled_corpus
+    from tessera.sources.tables import read_table
+    from .conftest import SF001
+    lab = labelled_corpus(read_table(spark, SF001, "documents"), read_table(spark, SF001, "labels"))
+    d = tempfile.mkdtemp(prefix="tessera-splits-")
+    FS.write_splits(lab.select("ex_id", "text", "label", "split"), d)
+    test = FS.read_split(spark, d, "test")
+    plan = test._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan
+    assert test.count() == lab.where("split = 'test'").count()
