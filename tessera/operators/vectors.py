@@ -215,4 +215,3 @@ def id_offset(df: DataFrame, offset: int, col: str = "chunk_id", check_below: in
     return df.withColumn(col, F.col(col) + F.lit(offset))
 
 
-VECTOR_TYPE = T.ArrayType(T.DoubleType())

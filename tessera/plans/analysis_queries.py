@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
 from tessera.plans.fixtures import scored
-from tessera.plans.sql import (CONFUSION_SQL, dbl, ece_bin_sql, handoff_values, macro_sql,
+from tessera.plans.sql import (CONFUSION_SQL, ece_bin_sql, handoff_values, macro_sql,
                                reliability_bin_sql, sweep_bucket_sql, sweep_values, with_scored)
 
 G = ["model", "dataset"]

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import web as W
-from tessera.functions.text import TOKEN, WS, sql_collapse_ws, sql_strip
+from tessera.functions.text import TOKEN, sql_collapse_ws, sql_strip
 from tessera.operators import webdocs as WD
 from tessera.plans.corpus_queries import CHUNKS_CTE, _labelled
 from tessera.sources.tables import read_table

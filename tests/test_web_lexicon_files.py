@@ -5,7 +5,6 @@ import json
 import os
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import web as W
