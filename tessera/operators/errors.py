@@ -17,7 +17,6 @@ from tessera.functions.scoring import label_name
 from tessera.functions.text import first_chars, word_count
 from tessera.operators.metrics import GROUP, best_model_of, confusion_aggs, ece, macro_columns
 from tessera.plans.fixtures import MODELS
-from tessera.session import bounded_broadcast
 
 TOP_N = 8
 TEXT_CHARS = 110
@@ -49,8 +48,9 @@ def _category_masks(class_dataset: str, short_dataset: str) -> dict[int, Column]
 
 def _best_rows(df: DataFrame) -> DataFrame:
     best = best_model_of(df).select("dataset", "model")
-    # one row per dataset; broadcast after a size check
-    return df.join(bounded_broadcast(best), ["dataset", "model"])
+    # One row per dataset, produced by an aggregation: AQE sees its real
+    # size when that stage completes and broadcasts it then (no extra scan).
+    return df.join(best, ["dataset", "model"])
 
 
 def categorised(df: DataFrame, class_dataset: str = "d0", short_dataset: str = "d1") -> DataFrame:

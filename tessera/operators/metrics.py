@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import exact_quantiles, prefix_sums
-from tessera.session import bounded_broadcast
 
 GROUP = ("model", "dataset")
 
@@ -372,8 +371,8 @@ def handoff_composition(df: DataFrame, conf="confidence", label="label",
     """DOM23: among rows the best model (per dataset) routes at t: n, % HS,
     % non-HS; both shares 0 when nothing is routed."""
     best = best_model_of(df).select("dataset", "model")
-    # one row per dataset; broadcast after a size check
-    rows = df.join(bounded_broadcast(best), ["dataset", "model"])
+    # one row per dataset from an aggregation: AQE broadcasts it at runtime
+    rows = df.join(best, ["dataset", "model"])
     cf, y = _c(conf), _c(label)
     agg = rows.groupBy("dataset", "model").agg(*[
         F.struct(F.lit(t).alias("threshold"),
