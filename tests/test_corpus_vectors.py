@@ -149,3 +149,36 @@ def test_temperature_fit_is_optimal_and_keeps_argmax(spark):
     assert nll(t) <= grid + 1e-6
     cal = C.apply_temperature(df, fit)
     assert cal.where((F.col("p_hs_cal") > 0.5).cast("int") != F.col("predicted")).count() == 0
+
+
+def test_edge_rules_remaining(spark):
+    from tessera.operators import metrics as M
+    from tessera.operators import webdocs as WD
+    # empty routed set -> shares 0 and 0 (all rows very confident)
+    rows = [("m0", "d0", i, i % 2, -5.0 if i % 2 == 0 else 5.0, 5.0 if i % 2 == 0 else -5.0) for i in range(6)]
+    df = with_scores(spark.createDataFrame(rows, "model string, dataset string, ex_id long, label int, l0 double, l1 double"))
+    comp = M.handoff_composition(df).where(F.col("threshold") == 0.6).first()
+    # confident (|z| = 10) wrong predictions: nothing is routed at 0.6
+    assert comp["n_routed"] == 0 and comp["pct_hs"] == 0.0 and comp["pct_non_hs"] == 0.0
+    # NBSP and other Unicode spaces are whitespace for strip / collapse / tokens
+    t = spark.createDataFrame([(" a b ",)], "t string").select(
+        TX.dedup_norm("t").alias("n"), TX.word_count("t").alias("w")).first()
+    assert t["n"] == "a b" and t["w"] == 2
+    # budget < stride: prefix of 30 tokens -> budget 12 < 25, tokens fall between windows
+    name = " ".join(f"n{i}" for i in range(28))      # prefix: '[hate]' + 28 name tokens = 29 tokens
+    body = " ".join(f"b{i}" for i in range(100))
+    rec = spark.createDataFrame([(1, name, body, "hate")], "page_id long, name string, body string, label string")
+    w = WD.token_windows(rec).orderBy("window").collect()
+    prefix_tokens = len(f"[hate] {name}: ".split())
+    budget = 50 - prefix_tokens - 8
+    assert 0 < budget < 25
+    seen = set()
+    for r in w:
+        seen.update(tok for tok in r["text"].split() if tok.startswith("b"))
+    assert len(seen) < 100                           # gaps between windows, as in the study
+    assert all(len(r["text"].split()) <= 50 for r in w)
+    # union of unlike schemas: missing columns become '' after fill
+    a = spark.createDataFrame([(1, "x")], "chunk_id long, text string")
+    b = spark.createDataFrame([(2, "y", "u")], "chunk_id long, text string, url string")
+    u = a.unionByName(b, allowMissingColumns=True).fillna("", subset=["url"]).orderBy("chunk_id").collect()
+    assert [r["url"] for r in u] == ["", "u"] and list(u[0].asDict()) == ["chunk_id", "text", "url"]
