@@ -52,19 +52,29 @@ def to_logits(pred: DataFrame) -> DataFrame:
                .withColumn("l1", F.log(F.greatest(p[1], F.lit(P_FLOOR))))
 
 
+def featurize(df: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
+    """RegexTokenizer -> HashingTF once for all cells (stateless stages)."""
+    tok = RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False,
+                         toLowercase=True)
+    tf = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=num_features)
+    return tf.transform(tok.transform(df)).drop("_tokens")
+
+
 def train_and_score(labelled: DataFrame, datasets: Sequence[str],
                     models: Sequence[str] = ("logreg", "naive_bayes", "random_forest"),
                     seed: int = 42) -> DataFrame:
     """DOM11: ``labelled`` has (ex_id, dataset, split, text, label,
     orig_class).  Returns scored rows for every test example of every
-    (dataset, model) cell."""
-    data = labelled.select("ex_id", "dataset", "split", "text", "label", "orig_class")
+    (dataset, model) cell.  Features are computed once and persisted
+    (recomputed from lineage if an executor is lost); each cell fits its
+    classifier on its dataset's train split and scores the test split."""
+    data = featurize(labelled.select("ex_id", "dataset", "split", "text", "label", "orig_class")).persist()
     out = None
     for d in datasets:
         train = data.where((F.col("dataset") == d) & (F.col("split") == "train"))
         test = data.where((F.col("dataset") == d) & (F.col("split") == "test"))
         for m in models:
-            fitted = pipeline(m, seed).fit(train)
+            fitted = _classifier(m, seed).fit(train)
             scored = to_logits(fitted.transform(test)).select(
                 F.lit(m).alias("model"), "dataset", "ex_id", "text", "label", "orig_class", "l0", "l1")
             out = scored if out is None else out.unionByName(scored)
