@@ -80,22 +80,24 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
     cum = prefix_sums(counts, group, [value], ["_cnt"], prefix="_cum",
                       num_partitions=num_partitions)
     sizes = counts.groupBy(*group).agg(F.sum("_cnt").alias("_n"))
-    targets = sizes.select(*group, "_n", F.explode(F.array(*[
+    # Positions of the two neighbours of every requested quantile.
+    pos = F.col("_q") * (F.col("_n") - 1).cast("double")
+    ends = sizes.select(*group, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_qi"), F.lit(float(q)).alias("_q")) for i, q in enumerate(qs)
-    ])).alias("_t")).select(*group, "_n", "_t._qi", "_t._q")
-    targets = (targets.withColumn("_pos", F.col("_q") * (F.col("_n") - 1).cast("double"))
-                      .withColumn("_lo", F.floor("_pos").cast("long"))
-                      .withColumn("_hi", F.ceil("_pos").cast("long"))
-                      .withColumn("_frac", F.col("_pos") - F.col("_lo").cast("double")))
-    ends = targets.select(*group, "_qi", F.explode(F.array("_lo", "_hi")).alias("_idx")).distinct()
+    ])).alias("_t"), "_n").select(*group, "_n", "_t._qi", "_t._q") \
+        .select(*group, "_qi", (pos - F.floor(pos)).alias("_frac"),
+                F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"))
+    ends = ends.select("*", F.explode(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_idx")),
+        F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_idx")))).alias("_e")) \
+        .select(*group, "_qi", "_frac", "_e._side", "_e._idx")
+    # One range join: the distinct value whose cumulative span holds idx.
     hit = ends.join(cum, group).where(
         (F.col("_cum_cnt") - F.col("_cnt") <= F.col("_idx")) & (F.col("_idx") < F.col("_cum_cnt")))
-    lo = hit.select(*group, "_qi", F.col("_idx").alias("_lo"), F.col(value).alias("_vlo"))
-    hi = hit.select(*group, "_qi", F.col("_idx").alias("_hi"), F.col(value).alias("_vhi"))
-    vals = (targets.join(lo, [*group, "_qi", "_lo"]).join(hi, [*group, "_qi", "_hi"])
-            .select(*group, "_qi",
-                    (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("_v")))
-    wide = vals.groupBy(*group).agg(*[
-        F.first(F.when(F.col("_qi") == i, F.col("_v")), ignorenulls=True).alias(nm)
-        for i, nm in enumerate(names)])
-    return wide
+    vals = hit.groupBy(*group, "_qi").agg(
+        F.first("_frac").alias("_frac"),
+        F.first(F.when(F.col("_side") == 0, F.col(value)), ignorenulls=True).alias("_vlo"),
+        F.first(F.when(F.col("_side") == 1, F.col(value)), ignorenulls=True).alias("_vhi"))
+    v = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
+    return vals.groupBy(*group).agg(*[
+        F.first(F.when(F.col("_qi") == i, v), ignorenulls=True).alias(nm) for i, nm in enumerate(names)])
