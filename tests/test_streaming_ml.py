@@ -77,3 +77,16 @@ def test_small_library_functions(spark):
     SK.write_vectors(vec, os.path.join(d, "vectors"))
     assert spark.read.parquet(os.path.join(d, "chunks")).count() == 2
     assert spark.read.parquet(os.path.join(d, "vectors")).where("model = 'm' AND variant = 'v'").count() == 1
+
+
+def test_stream_router_restart_is_exactly_once(spark):
+    logits = logits_table(read_table(spark, SF001, "documents"), read_table(spark, SF001, "labels"))
+    src = tempfile.mkdtemp(prefix="tessera-src2-")
+    logits.repartition(2).write.mode("overwrite").parquet(src)
+    temps = C.temperatures_from_map(spark, {f"{m}_{d}": 1.5 for m in ("m0", "m1", "m2") for d in DATASETS},
+                                    DATASETS)
+    sink = tempfile.mkdtemp(prefix="tessera-sink2-")
+    run_router(spark, src, temps, sink, name="restart-router")
+    first = spark.read.parquet(sink).count()
+    run_router(spark, src, temps, sink, name="restart-router")   # restart: nothing new to process
+    assert spark.read.parquet(sink).count() == first == logits.count()
