@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scoring import label_name
 from tessera.functions.text import first_chars, word_count
-from tessera.operators.metrics import GROUP, best_model_of, confusion_aggs, ece, macro_columns
+from tessera.operators.metrics import TIE_DECIMALS, GROUP, best_model_of, confusion_aggs, ece, macro_columns
 from tessera.plans.fixtures import MODELS
 
 TOP_N = 8
@@ -97,7 +97,9 @@ def top_examples(df: DataFrame, class_dataset="d0", short_dataset="d1", n: int =
     before the shuffle (WindowGroupLimit)."""
     cat = categorised(df, class_dataset, short_dataset)
     asc = [i for i, _, o in CATEGORIES if o == "asc"]
-    key = F.when(F.col("category").isin(asc), F.col("confidence")).otherwise(-F.col("confidence"))
+    # confidences equal to 12 decimals are ties (broken by ex_id), as for ROC
+    conf = F.round("confidence", TIE_DECIMALS)
+    key = F.when(F.col("category").isin(asc), conf).otherwise(-conf)
     w = Window.partitionBy("dataset", "category").orderBy(key, F.col("ex_id"))
     ranked = cat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return ranked.select("dataset", "category", "rank", "model", "ex_id",
@@ -142,7 +144,7 @@ def consensus_examples(df: DataFrame, models: Sequence[str] = MODELS, n: int = T
     text-free masks; text, label and class are joined for the top rows only."""
     full = (1 << len(models)) - 1
     ex = per_example(df, models).where(F.col("err_mask") == full)
-    w = Window.partitionBy("dataset").orderBy(F.col("avg_conf").desc(), F.col("ex_id"))
+    w = Window.partitionBy("dataset").orderBy(F.round("avg_conf", TIE_DECIMALS).desc(), F.col("ex_id"))
     top = ex.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     info = df.where(F.col("model") == models[0]).select("dataset", "ex_id", "text", "label", "orig_class")
     top = top.join(info, ["dataset", "ex_id"])

@@ -205,8 +205,14 @@ def reliability_curve(df: DataFrame, group: Sequence[str] = GROUP, prob="p_hs",
 
 # ---------------------------------------------------------------- WIN6, DOM20-21
 
+# Scores equal to 12 decimals are ties: mathematically equal logits can come
+# out one ulp apart, and exp() then splits or merges them differently per
+# engine; rounding makes the tie groups a property of the data.
+TIE_DECIMALS = 12
+
+
 def _score_ties(df, group, prob, label):
-    return df.groupBy(*group, F.col(prob).alias("score")).agg(
+    return df.groupBy(*group, F.round(F.col(prob), TIE_DECIMALS).alias("score")).agg(
         F.count_if(_c(label) == 1).alias("npos"), F.count_if(_c(label) == 0).alias("nneg"))
 
 

@@ -139,7 +139,7 @@ def q_reliability(spark, sf_dir):
 
 
 _TIES = """
-ties AS (SELECT model, dataset, p_hs AS score, count(*) FILTER (WHERE label = 1) AS npos,
+ties AS (SELECT model, dataset, round(p_hs, 12) AS score, count(*) FILTER (WHERE label = 1) AS npos,
                 count(*) FILTER (WHERE label = 0) AS nneg FROM scored GROUP BY ALL),
 cum AS (SELECT *, sum(npos) OVER w AS cum_npos, sum(nneg) OVER w AS cum_nneg FROM ties
         WINDOW w AS (PARTITION BY model, dataset ORDER BY score DESC

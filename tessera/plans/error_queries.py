@@ -155,7 +155,7 @@ def _text_sql(x):
 
 @register("dom25_top_examples", with_scored(_BEST + """,
 rk AS (SELECT *, row_number() OVER (PARTITION BY dataset, category ORDER BY
-          CASE WHEN category IN (4, 8) THEN confidence ELSE -confidence END, ex_id) AS rank FROM cat)""") + f"""
+          CASE WHEN category IN (4, 8) THEN round(confidence, 12) ELSE -round(confidence, 12) END, ex_id) AS rank FROM cat)""") + f"""
 SELECT dataset, category, CAST(rank AS INTEGER) AS rank, model, ex_id, {_text_sql('text')} AS text,
        {_label_sql('label')} AS true_label, {_label_sql('predicted')} AS pred_label,
        round(confidence, 6) AS confidence, orig_class, words
@@ -185,7 +185,7 @@ def q_consensus(spark, sf_dir):
 
 
 @register("dom26_consensus_examples", with_scored(_PE + """,
-rk AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY avg_conf DESC, ex_id) AS rank
+rk AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(avg_conf, 12) DESC, ex_id) AS rank
        FROM pe WHERE err_mask = 7)""") + f"""
 SELECT dataset, CAST(rank AS INTEGER) AS rank, ex_id, {_text_sql('text')} AS text, {_label_sql('label')} AS true_label,
        """ + ", ".join(f"{_label_sql(f'((pos_mask >> {i}) & 1)')} AS {m}" for i, m in enumerate(MODELS)) + """,
