@@ -3,7 +3,7 @@ each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import toxicity
+from tessera.llm import packing, toxicity
 from tessera.sources.tables import read_table
 
 
@@ -11,11 +11,21 @@ def _table(spark, sf_dir, name):
     return read_table(spark, sf_dir, name, spread_rows=False)
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op10_toxicity": op10_toxicity,
 }
 
