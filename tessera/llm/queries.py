@@ -3,7 +3,7 @@ each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import packing, toxicity
+from tessera.llm import packing, tiling, toxicity
 from tessera.sources.tables import read_table
 
 
@@ -20,12 +20,17 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_string_tiling(spark, sf_dir):
+    return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op9_string_tiling": op9_string_tiling,
     "op10_toxicity": op10_toxicity,
 }
 
