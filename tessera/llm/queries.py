@@ -3,7 +3,7 @@ each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import packing, tiling, toxicity
+from tessera.llm import packing, tiling, toxicity, warc
 from tessera.sources.tables import read_table
 
 
@@ -20,6 +20,11 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_warc(spark, sf_dir):
+    return (warc.archive_pages(_table(spark, sf_dir, "pages"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 def op9_string_tiling(spark, sf_dir):
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +35,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_warc": op4_warc,
     "op9_string_tiling": op9_string_tiling,
     "op10_toxicity": op10_toxicity,
 }
