@@ -3,7 +3,7 @@ each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import packing, tiling, toxicity, warc
+from tessera.llm import packing, quality, tiling, toxicity, warc
 from tessera.sources.tables import read_table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -34,10 +38,13 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_warc": op4_warc,
     "op9_string_tiling": op9_string_tiling,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_quality_rules": quality.SQL,
+}
