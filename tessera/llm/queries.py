@@ -3,7 +3,7 @@ each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import packing, quality, tiling, toxicity, warc
+from tessera.llm import near_dups, packing, quality, tiling, toxicity, warc
 from tessera.sources.tables import read_table
 
 
@@ -11,6 +11,10 @@ def _table(spark, sf_dir, name):
     return read_table(spark, sf_dir, name, spread_rows=False)
 
 
+def op2_minhash_near_dedup(spark, sf_dir):
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -39,6 +43,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_warc": op4_warc,
     "op9_string_tiling": op9_string_tiling,
