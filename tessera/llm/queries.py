@@ -3,7 +3,7 @@ each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import near_dups, packing, quality, tiling, toxicity, warc
+from tessera.llm import near_dups, packing, quality, sharding, tiling, toxicity, warc
 from tessera.sources.tables import read_table
 
 
@@ -33,6 +33,10 @@ def op4_warc(spark, sf_dir):
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op7_label_propagation(spark, sf_dir):
+    return sharding.balanced_shards(_table(spark, sf_dir, "documents"))
+
+
 def op9_string_tiling(spark, sf_dir):
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_warc": op4_warc,
+    "op7_label_propagation": op7_label_propagation,
     "op9_string_tiling": op9_string_tiling,
     "op10_toxicity": op10_toxicity,
 }
