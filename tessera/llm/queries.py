@@ -3,7 +3,7 @@ each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import near_dups, packing, quality, sharding, tiling, toxicity, warc
+from tessera.llm import near_dups, packing, pii, quality, sharding, tiling, toxicity, warc
 from tessera.sources.tables import read_table
 
 
@@ -37,6 +37,10 @@ def op7_label_propagation(spark, sf_dir):
     return sharding.balanced_shards(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op9_string_tiling(spark, sf_dir):
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_warc": op4_warc,
     "op7_label_propagation": op7_label_propagation,
+    "op8_pii": op8_pii,
     "op9_string_tiling": op9_string_tiling,
     "op10_toxicity": op10_toxicity,
 }
