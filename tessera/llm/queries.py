@@ -3,7 +3,7 @@ each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import near_dups, packing, pii, quality, sharding, substrings, tiling, toxicity, warc
+from tessera.llm import near_dups, packing, passages, pii, quality, sharding, substrings, tiling, toxicity, warc
 from tessera.sources.tables import read_table
 
 
@@ -33,6 +33,10 @@ def op4_warc(spark, sf_dir):
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op5_compact_windows(spark, sf_dir):
+    return passages.passage_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return substrings.substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_warc": op4_warc,
+    "op5_compact_windows": op5_compact_windows,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_label_propagation": op7_label_propagation,
     "op8_pii": op8_pii,
