@@ -86,7 +86,7 @@ def fit_temperature(df: DataFrame, group: Sequence[str] = GROUP, z: str = "log_o
 def nll_at(df: DataFrame, temps: DataFrame, group: Sequence[str] = GROUP,
            label: str = "label") -> DataFrame:
     """Mean clipped NLL at given temperatures (for checking a fit)."""
-    j = df.join(bounded_broadcast(temps.select(*group, "T")), list(group))
+    j = df.join(bounded_broadcast(temps.select(*group, "T")), list(group), "left")
     p = calibrated_p(log_odds(), F.col("T"))
     pc = F.when(F.col(label) == 1, p).otherwise(F.lit(1.0) - p)
     return j.groupBy(*group).agg(
@@ -95,13 +95,21 @@ def nll_at(df: DataFrame, temps: DataFrame, group: Sequence[str] = GROUP,
 
 def apply_temperature(df: DataFrame, temps: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """DOM15: add log_odds, T, p_hs_cal, confidence_cal.  ``temps`` holds one
-    row per group; it is broadcast after a size check."""
-    j = df.join(bounded_broadcast(temps.select(*group, "T")), list(group))
+    row per group; it is broadcast after a size check.  Rows of a group
+    without a temperature stay, with NULL in the three calibrated columns
+    (see :func:`missing_temperatures`)."""
+    j = df.join(bounded_broadcast(temps.select(*group, "T")), list(group), "left")
     return (j.withColumn("log_odds", log_odds())
              .withColumn("p_hs_cal", calibrated_p("log_odds", "T"))
              .withColumn("confidence_cal", confidence("p_hs_cal")))
 
 
+def missing_temperatures(df: DataFrame, temps: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """Groups of ``df`` (with their row counts) that have no temperature."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"))
+    return sizes.join(temps.select(*group), list(group), "left_anti")
+
+
 def temperatures_from_map(spark, mapping: dict[str, float], datasets: Sequence[str],
                           sep: str = "_") -> DataFrame:
     """Temperatures keyed ``model<sep>dataset`` (the JSON map layout) -> table."""
@@ -126,7 +134,8 @@ def calibration_table(cal: DataFrame, group: Sequence[str] = GROUP) -> DataFrame
     out = stats.join(e_raw, list(group)).join(e_cal, list(group))
     return out.select(
         *group, F.round("T", 6).alias("T"),
-        F.round("ece_raw", 6).alias("ece_raw"), F.round("ece_cal", 6).alias("ece_cal"),
+        F.round("ece_raw", 6).alias("ece_raw"),
+        F.when(F.col("T").isNotNull(), F.round("ece_cal", 6)).alias("ece_cal"),
         F.round(F.col("_cr") - F.col("conf_wrong_raw"), 6).alias("conf_gap_raw"),
         F.round(F.col("_cc") - F.col("conf_wrong_cal"), 6).alias("conf_gap_cal"),
         F.round("conf_wrong_raw", 6).alias("conf_wrong_raw"),

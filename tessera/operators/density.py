@@ -5,7 +5,7 @@ exp(-((x_g - x_i)/bw)^2 / 2) to every grid point.  The grid is exploded
 per row inside the scan and reduced by a partial aggregation on
 (group, grid point), so a task emits at most #groups x gridsize rows
 whatever the data size; group statistics (n, sd, min, max) come from one
-small aggregate (one row per group) that AQE broadcasts once its size is known.
+small aggregate (one row per group) that is broadcast after a check of its size.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import hard_token_cap
 from tessera.operators.prefix import exact_quantiles
+from tessera.session import small_side
 
 GRID = 100
 CUT = 2.0
@@ -36,8 +37,7 @@ def kde(df: DataFrame, group: Sequence[str], value: str, gridsize: int = GRID, c
         .withColumn("_bw", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd")) \
         .withColumn("_lo", F.col("_mn") - F.lit(cut) * F.col("_bw")) \
         .withColumn("_step", (F.col("_mx") - F.col("_mn") + F.lit(2 * cut) * F.col("_bw")) / F.lit(gridsize - 1))
-    # one row per group from an aggregation: AQE broadcasts it at runtime
-    j = df.select(*group, v.alias("_v")).join(stats, group)
+    j = df.select(*group, v.alias("_v")).join(small_side(stats), group)
     g = j.select(*group, "_n", "_bw", "_lo", "_step", "_v",
                  F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
     x = F.col("_lo") + F.col("i").cast("double") * F.col("_step")

@@ -1,7 +1,8 @@
 """Error analysis across models (DOM25-DOM28, DOM30).
 
 Cross-model questions are answered per example without pairing rows:
-each example's models are folded into bitmasks (``sum(1 << model_index)``)
+each example's models are folded into bitmasks (``bit_or(1 << model_index)``,
+so that a repeated row changes nothing)
 by one group-by on (dataset, ex_id), and every agreement / overlap figure
 is a count over (dataset, mask) -- at most 2^#models rows per dataset.
 """
@@ -13,10 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scoring import label_name
+from tessera.functions.scoring import label_name, safe_ratio
 from tessera.functions.text import first_chars, word_count
-from tessera.operators.metrics import TIE_DECIMALS, GROUP, best_model_of, confusion_aggs, ece, macro_columns
-from tessera.plans.fixtures import MODELS
+from tessera.operators.metrics import (GROUP, TIE_DECIMALS, best_model_of, confusion_aggs, ece, macro_columns,
+                                       pick_best, rank_key)
+from tessera.session import small_side
 
 TOP_N = 8
 TEXT_CHARS = 110
@@ -33,101 +35,119 @@ CATEGORIES = (
 )
 
 
+# The limits of the category rules.
+SURE, RATHER_SURE, UNSURE, SHORT_WORDS = 0.95, 0.85, 0.65, 12
+IMPLICIT = "implicit_hate"
+MAX_MODELS = 62
+
+
 def _category_masks(class_dataset: str, short_dataset: str) -> dict[int, Column]:
     ok, y, p, cf = F.col("correct"), F.col("label"), F.col("predicted"), F.col("confidence")
     return {
-        1: ok & (y == 1) & (cf > 0.95),
-        2: ~ok & (y == 1) & (p == 0) & (cf > 0.85),
-        3: ~ok & (y == 0) & (p == 1) & (cf > 0.85),
-        4: cf < 0.65,
-        6: (F.col("dataset") == class_dataset) & (F.col("orig_class") == "implicit_hate") & (p == 0),
-        7: (F.col("dataset") == short_dataset) & ~ok & (cf > 0.85) & (F.col("words") < 12),
-        8: ok & (cf < 0.65),
+        1: ok & (y == 1) & (cf > SURE),
+        2: ~ok & (y == 1) & (p == 0) & (cf > RATHER_SURE),
+        3: ~ok & (y == 0) & (p == 1) & (cf > RATHER_SURE),
+        4: cf < UNSURE,
+        6: (F.col("dataset") == class_dataset) & (F.col("orig_class") == IMPLICIT) & (p == 0),
+        7: (F.col("dataset") == short_dataset) & ~ok & (cf > RATHER_SURE) & (F.col("words") < SHORT_WORDS),
+        8: ok & (cf < UNSURE),
     }
 
 
-def _best_rows(df: DataFrame) -> DataFrame:
-    best = best_model_of(df).select("dataset", "model")
-    # One row per dataset, produced by an aggregation: AQE sees its real
-    # size when that stage completes and broadcasts it then (no extra scan).
-    return df.join(best, ["dataset", "model"])
-
-
 def categorised(df: DataFrame, class_dataset: str = "d0", short_dataset: str = "d1") -> DataFrame:
-    """PRJ14: rows of the best model per dataset, exploded into every
-    category they match (one pass over the data)."""
-    rows = _best_rows(df).withColumn("words", word_count("text"))
+    """PRJ14: rows of every model, exploded into each category they match (one
+    pass, no join; callers keep the best model's)."""
+    rows = df.withColumn("words", word_count("text"))
     masks = _category_masks(class_dataset, short_dataset)
     cats = F.filter(F.array(*[F.when(m, F.lit(i)) for i, m in masks.items()]),
                     lambda x: x.isNotNull())
     return rows.withColumn("category", F.explode(cats))
 
 
-def category_grid(df: DataFrame, class_dataset="d0", short_dataset="d1") -> DataFrame:
-    """(dataset, model, category) for every category that applies to the
-    dataset, so that empty categories are still reported."""
-    best = best_model_of(df).select("dataset", "model")
-    ids = F.array(*[F.lit(i) for i, _, _ in CATEGORIES])
-    g = best.select("dataset", "model", F.explode(ids).alias("category"))
-    return g.where(((F.col("category") != 6) | (F.col("dataset") == class_dataset))
-                   & ((F.col("category") != 7) | (F.col("dataset") == short_dataset)))
-
-
 def example_counts(df: DataFrame, class_dataset="d0", short_dataset="d1") -> DataFrame:
-    """DOM25 counts: matches per category, % of the dataset's test rows and,
-    for the low-confidence categories, how many of them are correct."""
-    cat = categorised(df, class_dataset, short_dataset)
-    cnt = cat.groupBy("dataset", "category").agg(
-        F.count(F.lit(1)).alias("n_found"), F.count_if(F.col("correct")).alias("n_correct"))
-    sizes = _best_rows(df).groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))
-    names = F.create_map(*[x for i, nm, _ in CATEGORIES for x in (F.lit(i), F.lit(nm))])
-    out = (category_grid(df, class_dataset, short_dataset)
-           .join(cnt, ["dataset", "category"], "left").join(sizes, "dataset"))
-    n = F.coalesce(F.col("n_found"), F.lit(0))
-    return out.select("dataset", "model", "category", names[F.col("category")].alias("name"),
-                      n.cast("long").alias("n_found"),
-                      F.coalesce("n_correct", F.lit(0)).cast("long").alias("n_correct"),
-                      F.round(n.cast("double") / F.col("_n").cast("double") * 100.0, 6).alias("pct_of_set"))
+    """DOM25 counts of the best model per dataset: matches per category, % of
+    the dataset's test rows, the correct share of the matches (of interest for
+    the RAG candidates) and the rows they are out of (category 6: the implicit
+    ones, else all of the dataset).
+
+    One aggregation per (dataset, model) holds the confusion counts and every
+    category's counts; the best model is picked from that small table.
+    """
+    masks = _category_masks(class_dataset, short_dataset)
+    per = df.withColumn("words", word_count("text")).groupBy("dataset", "model").agg(
+        *confusion_aggs(), F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("orig_class") == IMPLICIT).alias("_implicit"),
+        *[F.count_if(m).alias(f"_f{i}") for i, m in masks.items()],
+        *[F.count_if(m & F.col("correct")).alias(f"_c{i}") for i, m in masks.items()])
+    best = pick_best(per.withColumn("macro_f1", macro_columns()["macro_f1"]))
+    rows = F.array(*[F.struct(F.lit(i).alias("category"), F.lit(nm).alias("name"),
+                              F.col(f"_f{i}").alias("n_found"), F.col(f"_c{i}").alias("n_correct"))
+                     for i, nm, _ in CATEGORIES])
+    out = best.select("dataset", "model", "_n", "_implicit", F.explode(rows).alias("r")).select(
+        "dataset", "model", "_n", "_implicit", "r.*")
+    out = out.where(((F.col("category") != 6) | (F.col("dataset") == class_dataset))
+                    & ((F.col("category") != 7) | (F.col("dataset") == short_dataset)))
+    share = safe_ratio(F.col("n_correct").cast("double"), F.col("n_found")) * 100.0
+    return out.select("dataset", "model", "category", "name", "n_found", "n_correct",
+                      F.round(F.col("n_found").cast("double") / F.col("_n").cast("double") * 100.0, 6)
+                      .alias("pct_of_set"),
+                      F.round(share, 6).alias("pct_correct"),
+                      F.when(F.col("category") == 6, F.col("_implicit")).otherwise(F.col("_n")).alias("out_of"))
 
 
 def top_examples(df: DataFrame, class_dataset="d0", short_dataset="d1", n: int = TOP_N) -> DataFrame:
     """DOM25 / WIN4: the top ``n`` examples per (dataset, category) by
     confidence (descending, or ascending for the low-confidence ones); ties
-    by ex_id.  ``row_number() <= n`` lets Spark cut each partition to n rows
-    before the shuffle (WindowGroupLimit)."""
-    cat = categorised(df, class_dataset, short_dataset)
+    by ex_id.  Every model is ranked without its text (``row_number() <= n``
+    cuts each partition to n rows before the shuffle); the best model is
+    picked from per-model counts, and text is joined for the top rows only."""
     asc = [i for i, _, o in CATEGORIES if o == "asc"]
-    # confidences equal to 12 decimals are ties (broken by ex_id), as for ROC
-    conf = F.round("confidence", TIE_DECIMALS)
-    key = F.when(F.col("category").isin(asc), conf).otherwise(-conf)
-    w = Window.partitionBy("dataset", "category").orderBy(key, F.col("ex_id"))
-    ranked = cat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return ranked.select("dataset", "category", "rank", "model", "ex_id",
-                         first_chars("text", TEXT_CHARS).alias("text"),
-                         label_name("label").alias("true_label"),
-                         label_name("predicted").alias("pred_label"),
-                         F.round("confidence", 6).alias("confidence"), "orig_class", "words")
+    # the confidence of a row grows with |l1 - l0|
+    sure = F.abs(rank_key(df, "confidence"))
+    cat = categorised(df.withColumn("_sure", sure), class_dataset, short_dataset).drop("text")
+    key = F.when(F.col("category").isin(asc), F.col("_sure")).otherwise(-F.col("_sure"))
+    w = Window.partitionBy("dataset", "model", "category").orderBy(key, F.col("ex_id"))
+    top = cat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    best = best_model_of(df).select("dataset", "model")
+    top = small_side(top.join(best, ["dataset", "model"]).select(
+        "dataset", "category", "rank", "model", "ex_id", "label", "predicted", "confidence", "orig_class", "words"))
+    texts = df.select("dataset", "model", "ex_id", "text")
+    return texts.join(top, ["dataset", "model", "ex_id"]).select(
+        "dataset", "category", "rank", "model", "ex_id", first_chars("text", TEXT_CHARS).alias("text"),
+        label_name("label").alias("true_label"), label_name("predicted").alias("pred_label"),
+        F.round("confidence", 6).alias("confidence"), "orig_class", "words")
+
+
+def models_of(df: DataFrame, models: Sequence[str] | None = None) -> list[str]:
+    """The models to compare: the given ones, or all that the data holds."""
+    found = [r[0] for r in df.where(F.col("model").isNotNull()).select("model").distinct()
+             .orderBy("model").limit(MAX_MODELS + 1).collect()] if models is None else list(models)
+    if len(found) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models do not fit a mask; name the ones to compare")
+    return found
 
 
 def _model_index(models: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model")) - 1
 
 
-def per_example(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
+def per_example(df: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """One row per (dataset, ex_id) with bitmasks of wrong / positive
     predictions over ``models`` and the mean confidence (no text: it would
     ride through the shuffle for every example)."""
-    bit = F.expr("shiftleft(1, _idx)")
+    bit = F.expr("shiftleft(1L, _idx)")
+    models = models_of(df, models)
     return df.withColumn("_idx", _model_index(models).cast("int")).where(F.col("_idx") >= 0) \
         .groupBy("dataset", "ex_id").agg(
-        F.count(F.lit(1)).alias("n_models"),
-        F.sum(F.when(~F.col("correct"), bit).otherwise(0)).alias("err_mask"),
-        F.sum(F.when(F.col("predicted") == 1, bit).otherwise(0)).alias("pos_mask"),
+        F.count_distinct("_idx").alias("n_models"),
+        F.bit_or(F.when(~F.col("correct"), bit).otherwise(F.lit(0).cast("long"))).alias("err_mask"),
+        F.bit_or(F.when(F.col("predicted") == 1, bit).otherwise(F.lit(0).cast("long"))).alias("pos_mask"),
         F.avg("confidence").alias("avg_conf"))
 
 
-def consensus_failures(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
+def consensus_failures(df: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """DOM26 counts: examples that every model gets wrong, per dataset."""
+    models = models_of(df, models)
     full = (1 << len(models)) - 1
     ex = per_example(df, models)
     return ex.groupBy("dataset").agg(
@@ -138,17 +158,19 @@ def consensus_failures(df: DataFrame, models: Sequence[str] = MODELS) -> DataFra
         .alias("pct_consensus"))
 
 
-def consensus_examples(df: DataFrame, models: Sequence[str] = MODELS, n: int = TOP_N) -> DataFrame:
+def consensus_examples(df: DataFrame, models: Sequence[str] | None = None, n: int = TOP_N) -> DataFrame:
     """DOM26 examples: top ``n`` consensus failures per dataset by mean
     confidence, with each model's (wrong) prediction.  Ranking runs on the
     text-free masks; text, label and class are joined for the top rows only."""
+    models = models_of(df, models)
     full = (1 << len(models)) - 1
     ex = per_example(df, models).where(F.col("err_mask") == full)
     w = Window.partitionBy("dataset").orderBy(F.round("avg_conf", TIE_DECIMALS).desc(), F.col("ex_id"))
     top = ex.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    info = df.where(F.col("model") == models[0]).select("dataset", "ex_id", "text", "label", "orig_class")
-    top = top.join(info, ["dataset", "ex_id"])
-    preds = [label_name(F.when(F.col("pos_mask").bitwiseAND(1 << i) != 0, 1).otherwise(0)).alias(m)
+    info = df.where(F.col("model") == (models[0] if models else None)).select(
+        "dataset", "ex_id", "text", "label", "orig_class")
+    top = info.join(small_side(top), ["dataset", "ex_id"])
+    preds = [label_name(F.when(F.col("pos_mask").bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(0)).alias(m)
              for i, m in enumerate(models)]
     return top.select("dataset", "rank", "ex_id", first_chars("text", TEXT_CHARS).alias("text"),
                       label_name("label").alias("true_label"), *preds,
@@ -159,9 +181,10 @@ def _mask_counts(df: DataFrame, models: Sequence[str], mask: str) -> DataFrame:
     return per_example(df, models).groupBy("dataset", mask).agg(F.count(F.lit(1)).alias("_k"))
 
 
-def agreement_matrix(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
+def agreement_matrix(df: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """DOM27: share of examples on which models a and b predict the same
     label (symmetric, diagonal 1), from positive-prediction bitmasks."""
+    models = models_of(df, models)
     mc = _mask_counts(df, models, "pos_mask")
     pairs = F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"),
                                F.lit(i).alias("_i"), F.lit(j).alias("_j"))
@@ -175,30 +198,40 @@ def agreement_matrix(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame
 
 
 def region_names(models: Sequence[str]) -> list[tuple[int, str]]:
-    """Exclusive error regions: only one model, exactly two, all."""
+    """All 2^k - 1 exclusive error regions: only one model, some, all."""
     k = len(models)
-    out = [(1 << i, f"only {m}") for i, m in enumerate(models)]
-    for i in range(k):
-        for j in range(i + 1, k):
-            if k == 3:
-                out.append(((1 << i) | (1 << j), f"{models[i]}+{models[j]}"))
-    out.append(((1 << k) - 1, f"all {k}"))
-    return out
-
-
-def error_overlap(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """DOM28: errors per exclusive region; zero regions are kept."""
-    mc = _mask_counts(df, models, "err_mask")
-    regions = region_names(models)
-    grid = mc.select("dataset").distinct().select("dataset", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("err_mask"), F.lit(nm).alias("region")) for m, nm in regions])).alias("r")
-    ).select("dataset", "r.err_mask", "r.region")
-    out = grid.join(mc, ["dataset", "err_mask"], "left")
-    return out.select("dataset", "region", F.col("err_mask").cast("int").alias("err_mask"),
-                      F.coalesce("_k", F.lit(0)).cast("long").alias("n_errors"))
-
-
-def findings(df: DataFrame, models: Sequence[str] = MODELS, t: float = 0.90) -> DataFrame:
+
+    def name(mask):
+        on = [m for i, m in enumerate(models) if mask >> i & 1]
+        return f"only {on[0]}" if len(on) == 1 else f"all {k}" if len(on) == k else "+".join(on)
+
+    return [(mask, name(mask)) for mask in range(1, 1 << k)]
+
+
+REGIONS_LISTED = 10
+
+
+def error_overlap(df: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
+    """DOM28: errors per exclusive region, for any number of models.  Up to
+    ``REGIONS_LISTED`` models empty regions are listed with 0; beyond it
+    (2^k regions) only those that occur."""
+    models = models_of(df, models)
+    mc = _mask_counts(df, models, "err_mask").where("err_mask <> 0")
+    if len(models) <= REGIONS_LISTED:
+        regions = region_names(models)
+        grid = df.select("dataset").distinct().select("dataset", F.explode(F.array(*[
+            F.struct(F.lit(m).cast("long").alias("err_mask")) for m, _ in regions])).alias("r")
+        ).select("dataset", "r.err_mask")
+        mc = grid.join(mc, ["dataset", "err_mask"], "left")
+    on = F.filter(F.array(*[F.when(F.col("err_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(m))
+                            for i, m in enumerate(models)]), lambda m: m.isNotNull())
+    region = (F.when(F.size(on) == 1, F.concat(F.lit("only "), on[0]))
+              .when(F.size(on) == len(models), F.lit(f"all {len(models)}")).otherwise(F.array_join(on, "+")))
+    return mc.select("dataset", region.alias("region"), F.col("err_mask").cast("long").alias("err_mask"),
+                     F.coalesce("_k", F.lit(0)).cast("long").alias("n_errors"))
+
+
+def findings(df: DataFrame, models: Sequence[str] | None = None, t: float = 0.90) -> DataFrame:
     """DOM30: per (model, dataset) macro F1, ECE, confidence gap, % routed
     at t = 0.90, dangerous FN count; plus the dataset's consensus share."""
     cf, ok, y, p = F.col("confidence"), F.col("correct"), F.col("label"), F.col("predicted")

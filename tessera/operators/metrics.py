@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import exact_quantiles, prefix_sums
+from tessera.session import materialize, small_side
 
 GROUP = ("model", "dataset")
 
@@ -205,14 +206,23 @@ def reliability_curve(df: DataFrame, group: Sequence[str] = GROUP, prob="p_hs",
 
 # ---------------------------------------------------------------- WIN6, DOM20-21
 
-# Scores equal to 12 decimals are ties: mathematically equal logits can come
-# out one ulp apart, and exp() then splits or merges them differently per
-# engine; rounding makes the tie groups a property of the data.
+# Means over several models are compared to 12 decimals: the order in which an
+# engine adds the terms can move the last bit, and exact ties would split.
 TIE_DECIMALS = 12
 
 
+def rank_key(df: DataFrame, prob: str = "p_hs") -> Column:
+    """What rows are ranked by: ``l1 - l0`` where the logits are at hand (it
+    orders like any temperature-scaled probability of the same row, does not
+    saturate at 1.0, and its ties are ties of the data), else the unrounded
+    probability."""
+    return F.col("l1") - F.col("l0") if {"l0", "l1"} <= set(df.columns) else F.col(prob)
+
+
 def _score_ties(df, group, prob, label):
-    return df.groupBy(*group, F.round(F.col(prob), TIE_DECIMALS).alias("score")).agg(
+    # + 0.0 makes -0.0 and 0.0 one group
+    return df.groupBy(*group, (rank_key(df, prob) + F.lit(0.0)).alias("score")).agg(
+        F.max(F.col(prob)).alias("prob"),
         F.count_if(_c(label) == 1).alias("npos"), F.count_if(_c(label) == 0).alias("nneg"))
 
 
@@ -230,11 +240,11 @@ def roc_pr_curves(df: DataFrame, group: Sequence[str] = GROUP, prob="p_hs",
     """DOM20 / DOM21 curves: one point per distinct threshold."""
     pts = curve_points(df, group, prob, label)
     tot = pts.groupBy(*group).agg(F.sum("npos").alias("P"), F.sum("nneg").alias("N"))
-    j = pts.join(tot, list(group))
+    j = pts.join(small_side(tot), list(group))
     tpr = F.when(F.col("P") > 0, F.col("cum_npos") / F.col("P"))
     fpr = F.when(F.col("N") > 0, F.col("cum_nneg") / F.col("N"))
     prec = F.col("cum_npos") / (F.col("cum_npos") + F.col("cum_nneg"))
-    return j.select(*group, F.round("score", 6).alias("threshold"),
+    return j.select(*group, F.round("prob", 6).alias("threshold"),
                     F.col("cum_npos").alias("tp"), F.col("cum_nneg").alias("fp"),
                     F.round(tpr, 6).alias("tpr"), F.round(fpr, 6).alias("fpr"),
                     F.round(prec, 6).alias("precision"), F.round(tpr, 6).alias("recall"))
@@ -285,11 +295,15 @@ def performance_summary(df: DataFrame, group: Sequence[str] = GROUP) -> DataFram
         .alias("pct_conf_gt_90"))
 
 
+def pick_best(per_model: DataFrame, by="dataset", metric="macro_f1", model="model") -> DataFrame:
+    """WIN3 keeping all columns: one row per ``by`` of a small per-model table."""
+    w = Window.partitionBy(by).orderBy(F.col(metric).desc(), F.col(model).asc())
+    return per_model.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
 def best_model(summary: DataFrame, by="dataset", metric="macro_f1", model="model") -> DataFrame:
     """WIN3: the model with the highest metric per dataset (ties: model name)."""
-    w = Window.partitionBy(by).orderBy(F.col(metric).desc(), F.col(model).asc())
-    return (summary.withColumn("_rn", F.row_number().over(w))
-                   .where(F.col("_rn") == 1).select(by, model, metric))
+    return pick_best(summary, by, metric, model).select(by, model, metric)
 
 
 def best_model_of(df: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
@@ -369,22 +383,24 @@ def handoff_matrix(df: DataFrame, group: Sequence[str] = GROUP, conf="confidence
     """DOM22 (pivoted): one row per threshold, one column per model/dataset."""
     long = handoff_rates(df, group, conf, thresholds)
     key = F.concat_ws("/", *[F.col(g) for g in group])
-    return long.withColumn("_k", key).groupBy("threshold").pivot("_k").agg(F.first("pct_routed"))
+    # the column names are data: they come from the per-group table, written once
+    small = materialize(long.withColumn("_k", key))
+    names = sorted(r[0] for r in small.select("_k").distinct().collect())
+    return small.groupBy("threshold").pivot("_k", names).agg(F.first("pct_routed"))
 
 
 def handoff_composition(df: DataFrame, conf="confidence", label="label",
                         thresholds: Sequence[float] = HANDOFF_THRESHOLDS) -> DataFrame:
     """DOM23: among rows the best model (per dataset) routes at t: n, % HS,
     % non-HS; both shares 0 when nothing is routed."""
-    best = best_model_of(df).select("dataset", "model")
-    # one row per dataset from an aggregation: AQE broadcasts it at runtime
-    rows = df.join(best, ["dataset", "model"])
     cf, y = _c(conf), _c(label)
-    agg = rows.groupBy("dataset", "model").agg(*[
+    # every model is counted in the one scan; the best is picked from the counts
+    agg = df.groupBy("dataset", "model").agg(*confusion_aggs(label), *[
         F.struct(F.lit(t).alias("threshold"),
                  F.count_if(cf < F.lit(t)).alias("n_routed"),
                  F.count_if((cf < F.lit(t)) & (y == 1)).alias("n_hs")).alias(f"_t{i}")
         for i, t in enumerate(thresholds)])
+    agg = pick_best(agg.withColumn("macro_f1", macro_columns()["macro_f1"]))
     ex = agg.select("dataset", "model", F.explode(F.array(*[F.col(f"_t{i}") for i in range(len(thresholds))])).alias("r"))
     n, hs = F.col("r.n_routed"), F.col("r.n_hs")
     return ex.select(
@@ -394,9 +410,10 @@ def handoff_composition(df: DataFrame, conf="confidence", label="label",
 
 
 def route(df: DataFrame, threshold: float = 0.90, conf="confidence_cal") -> DataFrame:
-    """DOM24: conf < t goes to the retrieval branch, else the prediction is kept."""
-    return df.withColumn("route", F.when(_c(conf) < F.lit(threshold), F.lit("rag"))
-                         .otherwise(F.lit("keep")))
+    """DOM24: conf >= t keeps the prediction; below it, or without a (calibrated)
+    confidence, the row goes to the retrieval branch."""
+    return df.withColumn("route", F.when(_c(conf) >= F.lit(threshold), F.lit("keep"))
+                         .otherwise(F.lit("rag")))
 
 
 # ---------------------------------------------------------------- AGG14 box summary
@@ -413,6 +430,7 @@ def box_summary(df: DataFrame, by="dataset", conf="confidence") -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     bounds = qs.select(by, "quadrant", "q1", "median", "q3",
                        (F.col("q1") - 1.5 * iqr).alias("_lo"), (F.col("q3") + 1.5 * iqr).alias("_hi"))
+    bounds = small_side(bounds)
     wh = q.join(bounds, [by, "quadrant"]).groupBy(by, "quadrant").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))).alias("whisker_lo"),

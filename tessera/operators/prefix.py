@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, small_side
 
 
 def _order(c) -> Column:
@@ -92,7 +92,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
         F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_idx")))).alias("_e")) \
         .select(*group, "_qi", "_frac", "_e._side", "_e._idx")
     # One range join: the distinct value whose cumulative span holds idx.
-    hit = ends.join(cum, group).where(
+    hit = cum.join(small_side(ends), group).where(
         (F.col("_cum_cnt") - F.col("_cnt") <= F.col("_idx")) & (F.col("_idx") < F.col("_cum_cnt")))
     vals = hit.groupBy(*group, "_qi").agg(
         F.first("_frac").alias("_frac"),

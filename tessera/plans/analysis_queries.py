@@ -139,7 +139,7 @@ def q_reliability(spark, sf_dir):
 
 
 _TIES = """
-ties AS (SELECT model, dataset, round(p_hs, 12) AS score, count(*) FILTER (WHERE label = 1) AS npos,
+ties AS (SELECT model, dataset, l1 - l0 + CAST(0.0 AS DOUBLE) AS score, max(p_hs) AS prob, count(*) FILTER (WHERE label = 1) AS npos,
                 count(*) FILTER (WHERE label = 0) AS nneg FROM scored GROUP BY ALL),
 cum AS (SELECT *, sum(npos) OVER w AS cum_npos, sum(nneg) OVER w AS cum_nneg FROM ties
         WINDOW w AS (PARTITION BY model, dataset ORDER BY score DESC
@@ -149,7 +149,7 @@ tot AS (SELECT model, dataset, sum(npos) AS P, sum(nneg) AS N FROM ties GROUP BY
 
 # --- WIN6 / DOM20 / DOM21 curves -------------------------------------------
 @register("dom20_roc_pr_curve", with_scored(_TIES) + """
-SELECT c.model, c.dataset, round(score, 6) AS threshold, CAST(cum_npos AS BIGINT) AS tp,
+SELECT c.model, c.dataset, round(prob, 6) AS threshold, CAST(cum_npos AS BIGINT) AS tp,
        CAST(cum_nneg AS BIGINT) AS fp,
        round(CASE WHEN P > 0 THEN cum_npos / P END, 6) AS tpr,
        round(CASE WHEN N > 0 THEN cum_nneg / N END, 6) AS fpr,

@@ -36,7 +36,7 @@ _TEMPS_SQL = "(VALUES " + ", ".join(
 _CAL_CTE = f"""
 cal AS (SELECT s.*, tt.T, l1 - l0 AS log_odds,
                CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-((l1 - l0) / tt.T))) AS p_hs_cal
-        FROM scored s JOIN {_TEMPS_SQL} USING (model, dataset)),
+        FROM scored s LEFT JOIN {_TEMPS_SQL} USING (model, dataset)),
 cal2 AS (SELECT *, greatest(p_hs_cal, CAST(1.0 AS DOUBLE) - p_hs_cal) AS confidence_cal FROM cal)"""
 
 
@@ -105,7 +105,7 @@ def q_sweep_cal(spark, sf_dir):
 # --- DOM24 router ----------------------------------------------------------------
 @register("dom24_router", with_scored(_CAL_CTE) + """
 SELECT model, dataset, ex_id, round(confidence_cal, 6) AS confidence_cal,
-       CASE WHEN confidence_cal < CAST('0.9' AS DOUBLE) THEN 'rag' ELSE 'keep' END AS route
+       CASE WHEN confidence_cal >= CAST('0.9' AS DOUBLE) THEN 'keep' ELSE 'rag' END AS route
 FROM cal2""")
 def q_router(spark, sf_dir):
     c = M.route(_calibrated(spark, sf_dir), 0.90)
@@ -136,10 +136,13 @@ _NAMES = "(VALUES " + ", ".join(f"({i}, '{nm}')" for i, nm, _ in ER.CATEGORIES)
 grid AS (SELECT b.dataset, b.model, nm.category, nm.name FROM best b CROSS JOIN {_NAMES}
          WHERE (nm.category <> 6 OR b.dataset = 'd0') AND (nm.category <> 7 OR b.dataset = 'd1')),
 cnt AS (SELECT dataset, category, count(*) AS n_found, count(*) FILTER (WHERE correct) AS n_correct FROM cat GROUP BY ALL),
-sz AS (SELECT dataset, count(*) AS n FROM br GROUP BY ALL)""") + """
+sz AS (SELECT dataset, count(*) AS n, count(*) FILTER (WHERE orig_class = 'implicit_hate') AS ni FROM br GROUP BY ALL)""") + """
 SELECT g.dataset, g.model, g.category, g.name, CAST(coalesce(c.n_found, 0) AS BIGINT) AS n_found,
        CAST(coalesce(c.n_correct, 0) AS BIGINT) AS n_correct,
-       round(CAST(coalesce(c.n_found, 0) AS DOUBLE) / CAST(sz.n AS DOUBLE) * 100.0, 6) AS pct_of_set
+       round(CAST(coalesce(c.n_found, 0) AS DOUBLE) / CAST(sz.n AS DOUBLE) * 100.0, 6) AS pct_of_set,
+       round(CAST(coalesce(c.n_correct, 0) AS DOUBLE)
+            / CAST(greatest(coalesce(c.n_found, 0), 1) AS DOUBLE) * 100.0, 6) AS pct_correct,
+       CASE WHEN g.category = 6 THEN sz.ni ELSE sz.n END AS out_of
 FROM grid g LEFT JOIN cnt c USING (dataset, category) JOIN sz USING (dataset)""")
 def q_example_counts(spark, sf_dir):
     return ER.example_counts(scored(spark, sf_dir))
@@ -155,7 +158,7 @@ def _text_sql(x):
 
 @register("dom25_top_examples", with_scored(_BEST + """,
 rk AS (SELECT *, row_number() OVER (PARTITION BY dataset, category ORDER BY
-          CASE WHEN category IN (4, 8) THEN round(confidence, 12) ELSE -round(confidence, 12) END, ex_id) AS rank FROM cat)""") + f"""
+          CASE WHEN category IN (4, 8) THEN abs(l1 - l0) ELSE -abs(l1 - l0) END, ex_id) AS rank FROM cat)""") + f"""
 SELECT dataset, category, CAST(rank AS INTEGER) AS rank, model, ex_id, {_text_sql('text')} AS text,
        {_label_sql('label')} AS true_label, {_label_sql('predicted')} AS pred_label,
        round(confidence, 6) AS confidence, orig_class, words
@@ -168,9 +171,9 @@ def q_examples(spark, sf_dir):
 _MODEL_LIST = "[" + ", ".join(f"'{m}'" for m in MODELS) + "]"
 _PE = f"""
 sx AS (SELECT *, list_position({_MODEL_LIST}, model) - 1 AS idx FROM scored),
-pe AS (SELECT dataset, ex_id, count(*) AS n_models,
-              CAST(sum(CASE WHEN NOT correct THEN (1 << idx) ELSE 0 END) AS BIGINT) AS err_mask,
-              CAST(sum(CASE WHEN predicted = 1 THEN (1 << idx) ELSE 0 END) AS BIGINT) AS pos_mask,
+pe AS (SELECT dataset, ex_id, count(DISTINCT idx) AS n_models,
+              CAST(bit_or(CASE WHEN NOT correct THEN (1 << idx) ELSE 0 END) AS BIGINT) AS err_mask,
+              CAST(bit_or(CASE WHEN predicted = 1 THEN (1 << idx) ELSE 0 END) AS BIGINT) AS pos_mask,
               avg(confidence) AS avg_conf, first(label) AS label, first(text) AS text,
               first(orig_class) AS orig_class
        FROM sx WHERE idx >= 0 GROUP BY dataset, ex_id)"""
@@ -212,7 +215,7 @@ _REGIONS = "(VALUES " + ", ".join(f"({m}, '{nm}')" for m, nm in ER.region_names(
 
 
 @register("dom28_error_overlap", with_scored(_PE) + f"""
-SELECT d.dataset, rg.region, CAST(rg.err_mask AS INTEGER) AS err_mask,
+SELECT d.dataset, rg.region, CAST(rg.err_mask AS BIGINT) AS err_mask,
        (SELECT count(*) FROM pe WHERE pe.dataset = d.dataset AND pe.err_mask = rg.err_mask) AS n_errors
 FROM (SELECT DISTINCT dataset FROM pe) d CROSS JOIN {_REGIONS}""")
 def q_overlap(spark, sf_dir):

@@ -12,16 +12,20 @@ def get_spark(master: str | None = None, app: str = "tessera",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session tuned for the operators in this package.
 
-    On a cluster, pass ``master=None`` and let spark-submit decide; the
-    local defaults only apply to tests and the bench.
+    On a cluster, pass ``master=None`` and let spark-submit decide; shuffle
+    partitions and driver memory are only set for a local master (tests and
+    the bench) or where the caller names them.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cores = os.cpu_count() or 8
+    local = bool(master and master.startswith("local"))
+    if shuffle_partitions or local:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or os.cpu_count() or 8))
+    if local:
+        builder = builder.config("spark.driver.memory", "16g")
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -29,7 +33,6 @@ def get_spark(master: str | None = None, app: str = "tessera",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -81,3 +84,11 @@ def bounded_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
     from pyspark.sql import functions as F
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def small_side(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """A per-group table as a join side: written once, then broadcast if its
+    row count is within the bound.  Left to AQE, both sides' shuffles start
+    together and the fact rows are already dealt by a handful of group keys
+    when the small side's size becomes known."""
+    return bounded_broadcast(materialize(df), max_rows)

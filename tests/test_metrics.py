@@ -121,7 +121,7 @@ def test_three_models_overlap_regions_and_agreement(spark):
     # 8 examples, one per wrong/right pattern of three models; label 1.
     rows = []
     for ex in range(8):
-        for mi, m in enumerate(ER.MODELS):
+        for mi, m in enumerate(("m0", "m1", "m2")):
             wrong = (ex >> mi) & 1
             rows.append((m, "d0", ex, 1, 1.0 if wrong else -1.0, -1.0 if wrong else 1.0))
     df = _scored(spark, rows)
@@ -153,3 +153,38 @@ def test_coverage_monotone_and_partition_independent(spark):
     one = sorted(tuple(r) for r in M.performance_summary(s.repartition(1)).collect())
     many = sorted(tuple(r) for r in M.performance_summary(s.repartition(7)).collect())
     assert one == many
+
+
+def test_saturated_scores_keep_their_order(spark):
+    # p is 1.0 to 12 decimals for all four rows; the logits still rank them
+    rows = [("m", "d", i, y, 0.0, z) for i, (z, y) in enumerate([(31.0, 1), (30.4, 0), (29.6, 1), (29.0, 0)])]
+    assert M.auc_ap(_scored(spark, rows)).first()["roc_auc"] == 0.75
+    assert M.roc_pr_curves(_scored(spark, rows)).count() == 4
+
+
+def test_any_models_and_any_number(spark):
+    names = ["alpha", "beta", "gamma", "delta"]
+    rows = []
+    for ex in range(16):
+        for mi, m in enumerate(sorted(names)):
+            wrong = (ex >> mi) & 1
+            rows.append((m, "d0", ex, 1, 1.0 if wrong else -1.0, -1.0 if wrong else 1.0))
+    df = _scored(spark, rows + rows[:7])          # repeated rows change no mask
+    ov = {r["region"]: r["n_errors"] for r in ER.error_overlap(df).collect()}
+    assert len(ov) == 15 and set(ov.values()) == {1} and "all 4" in ov and "alpha+beta" in ov
+    assert ER.consensus_failures(df).first()["n_consensus"] == 1
+    assert ER.findings(df).count() == 4 and ER.agreement_matrix(df).count() == 16
+    some = {r["region"] for r in ER.error_overlap(df, ["alpha", "beta"]).collect()}
+    assert some == {"only alpha", "only beta", "all 2"}
+
+
+def test_missing_temperature_keeps_rows(spark):
+    from tessera.operators import calibration as C
+    df = _scored(spark, [("m", "d", i, 1, 0.0, 1.0) for i in range(3)] + [("n", "d", i, 1, 0.0, 9.0) for i in range(2)])
+    temps = spark.createDataFrame([("m", "d", 2.0)], "model string, dataset string, T double")
+    cal = C.apply_temperature(df, temps)
+    assert cal.count() == 5 and cal.where("T is null and p_hs_cal is null").count() == 2
+    assert [tuple(r) for r in C.missing_temperatures(df, temps).collect()] == [("n", "d", 2)]
+    assert M.route(cal).where("model = 'n' and route = 'rag'").count() == 2
+    t = {r["model"]: r for r in C.calibration_table(cal).collect()}
+    assert t["n"]["T"] is None and t["n"]["ece_cal"] is None and t["n"]["ece_raw"] is not None

@@ -23,7 +23,7 @@ def test_stream_router_matches_batch(spark):
     temps = C.temperatures_from_map(spark, {f"{m}_{d}": 2.0 for m in ("m0", "m1", "m2") for d in DATASETS},
                                     DATASETS)
     sink = tempfile.mkdtemp(prefix="tessera-sink-")
-    run_router(spark, src, temps, sink, name="test-router")
+    run_router(spark, src, temps, sink, tempfile.mkdtemp(prefix="tessera-cp-"))
     streamed = spark.read.parquet(sink)
     batch = M.route(C.apply_temperature(with_scores(spark.read.parquet(src)), temps), 0.90)
     a = sorted(tuple(r) for r in route_counts(streamed).collect())
@@ -79,14 +79,37 @@ def test_small_library_functions(spark):
     assert spark.read.parquet(os.path.join(d, "vectors")).where("model = 'm' AND variant = 'v'").count() == 1
 
 
-def test_stream_router_restart_is_exactly_once(spark):
-    logits = logits_table(read_table(spark, SF001, "documents"), read_table(spark, SF001, "labels"))
-    src = tempfile.mkdtemp(prefix="tessera-src2-")
-    logits.repartition(2).write.mode("overwrite").parquet(src)
-    temps = C.temperatures_from_map(spark, {f"{m}_{d}": 1.5 for m in ("m0", "m1", "m2") for d in DATASETS},
-                                    DATASETS)
-    sink = tempfile.mkdtemp(prefix="tessera-sink2-")
-    run_router(spark, src, temps, sink, name="restart-router")
-    first = spark.read.parquet(sink).count()
-    run_router(spark, src, temps, sink, name="restart-router")   # restart: nothing new to process
-    assert spark.read.parquet(sink).count() == first == logits.count()
+_ROUTE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from tessera.session import get_spark
+from tessera.streaming.router import run_router
+spark = get_spark("local[2]", app="router", shuffle_partitions=2)
+temps = spark.createDataFrame([("m", "d", 2.0)], "model string, dataset string, T double")
+run_router(spark, sys.argv[2], temps, sys.argv[3], sys.argv[4])
+spark.stop()
+"""
+
+
+def test_stream_router_new_process_with_new_files(spark):
+    """Two processes, new files in between: every source row reaches the sink once."""
+    import subprocess
+    import sys
+    top = tempfile.mkdtemp(prefix="tessera-restart-")
+    src, sink, ckpt = (os.path.join(top, x) for x in ("src", "sink", "ckpt"))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+    def rows(lo, hi):
+        return spark.createDataFrame(
+            [("m" if k % 2 else "other", "d", k, "t", k % 2, "c", 0.0, float(k - 10)) for k in range(lo, hi)],
+            "model string, dataset string, ex_id long, text string, label int, orig_class string, l0 double, l1 double")
+
+    for lo, hi in ((0, 10), (10, 25)):
+        rows(lo, hi).coalesce(1).write.mode("append").parquet(src)
+        done = subprocess.run([sys.executable, "-c", _ROUTE, root, src, sink, ckpt], capture_output=True, text=True, timeout=200)
+        assert done.returncode == 0, done.stderr[-800:]
+    got = spark.read.parquet(sink)
+    assert sorted(r[0] for r in got.select("ex_id").collect()) == list(range(25))
+    # rows without a temperature are kept and routed
+    assert got.where("model = 'other'").count() == 13
+    assert got.where("model = 'other' and T is null and route = 'rag'").count() == 13
