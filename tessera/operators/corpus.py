@@ -1,13 +1,14 @@
 """Training-corpus operators (PRJ1-PRJ8, WIN1-WIN2, JN2-JN3, SET1-SET5,
 GEN1-GEN3, AGG2-AGG7, AGG16, SMP1, SRT1, DOM31-DOM32).
 
-Keep-first de-duplication is a ``row_number()`` over the dedup key ordered
-by (priority, row index): a hash shuffle on the key, so a key holding a
-third of all rows is still one sort inside one task -- but only of that
-key's rows, never of the whole corpus.  The three-corpus cascade of the
-study (internal keep-first, then drop what a higher-priority corpus holds)
-is provably the same as one keep-first over the union ordered by
-(priority, row index), so it costs one shuffle instead of five.
+Keep-first de-duplication: texts are grouped by a 128-bit digest of their
+normal form, the first (priority, row index) per digest is an aggregate that
+is reduced map-side, and the rows are semi-joined with it, so a text crosses
+one exchange and no sort sees it; a key holding a third of all rows is one
+aggregate row per map task.  The three-corpus cascade of the study (internal
+keep-first, then drop what a higher-priority corpus holds) is provably the
+same as one keep-first over the union ordered by (priority, row index), so it
+costs one pass instead of five.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dedup_norm, word_count
-from tessera.operators.prefix import contiguous_ids
+from tessera.operators.prefix import prefix_sums
+from tessera.session import materialize
 
 # Corpora in priority order, carved out of documents.source
 # by numeric suffix (src0-6, src7-13, src14-19).
@@ -48,17 +50,6 @@ def binary_label(cls="orig_class", negative="not_hate") -> Column:
     return F.when(F.col(cls) == negative, F.lit(0)).otherwise(F.lit(1))
 
 
-def label_whitelist(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
-    """PRJ3 (whitelist form)."""
-    return df.where(F.col(col).isin(list(keep)))
-
-
-def drop_empty(df: DataFrame, col="text") -> DataFrame:
-    """PRJ4: drop rows whose stripped text is empty."""
-    from tessera.functions.text import strip
-    return df.where(F.length(strip(col)) > 0)
-
-
 def holdout_bucket(id_col="doc_id") -> Column:
     """PRJ5: a deterministic 0-99 bucket from md5 of the id (independent of
     partitioning, unlike randomSplit)."""
@@ -121,11 +112,18 @@ def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
 
     Skew-safe: the first (order...) per key is a min() aggregate, reduced
     map-side, and rows are then semi-joined on (key, order) -- a hot key is
-    never sorted inside one task.  NULL keys form one group, as in a window.
+    never sorted inside one task.  String keys take part as md5 digests, in
+    the aggregate and in the join.  NULL keys form one group, as in a window.
     """
-    firsts = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_f")).select(
-        *[F.col(k).alias(f"_k_{k}") for k in key], *[F.col(f"_f.{o}").alias(f"_o_{o}") for o in order])
-    cond = [df[k].eqNullSafe(firsts[f"_k_{k}"]) for k in key] + [df[o] == firsts[f"_o_{o}"] for o in order]
+    strings = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+
+    def short(k):
+        return F.md5(F.col(k)) if k in strings else F.col(k)
+
+    firsts = df.select(*[short(k).alias(f"_k_{k}") for k in key], *[F.col(o).alias(f"_o_{o}") for o in order]) \
+        .groupBy(*[f"_k_{k}" for k in key]).agg(F.min(F.struct(*[f"_o_{o}" for o in order])).alias("_f")).select(
+        *[f"_k_{k}" for k in key], "_f.*")
+    cond = [short(k).eqNullSafe(F.col(f"_k_{k}")) for k in key] + [F.col(o) == F.col(f"_o_{o}") for o in order]
     return df.join(firsts, cond, "left_semi")
 
 
@@ -216,6 +214,8 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     v = F.col(col).cast("double")
     # One aggregate row comes back to the driver: the bin edges are literals.
     mn, mx = df.agg(F.min(v), F.max(v)).first()
+    if mn is not None and mn == mx:      # a constant column: half a unit to either side
+        mn, mx = mn - 0.5, mx + 0.5
     d = df.select(v.alias("_v"), F.lit(mn).cast("double").alias("_mn"), F.lit(mx).cast("double").alias("_mx"))
     mm = df.sparkSession.range(1).select(F.lit(mn).cast("double").alias("_mn"),
                                          F.lit(mx).cast("double").alias("_mx"))
@@ -225,7 +225,7 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     i0 = F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(bins - 1)).cast("int")
     i1 = F.when(F.col("_v") < edge(i0), i0 - 1).when(
         (i0 != bins - 1) & (F.col("_v") >= edge(i0 + 1)), i0 + 1).otherwise(i0)
-    counted = d.withColumn("bin", F.when(F.col("_mx") == F.col("_mn"), F.lit(0)).otherwise(i1)) \
+    counted = d.withColumn("bin", i1) \
         .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     grid = mm.select("_mn", "_mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = grid.join(counted, "bin", "left")
@@ -252,12 +252,19 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFra
 
 def build_chunks(labelled: DataFrame, max_tokens: int = CHUNK_MAX_TOKENS) -> DataFrame:
     """DOM32: train split -> cascade dedup -> '[label] text' -> contiguous
-    id -> token length -> keep <= max_tokens -> contiguous id again."""
+    id -> token length -> keep <= max_tokens -> contiguous id again.
+
+    Both ids come from one pass over the small columns (priority, ex_id and
+    the length); the texts are joined by ex_id at the end."""
     train = labelled.where(F.col("split") == "train").withColumn("norm", dedup_norm("text"))
     kept = keep_first(train, ["norm"], ["priority", "ex_id"])
-    pre = kept.select("priority", "ex_id", label_prefix("text", "label_name").alias("text"))
-    ids = contiguous_ids(pre, [F.col("priority"), F.col("ex_id")], "chunk_id0")
-    sized = ids.withColumn("token_length", word_count("text"))
-    short = sized.where(F.col("token_length") <= max_tokens)
-    return contiguous_ids(short, [F.col("chunk_id0")], "chunk_id").select(
-        "chunk_id", "text", "token_length", "chunk_id0")
+    pre = materialize(kept.select("priority", "ex_id", label_prefix("text", "label_name").alias("text"))
+                      .withColumn("token_length", word_count("text")))
+    small = (pre.select("priority", "ex_id", "token_length").withColumn("_g", F.lit(0))
+             .withColumn("_one", F.lit(1).cast("long"))
+             .withColumn("_short", F.when(F.col("token_length") <= max_tokens, 1).otherwise(0).cast("long")))
+    ids = prefix_sums(small, ["_g"], [F.col("priority"), F.col("ex_id")], ["_one", "_short"], prefix="_cum")
+    ids = ids.where("_short = 1").select("ex_id", "priority", (F.col("_cum_short") - 1).alias("chunk_id"),
+                                         (F.col("_cum_one") - 1).alias("chunk_id0"))
+    return (pre.where(F.col("token_length") <= max_tokens).join(ids, ["ex_id", "priority"])
+            .select("chunk_id", "text", "token_length", "chunk_id0"))

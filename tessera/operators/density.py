@@ -68,10 +68,11 @@ def max_chunk_tokens(max_len: int = 512, query_tokens: int = 100, k: int = 5) ->
 
 
 def rag_context(hits: DataFrame, chunks: DataFrame, chunk_tokens: int = 64, sep: str = " [SEP] ") -> DataFrame:
-    """DOM36: per query, the ranked hit texts (capped to ``chunk_tokens``)
-    joined with ``sep``.  A query holds at most k hits, so the list is
-    bounded by k."""
-    j = hits.join(chunks.select("chunk_id", hard_token_cap("text", chunk_tokens).alias("_t")), "chunk_id")
+    """DOM36: per query, the ranked hit texts joined with ``sep``.  Hits should
+    be chunks that fit ``chunk_tokens``; longer ones are cut after the join.  A
+    query holds at most k hits, so the list is bounded by k."""
+    j = hits.join(chunks.select("chunk_id", "text"), "chunk_id").withColumn(
+        "_t", hard_token_cap("text", chunk_tokens))
     agg = j.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "_t"))).alias("_l"))
     return agg.select("query_id", F.array_join(F.transform("_l", lambda s: s["_t"]), sep).alias("context"),
                       F.size("_l").alias("n_hits"))

@@ -3,16 +3,16 @@
 Search is exhaustive inner product on L2-normalised vectors (cosine), the
 semantics of a flat index.  Physical plan:
 
-* the query side is cut into batches whose size is checked (rows x dim
-  doubles under ``max_broadcast_bytes``); each batch is broadcast once;
-* the corpus stays partitioned where it is; ``mapInPandas`` multiplies each
-  Arrow batch of corpus vectors with the query batch (one BLAS matmul) and
-  keeps, per query, only its local top-k (ties: smaller id first) or the
-  hits over the threshold -- the big score matrix never leaves the task;
+* both sides are packed into blocks inside their partitions; the corpus
+  blocks are dealt to slices, every query block goes to every slice once, and
+  the blocks of a slice meet in a shuffle join on the slice number, so neither
+  side passes through the driver and none is broadcast;
+* a task multiplies one query block with one corpus block at a time (one
+  BLAS matmul of at most ``QUERY_BLOCK`` x ``CORPUS_BLOCK`` scores) and keeps,
+  per query, only its local top-k (ties: smaller id first) or the hits over
+  the threshold -- the score matrix never leaves the task;
 * local winners are merged with ``row_number() <= k`` per query, which
   Spark evaluates as a partial top-k before the shuffle.
-
-Nothing pairs rows in a join, so there is no Cartesian product in the plan.
 """
 
 from __future__ import annotations
@@ -21,15 +21,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import tokens
 
-MAX_BROADCAST_BYTES = 64 << 20
+# Scores of one matmul: 512 x 2048 doubles, 8 MB, and a few arrays like it.
+QUERY_BLOCK = 512
+CORPUS_BLOCK = 2048
 NO_SELF = -(1 << 63)
-HIT_SCHEMA = "query_id long, chunk_id long, score double"
 
 
 def l2_normalize(c) -> Column:
@@ -89,94 +91,92 @@ def integrity(vectors: DataFrame, dim: int, col: str = "embedding") -> DataFrame
                        F.lit(dim).alias("dim"))
 
 
-def _query_batches(queries: DataFrame, max_bytes: int):
-    """Collect the query side in batches of bounded size (the check that
-    guards the broadcast).  Yields (ids, self_ids, matrix)."""
-    q = queries.select("query_id", F.coalesce(F.col("self_id"), F.lit(NO_SELF)).alias("self_id"),
-                       "embedding").persist()
-    try:
-        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-        n, dim = int(stats["n"]), max(int(stats["d"] or 1), 1)
-        if n == 0:
-            return
-        per_batch = max(1, max_bytes // (dim * 8 + 16))
-        n_batches = (n + per_batch - 1) // per_batch
-        keyed = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_batches))) \
-            if n_batches > 1 else q.withColumn("_b", F.lit(0))
-        for b in range(n_batches):
-            pdf = keyed.where(F.col("_b") == b).drop("_b").toPandas()
-            if len(pdf) == 0:
-                continue
-            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
-            yield (pdf["query_id"].to_numpy(np.int64), pdf["self_id"].to_numpy(np.int64), mat)
-    finally:
-        q.unpersist()
-
-
-def _local_hits(corpus: DataFrame, qids, qself, qmat, k: int | None, threshold: float | None,
-                block: int = 4096) -> DataFrame:
-    spark = corpus.sparkSession
-    bc = spark.sparkContext.broadcast((qids, qself, qmat))
+def _packed(df: DataFrame, id_col: str, extra: list[str], rows: int, salt: Column) -> DataFrame:
+    """Pack vectors into blocks of at most ``rows`` rows: one row per block with
+    its ids, its extra columns and its matrix as flat doubles.  Blocks are cut
+    inside the partitions, so packing moves nothing."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"{c} array<{types[c]}>" for c in [id_col, *extra]] + ["dim int", "m array<double>"])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_q, self_q, mat_q = bc.value
         for pdf in it:
-            if len(pdf) == 0:
-                continue
-            pdf = pdf.sort_values("chunk_id", kind="stable")
-            for s in range(0, len(pdf), block):
-                part = pdf.iloc[s:s + block]
-                cid = part["chunk_id"].to_numpy(np.int64)
-                cm = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
-                # 12 decimals: equal vectors tie exactly whatever the BLAS
-                # kernel's summation order, so the id tie-break decides.
-                S = np.round(mat_q @ cm.T, 12)
-                valid = ~(cid[None, :] == self_q[:, None])
-                if threshold is not None:
-                    valid &= S >= threshold
-                S = np.where(valid, S, -np.inf)
-                if k is not None and S.shape[1] > k:
-                    kth = -np.partition(-S, k - 1, axis=1)[:, k - 1:k]
-                    greater = S > kth
-                    need = k - greater.sum(axis=1, keepdims=True)
-                    ties = S == kth
-                    sel = greater | (ties & (np.cumsum(ties, axis=1) <= need))
-                else:
-                    sel = np.ones_like(S, dtype=bool)
-                sel &= valid
-                qi, ci = np.nonzero(sel)
-                if len(qi):
-                    yield pd.DataFrame({"query_id": ids_q[qi], "chunk_id": cid[ci], "score": S[qi, ci]})
-
-    return corpus.select("chunk_id", "embedding").mapInPandas(run, HIT_SCHEMA)
-
-
-def search(queries: DataFrame, corpus: DataFrame, k: int | None = 3,
-           threshold: float | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+            for s in range(0, len(pdf), rows):
+                part = pdf.iloc[s:s + rows]
+                mat = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
+                yield pd.DataFrame({**{c: [part[c].tolist()] for c in [id_col, *extra]},
+                                    "dim": [mat.shape[1]], "m": [mat.ravel()]})
+
+    return df.select(id_col, *extra, "embedding").mapInPandas(run, schema).withColumn("_r", salt)
+
+
+def _block_hits(qids, selfs, qmat, cids, cmat, k, threshold):
+    """Hits of one query block against one corpus block: (query, corpus, score)."""
+    order = np.argsort(cids, kind="stable")
+    cids, cmat = cids[order], cmat[order]
+    # 12 decimals: equal vectors tie exactly whatever the BLAS kernel's order
+    # of summation, so the id tie-break decides; a score within 5e-13 of the
+    # threshold counts as at it.
+    score = np.round(qmat @ cmat.T, 12)
+    valid = selfs[:, None] != cids[None, :]
+    if threshold is not None:
+        valid &= score >= threshold
+    score[~valid] = -np.inf
+    if k is not None and score.shape[1] > k:
+        kth = np.partition(score, -k, axis=1)[:, -k][:, None]
+        ties = score == kth
+        valid &= (score > kth) | (ties & (np.cumsum(ties, axis=1, dtype=np.int32)
+                                          <= k - (score > kth).sum(axis=1, keepdims=True)))
+    qi, ci = np.nonzero(valid)
+    return qids[qi], cids[ci], score[qi, ci]
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int | None = 3, threshold: float | None = None,
+           query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK,
+           slices: int | None = None) -> DataFrame:
     """DOM4 (k, no threshold), DOM5 (threshold, k=None) and DOM6 (both).
 
     ``queries``: (query_id, self_id nullable, embedding); ``corpus``:
-    (chunk_id, embedding); both already L2-normalised.  A non-NULL self_id
-    is excluded inside the scan (DOM7/JN6), so exactly k hits remain when
-    the corpus has them.  Result: (query_id, rank, chunk_id, score).
+    (chunk_id, embedding); both already L2-normalised; ``query_id`` may be of
+    any type.  A non-NULL self_id is excluded before the top-k (DOM7/JN6), so
+    exactly k hits remain when the corpus has them.  Result: (query_id, rank,
+    chunk_id, score), or without rank for a range search.
     """
-    parts = [_local_hits(corpus, ids, sf, mat, k, threshold)
-             for ids, sf, mat in _query_batches(queries, max_broadcast_bytes)]
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], HIT_SCHEMA + ", rank int") \
-            .select("query_id", "rank", "chunk_id", "score")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    spark = corpus.sparkSession
+    slices = slices or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                  corpus.rdd.getNumPartitions()))
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    q = _packed(queries.select("query_id", F.coalesce(F.col("self_id"), F.lit(NO_SELF)).alias("self_id"), "embedding"),
+                "query_id", ["self_id"], query_block, F.lit(None).cast("int"))
+    # every query block goes to every slice of the corpus once; a corpus block to one slice
+    q = q.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumnsRenamed(
+        {"dim": "qdim", "m": "qm"})
+    c = _packed(corpus, "chunk_id", [], corpus_block,
+                F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int"))
+    pairs = c.join(q, "_r").select("query_id", "self_id", "qdim", "qm", "chunk_id", "dim", "m")
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                col = {n: batch.column(i)[row].values for i, n in enumerate(batch.schema.names)
+                       if n not in ("qdim", "dim")}
+                qids = np.array(col["query_id"].to_pylist() + [None], dtype=object)[:-1]
+                cids = col["chunk_id"].to_numpy(zero_copy_only=False)
+                hits = _block_hits(qids, col["self_id"].to_numpy(zero_copy_only=False),
+                                   col["qm"].to_numpy(zero_copy_only=False).reshape(len(qids), -1), cids,
+                                   col["m"].to_numpy(zero_copy_only=False).reshape(len(cids), -1), k, threshold)
+                if len(hits[0]):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hits[0].tolist(), batch.schema.field("query_id").type.value_type),
+                         pa.array(hits[1]), pa.array(hits[2])], names=["query_id", "chunk_id", "score"])
+
+    hits = pairs.mapInArrow(run, f"query_id {id_type}, chunk_id long, score double")
     if k is None:
         # Range search has no cap; ranking a query's hits would sort them
         # in one task, so the hit set is returned as is (score per row).
-        return hits.select("query_id", "chunk_id", "score")
+        return hits
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
-    ranked = hits.withColumn("rank", F.row_number().over(w))
-    if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "chunk_id", "score")
+    return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "chunk_id", "score"))
 
 
 def self_queries(vectors: DataFrame, id_col: str = "vec_id", exclude_self: bool = True) -> DataFrame:
@@ -194,6 +194,7 @@ def self_exclusion_audit(vectors: DataFrame, k: int = 3, id_col: str = "vec_id")
     """DOM8: with the self id the own vector never comes back; without it,
     it is found (it scores 1)."""
     corpus = corpus_of(vectors, id_col)
+    # both searches read the same vectors: they are normalised twice, a cheap projection
     with_self = search(self_queries(vectors, id_col, True), corpus, k)
     without = search(self_queries(vectors, id_col, False), corpus, k)
     tagged = (with_self.select("query_id", "chunk_id", F.lit(True).alias("_ex"))
@@ -205,13 +206,9 @@ def self_exclusion_audit(vectors: DataFrame, k: int = 3, id_col: str = "vec_id")
         F.count_distinct(F.when(F.col("_ex") & own, F.col("query_id"))).alias("n_self_returned_with_exclusion"))
 
 
-def id_offset(df: DataFrame, offset: int, col: str = "chunk_id", check_below: int | None = None) -> DataFrame:
-    """GEN2: shift an id space (the second corpus of a union), refusing to
-    run when the first corpus reaches the offset."""
-    if check_below is not None:
-        mx = df.agg(F.max(col)).first()[0]
-        if mx is not None and mx >= check_below:
-            raise ValueError(f"{col} reaches {mx}, cannot offset below {check_below}")
-    return df.withColumn(col, F.col(col) + F.lit(offset))
-
-
+def id_offset(df: DataFrame, after: DataFrame, least: int, col: str = "chunk_id") -> DataFrame:
+    """GEN2: shift the ids of ``df`` (the second corpus of a union) behind those
+    of ``after``: by ``least``, or by max + 1 once the first corpus is larger.
+    One number is read from ``after``, which should be a written table."""
+    top = after.agg(F.max(col)).first()[0]
+    return df.withColumn(col, F.col(col) + F.lit(max(least, -1 if top is None else top + 1)).cast("long"))

@@ -239,12 +239,12 @@ def q_profile(spark, sf_dir):
 
 
 @register("agg7_length_histogram", _PREFIXED + """,
-mm AS (SELECT CAST(min(token_length) AS DOUBLE) AS mn, CAST(max(token_length) AS DOUBLE) AS mx FROM pl),
+m0 AS (SELECT CAST(min(token_length) AS DOUBLE) AS a, CAST(max(token_length) AS DOUBLE) AS z FROM pl),
+mm AS (SELECT CASE WHEN a = z THEN a - 0.5 ELSE a END AS mn, CASE WHEN a = z THEN z + 0.5 ELSE z END AS mx FROM m0),
 raw AS (SELECT CAST(token_length AS DOUBLE) AS v, mn, mx,
                CAST(least(greatest(coalesce(floor((CAST(token_length AS DOUBLE) - mn) * (50.0 / (mx - mn))), 0), 0), 49) AS INTEGER) AS i0
         FROM pl, mm),
-b AS (SELECT CASE WHEN mx = mn THEN 0
-                  WHEN v < (CASE WHEN i0 >= 50 THEN mx ELSE mn + CAST(i0 AS DOUBLE) * ((mx - mn) / 50.0) END) THEN i0 - 1
+b AS (SELECT CASE WHEN v < (CASE WHEN i0 >= 50 THEN mx ELSE mn + CAST(i0 AS DOUBLE) * ((mx - mn) / 50.0) END) THEN i0 - 1
                   WHEN i0 <> 49 AND v >= (CASE WHEN i0 + 1 >= 50 THEN mx ELSE mn + CAST(i0 + 1 AS DOUBLE) * ((mx - mn) / 50.0) END) THEN i0 + 1
                   ELSE i0 END AS bin FROM raw),
 c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),

@@ -10,10 +10,12 @@ from tessera.operators import density as DN
 from tessera.operators import metrics as M
 from tessera.operators import vectors as V
 from tessera.operators.classify import train_and_score
-from tessera.operators.corpus import labelled_corpus
+from tessera.operators.corpus import build_chunks, labelled_corpus
 from tessera.plans.fixtures import DATASETS, scored
 from tessera.plans.sql import with_scored
-from tessera.plans.vector_queries import HASHED, _hashed_sql, _norm_sql
+from tessera.plans.corpus_queries import CHUNKS_CTE, _labelled
+from tessera.plans.vector_queries import _hashed_sql, _norm_sql
+from tessera.session import materialize
 from tessera.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -74,21 +76,23 @@ def q_breakdown(spark, sf_dir):
 
 
 # --- DOM36 retrieval context for text queries ------------------------------------------
-@register("dom36_rag_context", HASHED + f""",
+@register("dom36_rag_context", CHUNKS_CTE + f""",
+hd AS {_hashed_sql('chunks', 'chunk_id')},
+nd AS {_norm_sql('hd', 'chunk_id', 'embedding')},
 hb AS {_hashed_sql('benchmark', 'item_id')},
 nb AS {_norm_sql('hb', 'item_id', 'embedding')},
-pairs AS (SELECT q.item_id AS query_id, c.doc_id AS chunk_id, round(list_inner_product(q.e, c.e), 12) AS s FROM nb q, nd c),
+pairs AS (SELECT q.item_id AS query_id, c.chunk_id, round(list_inner_product(q.e, c.e), 12) AS s FROM nb q, nd c),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM pairs)
         WHERE rank <= 3),
 tx AS (SELECT top.query_id, top.rank, array_to_string(regexp_extract_all(d.text, '{TOKEN}')[1:64], ' ') AS t
-       FROM top JOIN documents d ON d.doc_id = top.chunk_id)
+       FROM top JOIN chunks d ON d.chunk_id = top.chunk_id)
 SELECT query_id, string_agg(t, ' [SEP] ' ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS n_hits
 FROM tx GROUP BY query_id""")
 def q_context(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
     bench = read_table(spark, sf_dir, "benchmark")
-    corpus = V.hashed_embeddings(docs, "doc_id", "text", 64, out_id="chunk_id")
+    chunks = materialize(build_chunks(_labelled(spark, sf_dir)).select("chunk_id", "text"))
+    corpus = materialize(V.hashed_embeddings(chunks, "chunk_id", "text", 64))
     queries = V.hashed_embeddings(bench, "item_id", "text", 64, out_id="query_id") \
         .withColumn("self_id", F.lit(None).cast("long"))
     hits = V.search(queries, corpus, k=3)
-    return DN.rag_context(hits, docs.select(F.col("doc_id").alias("chunk_id"), "text"), 64)
+    return DN.rag_context(hits, chunks, 64)

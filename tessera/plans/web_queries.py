@@ -176,15 +176,15 @@ def q_cap(spark, sf_dir):
 @register("dom9_full_corpus", CHUNKS_CTE + ",\n" + WINDOWS_CTE[len("WITH "):] + f"""
 SELECT chunk_id, text, 'training' AS corpus, '' AS source, '' AS url, '' AS symbol_name FROM chunks
 UNION ALL
-SELECT chunk_id + {OFFSET}, text, 'documents' AS corpus, source, url, name AS symbol_name FROM chunks_g""")
+SELECT chunk_id + greatest({OFFSET}, (SELECT coalesce(max(chunk_id) + 1, 0) FROM chunks)), text, 'documents' AS corpus, source, url, name AS symbol_name FROM chunks_g""")
 def q_full(spark, sf_dir):
     from tessera.operators.corpus import build_chunks
     from tessera.operators.vectors import id_offset
-    train = build_chunks(_labelled(spark, sf_dir)).select("chunk_id", "text")
+    from tessera.session import materialize
+    train = materialize(build_chunks(_labelled(spark, sf_dir)).select("chunk_id", "text"))
     gl = WD.glossary_chunks(_pages(spark, sf_dir)).select("chunk_id", "text", "source", "url", "symbol_name")
-    gl = id_offset(gl, OFFSET, check_below=None)
-    # the training ids must stay below the offset (the study assumed it)
-    train_checked = id_offset(train, 0, check_below=OFFSET)
-    full = train_checked.withColumn("corpus", F.lit("training")).unionByName(
+    # the study's offset, or more once the training ids reach it
+    gl = id_offset(gl, train, OFFSET)
+    full = train.withColumn("corpus", F.lit("training")).unionByName(
         gl.withColumn("corpus", F.lit("documents")), allowMissingColumns=True)
     return full.fillna("", subset=["source", "url", "symbol_name"])

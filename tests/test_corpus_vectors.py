@@ -116,7 +116,7 @@ def test_search_matches_brute_force_and_partitioning(spark):
     exp = _brute(c, c, 4, self_ids=list(range(300)))
     for parts in (1, 6):
         d = df.repartition(parts)
-        hits = V.search(V.self_queries(d), V.corpus_of(d), k=4, max_broadcast_bytes=4096).collect()
+        hits = V.search(V.self_queries(d), V.corpus_of(d), k=4, query_block=7, corpus_block=11, slices=3).collect()
         got = {}
         for r in sorted(hits, key=lambda r: (r["query_id"], r["rank"])):
             got.setdefault(r["query_id"], []).append(r["chunk_id"])

@@ -43,7 +43,6 @@ def test_ml_scoring_grid(spark):
 
 def test_small_library_functions(spark):
     import numpy as np
-    import pytest
     from tessera.functions import text as TX
     from tessera.operators import lexicon as LX
     from tessera.operators import vectors as V
@@ -67,8 +66,10 @@ def test_small_library_functions(spark):
     register_metric("n_rows", lambda s: s.agg(F.count(F.lit(1)).alias("n")))
     assert compute_metric("n_rows", texts).first()["n"] == 2
 
-    with pytest.raises(ValueError):
-        V.id_offset(spark.createDataFrame([(100000, "x")], "chunk_id long, text string"), 0, check_below=100000)
+    second = spark.createDataFrame([(0, "x")], "chunk_id long, text string")
+    for top, want in ((99_999, 100_000), (100_000, 100_001), (250_000, 250_001)):
+        first = spark.createDataFrame([(top, "y")], "chunk_id long, text string")
+        assert V.id_offset(second, first, 100_000).first()["chunk_id"] == want
 
     d = tempfile.mkdtemp(prefix="tessera-sinks-")
     SK.write_chunks(texts, os.path.join(d, "chunks"))
