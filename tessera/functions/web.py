@@ -148,6 +148,12 @@ def canonical_url(u) -> Column:
     return F.regexp_replace(c, "/+$", "")
 
 
+def cut_url(u) -> Column:
+    """An href without its fragment and query."""
+    c = F.col(u) if isinstance(u, str) else u
+    return F.split_part(F.split_part(c, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
+
+
 def sql_canonical_url(x: str) -> str:
     return f"regexp_replace(split_part(split_part({x}, '#', 1), '?', 1), '/+$', '', 'g')"
 
@@ -172,13 +178,25 @@ def source_of(website) -> Column:
 
 
 def resolve_href(href, base_origin) -> Column:
-    """Absolute form of an href against the site origin (urljoin on a root)."""
+    """Absolute form of an href against the site's root: other schemes and
+    absolute URLs stay, ``//host`` takes the scheme, and the dot segments of a
+    rooted or relative path are resolved (``..`` stops at the root)."""
     h = strip(F.col(href) if isinstance(href, str) else href)
     o = F.col(base_origin) if isinstance(base_origin, str) else base_origin
-    return (F.when(h.rlike(r"^(?i)https?://"), h)
+    path = F.when(h.startswith("/"), h).otherwise(F.concat(F.lit("/"), F.regexp_replace(h, "/+", "/")))
+    solved = F.aggregate(F.split(F.substr(path, F.lit(2)), "/", -1), F.lit(""), lambda acc, x: F.when(
+        x == "..", F.regexp_replace(acc, "/[^/]*$", "")).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x)))
+    return (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
             .when(h.startswith("//"), F.concat(F.regexp_extract(o, r"^([^:]+:)", 1), h))
-            .when(h.startswith("/"), F.concat(o, h))
-            .otherwise(F.concat(o, F.lit("/"), h)))
+            .otherwise(F.concat(o, solved)))
+
+
+def sql_resolve_href(h: str, o: str) -> str:
+    path = f"CASE WHEN starts_with({h}, '/') THEN {h} ELSE '/' || regexp_replace({h}, '/+', '/', 'g') END"
+    return (f"CASE WHEN regexp_matches({h}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {h} "
+            f"WHEN starts_with({h}, '//') THEN regexp_extract({o}, '^([^:]+:)', 1) || {h} "
+            f"ELSE {o} || list_reduce(list_prepend('', string_split(substr({path}, 2), '/')), lambda acc, x: "
+            f"CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END) END")
 
 
 def page_url(base_url, pagination, n) -> Column:

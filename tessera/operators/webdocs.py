@@ -62,9 +62,10 @@ def page_records(pages: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
 
 
 def parsed_records(pages: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
-    """Successfully parsed records, checkpointed: name and body feed several
+    """Records of pages with status ok that parsed, checkpointed: name and body feed several
     expressions downstream and must not be re-parsed for each of them."""
-    return materialize(page_records(pages, label)).where(F.col("skip_reason") == "parsed_successfully")
+    return materialize(page_records(pages, label)).where(
+        (F.col("status") == "ok") & (F.col("skip_reason") == "parsed_successfully"))
 
 
 def skip_counts(records: DataFrame) -> DataFrame:
@@ -73,14 +74,15 @@ def skip_counts(records: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame, detail_path: str = DETAIL_PATH,
-               skip_patterns: Sequence[str] = SKIP_PATTERNS) -> DataFrame:
-    """SCL6 + SCL5 + PRJ12: every <a href> of a page, resolved against the
-    page's origin, canonicalised, filtered; (page_id, pos, link)."""
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit(r'(?is)<a\b[^>]*?href="([^"]*)"'), 1)
+               skip_patterns: Sequence[str] = SKIP_PATTERNS, main_only: bool = False) -> DataFrame:
+    """SCL6 + SCL5 + PRJ12: every <a href> of a page (or of its main content
+    only), resolved against the page's origin, canonicalised, filtered;
+    (page_id, pos, link)."""
+    hrefs = F.regexp_extract_all(W.main_html("html") if main_only else F.col("html"), F.lit(r'(?is)<a\b[^>]*?href="([^"]*)"'), 1)
     ex = pages.select("page_id", W.canonical_url("url").alias("page_url"),
                       W.origin("url").alias("_o"), F.posexplode(hrefs).alias("pos", "href"))
     ex = ex.where(F.col("href").contains(detail_path))
-    link = W.canonical_url(W.resolve_href("href", "_o"))
+    link = W.canonical_url(W.resolve_href(W.cut_url("href"), "_o"))
     out = ex.select("page_id", "page_url", "pos", link.alias("link"))
     for pat in skip_patterns:
         out = out.where(~F.col("link").rlike(pat))
@@ -88,22 +90,35 @@ def page_links(pages: DataFrame, detail_path: str = DETAIL_PATH,
 
 
 def link_harvest_log(pages: DataFrame) -> DataFrame:
-    """DOM35 page log: links found per page and an ok / no_links status."""
+    """DOM35 page log: links found per page; a page that was fetched is ``ok``
+    also without links, one without content is ``failed``."""
     links = page_links(pages).groupBy("page_id").agg(F.count(F.lit(1)).alias("links_found"))
     base = pages.select("page_id", W.canonical_url("url").alias("page_url"),
                         F.length(W.html_to_markdown("html")).alias("markdown_length"))
     j = base.join(links, "page_id", "left")
     n = F.coalesce("links_found", F.lit(0))
-    return j.select("page_id", "page_url", "markdown_length", n.alias("links_found"),
-                    F.when(n > 0, F.lit("ok")).otherwise(F.lit("no_links")).alias("status"))
+    return j.select("page_id", "page_url", F.coalesce("markdown_length", F.lit(0)).alias("markdown_length"), n.alias("links_found"),
+                    F.when(F.col("markdown_length").isNull(), F.lit("failed: no content"))
+                    .otherwise(F.lit("ok")).alias("status"))
+
+
+def require_links(pages: DataFrame) -> DataFrame:
+    """DOM35: links per source; a source that yields none is an error."""
+    found = materialize(pages.select(W.source_of(W.origin("url")).alias("source"), "page_id").join(
+        page_links(pages).select("page_id", "link"), "page_id", "left").groupBy("source").agg(
+        F.count("link").alias("links")))
+    empty = [r["source"] for r in found.where("links = 0").limit(20).collect()]
+    if empty:
+        raise ValueError(f"no URLs found for {', '.join(sorted(empty))}")
+    return found
 
 
 def unique_links(pages: DataFrame) -> DataFrame:
-    """WIN1 on url + SRT2: distinct harvested URLs with the page that first
-    linked them (first by page_id, position)."""
+    """WIN1 on url + SRT2: distinct harvested URLs, sorted, with the page that
+    first linked them (first by page_id, position)."""
     l = page_links(pages)
     first = keep_first(l, ["link"], ["page_id", "pos"])
-    return first.select("link", F.col("page_id").alias("first_page_id"))
+    return first.select("link", F.col("page_id").alias("first_page_id")).orderBy("link")
 
 
 def links_per_source(pages: DataFrame) -> DataFrame:

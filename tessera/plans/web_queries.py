@@ -74,9 +74,9 @@ LINKS_CTE = f"""WITH lx AS (
          regexp_extract_all(html, '(?is)<a\\b[^>]*?href="([^"]*)"', 1) AS hrefs FROM pages),
 lu AS (SELECT page_id, page_url, o, CAST(i - 1 AS INTEGER) AS pos, hrefs[i] AS href
        FROM lx, LATERAL (SELECT unnest(generate_series(1, len(hrefs))) AS i)),
-lr AS (SELECT page_id, page_url, pos, {sql_strip('href')} AS h, o FROM lu WHERE contains(href, {_q(WD.DETAIL_PATH)})),
+lr AS (SELECT page_id, page_url, pos, {sql_strip("split_part(split_part(href, '#', 1), '?', 1)")} AS h, o FROM lu WHERE contains(href, {_q(WD.DETAIL_PATH)})),
 links0 AS (SELECT page_id, page_url, pos,
-           {W.sql_canonical_url("CASE WHEN regexp_matches(h, '^(?i)https?://') THEN h WHEN starts_with(h, '//') THEN regexp_extract(o, '^([^:]+:)', 1) || h WHEN starts_with(h, '/') THEN o || h ELSE o || '/' || h END")} AS link
+           {W.sql_canonical_url(W.sql_resolve_href('h', 'o'))} AS link
            FROM lr),
 links AS (SELECT * FROM links0 WHERE {_SKIP})"""
 
@@ -101,9 +101,9 @@ def q_links(spark, sf_dir):
 
 @register("dom35_link_harvest_log", LINKS_CTE + f""",
 lc AS (SELECT page_id, count(*) AS links_found FROM links GROUP BY page_id)
-SELECT p.page_id, {W.sql_canonical_url('p.url')} AS page_url, CAST(length({W.sql_html_to_markdown('p.html')}) AS INTEGER) AS markdown_length,
+SELECT p.page_id, {W.sql_canonical_url('p.url')} AS page_url, CAST(coalesce(length({W.sql_html_to_markdown('p.html')}), 0) AS INTEGER) AS markdown_length,
        coalesce(lc.links_found, 0) AS links_found,
-       CASE WHEN coalesce(lc.links_found, 0) > 0 THEN 'ok' ELSE 'no_links' END AS status
+       CASE WHEN p.html IS NULL THEN 'failed: no content' ELSE 'ok' END AS status
 FROM pages p LEFT JOIN lc USING (page_id)""")
 def q_harvest(spark, sf_dir):
     return WD.link_harvest_log(_pages(spark, sf_dir))
@@ -127,7 +127,7 @@ def q_links_per_source(spark, sf_dir):
 
 _MAXT, _STRIDE, _MARGIN = WD.WINDOW_MAX_TOKENS, WD.WINDOW_STRIDE, WD.WINDOW_MARGIN
 WINDOWS_CTE = RECORDS_CTE + f""",
-rec AS (SELECT * FROM records WHERE skip_reason = 'parsed_successfully'),
+rec AS (SELECT * FROM records WHERE skip_reason = 'parsed_successfully' AND status = 'ok'),
 w0 AS (SELECT *, {sql_collapse_ws("'[' || label || '] ' || name || ': ' || body")} AS full_text,
               '[' || label || '] ' || name || ': ' AS prefix FROM rec),
 w1 AS (SELECT *, CAST(len({_tok('full_text')}) AS INTEGER) AS original_token_length, {_tok('prefix')} AS pt,

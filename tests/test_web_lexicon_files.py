@@ -183,3 +183,31 @@ def test_split_partition_pruning(spark):
     plan = test._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan
     assert test.count() == lab.where("split = 'test'").count()
+
+
+def test_resolve_href_like_urljoin(spark):
+    from urllib.parse import urljoin
+    hrefs = ["mailto:a@b/c", "ftp://h/x/../y", "../p/q", "./a/b", "/a/../b/./c", "//other.org/x", "https://y.org/a/../b",
+             "a//b/c", "/a//b", "x/y/..", "../../up", "javascript:void(0)/", "plain/path"]
+    df = spark.createDataFrame([(i, h, "https://x.org") for i, h in enumerate(hrefs)], "i int, h string, o string")
+    got = {r["i"]: r["u"].rstrip("/") for r in df.select("i", W.resolve_href("h", "o").alias("u")).collect()}
+    assert got == {i: urljoin("https://x.org", h).rstrip("/") for i, h in enumerate(hrefs)}
+
+
+def test_not_found_title_and_empty_source(spark):
+    from tessera.operators import webdocs as WD
+    body = "<body><h1>Name</h1><p>" + "long enough text " * 10 + "</p><a href='x'>n</a></body>"
+    pages = spark.createDataFrame(
+        [(1, "https://x.org/a/b", "<html><title>404 error</title>" + body),
+         (2, "https://x.org/a/c", "<html><title>Fine</title>" + body),
+         (3, "https://x.org/a/d", "<html><title>Page not found</title>" + body), (4, "https://x.org/a/e", None)],
+        "page_id long, url string, html string")
+    assert {r["page_id"] for r in WD.glossary_chunks(pages).collect()} == {2}
+    log = {r["page_id"]: r["status"] for r in WD.link_harvest_log(pages).collect()}
+    assert log == {1: "ok", 2: "ok", 3: "ok", 4: "failed: no content"}
+    try:
+        WD.require_links(pages)
+    except ValueError as e:
+        assert "external" in str(e)
+    else:
+        raise AssertionError("a source without links must be an error")
