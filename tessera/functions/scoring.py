@@ -36,12 +36,6 @@ def log_odds(l0="l0", l1="l1") -> Column:
     return _c(l1) - _c(l0)
 
 
-def log_odds_from_probs(p1, p0) -> Column:
-    """SCL23 when only probabilities exist: ln(p1 / clip(p0, 1e-10, 1))."""
-    clipped = F.least(F.greatest(_c(p0), F.lit(1e-10)), F.lit(1.0))
-    return F.log(_c(p1) / clipped)
-
-
 def calibrated_p(z="log_odds", t="T") -> Column:
     """SCL24: sigmoid(z / T)."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(_c(z) / _c(t))))

@@ -70,6 +70,11 @@ def lenient_double(c) -> Column:
     return F.expr(f"try_cast({c} as double)") if isinstance(c, str) else c.try_cast("double")
 
 
+def field(record, name: str, default=None) -> Column:
+    """SCL31: a map entry by name, or the default where it is absent or NULL."""
+    return F.coalesce(F.try_element_at(_c(record), F.lit(name)), F.lit(default))
+
+
 def first_chars(c, n: int) -> Column:
     """PRJ16: first n characters, stripped."""
     return strip(F.substring(_c(c), 1, n))

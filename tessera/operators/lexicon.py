@@ -16,7 +16,9 @@ from tessera.functions import web as W
 from tessera.functions.text import WS, collapse_ws, hard_token_cap, strip, word_count
 from tessera.operators.corpus import keep_first
 
-# Table-cell cleanup, in order (SCL13).
+# Fixed values of the listing-page parser: table-cell cleanup in order
+# (SCL13), the row filters (PRJ13), the result counter (SCL15), the coverage
+# note and the two entry templates (SCL16).
 CELL_RULES = [
     (r"(?i)<br\s*/?>", " "),
     (r"\[([^\]]+)\]\([^\)]+\)", "{1}"),
@@ -28,6 +30,11 @@ HEADER_TERMS = ["term", "vocabulary", "read faqs"]
 HEADER_LANGUAGES = ["language", "select"]
 SHOWING = r"(?i)Showing\s+([\d,]+)\s*-\s*([\d,]+)\s+of\s+([\d,]+)\s+results"
 LEXICON_MAX_TOKENS = 50
+COVERAGE_NOTE = "selected_english_filters"
+ENTRY = ("[%s] %s: Hatebase entry. Target category: %s. Filter group: %s. Language: %s. "
+         "Offensiveness: %s. Sightings: %s.")
+BODY = ("Hatebase entry for %s. Target category: %s. Filter group: %s. Language: %s. "
+        "Offensiveness: %s. Sightings: %s.")
 
 
 def clean_cell(c: Column) -> Column:
@@ -70,17 +77,15 @@ def lexicon_entries(pages: DataFrame, label: str = "hate", source: str = "hateba
     """DOM34: table rows with provenance, keep-first per (term, language)
     in (filter_order, row_pos) order, rendered as entries and chunks."""
     pages = pages if "filter_order" in pages.columns else pages.withColumn("filter_order", F.lit(0))
+    pages = pages.withColumns({"showing_range": F.coalesce(showing_range()["raw"], F.lit("")),
+                               "coverage_note": F.lit(COVERAGE_NOTE)})
     rows = table_rows(pages).withColumn("source", F.lit(source)).withColumn("label", F.lit(label)) \
         .withColumnRenamed("url", "source_url")
     kept = keep_first(rows, ["term", "language"], ["filter_order", "row_pos"])
     entry = F.format_string(
-        "[%s] %s: Hatebase entry. Target category: %s. Filter group: %s. Language: %s. "
-        "Offensiveness: %s. Sightings: %s.",
-        "label", "term", "target_category", "filter_group", "language", "offensiveness", "sightings")
+        ENTRY, "label", "term", "target_category", "filter_group", "language", "offensiveness", "sightings")
     body = F.format_string(
-        "Hatebase entry for %s. Target category: %s. Filter group: %s. Language: %s. "
-        "Offensiveness: %s. Sightings: %s.",
-        "term", F.coalesce("target_category", F.lit("")), F.coalesce("filter_group", F.lit("")),
+        BODY, "term", F.coalesce("target_category", F.lit("")), F.coalesce("filter_group", F.lit("")),
         F.coalesce("language", F.lit("")), F.coalesce("offensiveness", F.lit("")),
         F.coalesce("sightings", F.lit("")))
     chunk = collapse_ws(F.concat(F.lit("["), F.col("label"), F.lit("] "), F.col("term"), F.lit(": "), body))
@@ -88,6 +93,23 @@ def lexicon_entries(pages: DataFrame, label: str = "hate", source: str = "hateba
                        hard_token_cap(chunk, LEXICON_MAX_TOKENS).alias("text"))
 
 
+def filter_log(pages: DataFrame, n: int = 5) -> DataFrame:
+    """DOM34 audit log: per filter page the table rows found, the result
+    counter, the first ``n`` terms and ok / failed (no content)."""
+    key = ["filter_group", "filter_name", "target_category", "url"]
+    rows = table_rows(pages)
+    w = Window.partitionBy(*key).orderBy("row_pos")
+    firsts = (rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+              .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_rn", "term"))).alias("_l")))
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    return (pages.join(counts, key, "left").join(firsts, key, "left").select(
+        *key, F.length(F.coalesce("markdown", F.lit(""))).alias("markdown_length"),
+        F.coalesce("_n", F.lit(0)).alias("rows_found"),
+        F.coalesce(showing_range()["raw"], F.lit("")).alias("showing_range"),
+        F.coalesce(F.array_join(F.transform("_l", lambda s: s["term"]), ", "), F.lit("")).alias("first_terms"),
+        F.when(F.col("markdown").isNull(), "failed: no content").otherwise("ok").alias("status")))
+
+
 def first_terms(rows: DataFrame, by: str = "target_category", n: int = 15) -> DataFrame:
     """AGG18: the first n distinct terms per group (row_number <= n, so the
     partial top-n is cut before the shuffle; the list is bounded by n)."""

@@ -11,6 +11,7 @@ _MODULES = (
     "tessera.plans.vector_queries",
     "tessera.plans.web_queries",
     "tessera.plans.extra_queries",
+    "tessera.plans.io_queries",
 )
 
 

@@ -46,11 +46,34 @@ def _calibrated(spark, sf_dir):
     return C.apply_temperature(s, temps)
 
 
-# --- DOM14 fit: no closed form in SQL; checked by property tests -----------
-@register("dom14_temperature_fit")
+# --- DOM14 fit: the grid passes as chained CTEs ------------------------------
+_FIT_GRID, _FIT_PASSES = 64, 4
+
+
+def _fit_sql() -> str:
+    lo, hi = dbl(1.0 / C.T_BOUNDS[1]), dbl(1.0 / C.T_BOUNDS[0])
+    p = "(CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-(z * u))))"
+    ctes = ["""compact AS (SELECT model, dataset, l1 - l0 AS z, label AS y, CAST(count(*) AS DOUBLE) AS c
+                        FROM scored GROUP BY ALL)""",
+            f"b0 AS (SELECT model, dataset, {lo} AS lo, {hi} AS hi, sum(c) AS n FROM compact GROUP BY ALL)"]
+    for k in range(_FIT_PASSES):
+        ctes.append(f"""c{k} AS (SELECT model, dataset, lo, hi, n, i,
+            lo + (hi - lo) / {dbl(_FIT_GRID - 1)} * CAST(i AS DOUBLE) AS u FROM b{k}, range(0, {_FIT_GRID}) AS r(i)),
+s{k} AS (SELECT model, dataset, lo, hi, n, i, u, sum(c * -ln(least(greatest(
+            CASE WHEN y = 1 THEN {p} ELSE CAST(1.0 AS DOUBLE) - {p} END, {dbl(C.P_CLIP)}), CAST(1.0 AS DOUBLE)))) AS s
+         FROM compact JOIN c{k} USING (model, dataset) GROUP BY ALL),
+m{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY s, i) AS rn FROM s{k}) WHERE rn = 1),
+b{k + 1} AS (SELECT model, dataset, greatest({lo}, u - (hi - lo) / {dbl(_FIT_GRID - 1)}) AS lo,
+                    least({hi}, u + (hi - lo) / {dbl(_FIT_GRID - 1)}) AS hi, n FROM m{k})""")
+    return with_scored(*ctes) + f"""
+SELECT model, dataset, round(CAST(1.0 AS DOUBLE) / u, 3) AS T, round(s / n, 6) AS nll, CAST(n AS BIGINT) AS n
+FROM m{_FIT_PASSES - 1}"""
+
+
+@register("dom14_temperature_fit", _fit_sql())
 def q_fit(spark, sf_dir):
-    t = C.fit_temperature(scored(spark, sf_dir))
-    return t.select("model", "dataset", F.round("T", 4).alias("T"), F.round("nll", 6).alias("nll"), "n")
+    t = C.fit_temperature(scored(spark, sf_dir), n_grid=_FIT_GRID, passes=_FIT_PASSES)
+    return t.select("model", "dataset", F.round("T", 3).alias("T"), F.round("nll", 6).alias("nll"), "n")
 
 
 # --- DOM15 apply ---------------------------------------------------------------

@@ -9,11 +9,13 @@ from tessera.functions.text import TOKEN
 from tessera.operators import density as DN
 from tessera.operators import metrics as M
 from tessera.operators import vectors as V
-from tessera.operators.classify import train_and_score
+from tessera.operators import errors as ER
+from tessera.operators.classify import hashed_naive_bayes, train_and_score
 from tessera.operators.corpus import build_chunks, labelled_corpus
-from tessera.plans.fixtures import DATASETS, scored
+from tessera.plans.fixtures import DATASETS, SCORED_SQL, scored
 from tessera.plans.sql import with_scored
-from tessera.plans.corpus_queries import CHUNKS_CTE, _labelled
+from tessera.plans.analysis_queries import _TIES
+from tessera.plans.corpus_queries import CHUNKS_CTE, LABELLED_CTE, _labelled
 from tessera.plans.vector_queries import _hashed_sql, _norm_sql
 from tessera.session import materialize
 from tessera.sources.tables import read_table
@@ -49,6 +51,62 @@ def q_ml_summary(spark, sf_dir):
     return M.performance_summary(_ml_scored(spark, sf_dir))
 
 
+# --- DOM11 in closed form: hashed naive Bayes, and the summary on its scores ------
+_B = "CAST(('0x' || substr(md5(lower(t)), 1, 8))::BIGINT % 4096 AS INTEGER)"
+_NB = LABELLED_CTE + f""",
+ds AS (SELECT *, 'd' || CAST(ex_id % 3 AS VARCHAR) AS dataset FROM lab2),
+tk AS (SELECT dataset, split, ex_id, label, {_B} AS b
+       FROM (SELECT dataset, split, ex_id, label, unnest(regexp_extract_all(text, '{TOKEN}')) AS t FROM ds)),
+ct AS (SELECT dataset, b, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1
+       FROM tk WHERE split = 'train' GROUP BY ALL),
+su AS (SELECT dataset, CAST(sum(n0) AS BIGINT) AS t0, CAST(sum(n1) AS BIGINT) AS t1 FROM ct GROUP BY ALL),
+dc AS (SELECT dataset, count(*) FILTER (WHERE label = 0) AS d0, count(*) FILTER (WHERE label = 1) AS d1
+       FROM ds WHERE split = 'train' GROUP BY ALL),
+tt AS (SELECT dc.*, coalesce(t0, 0) AS t0, coalesce(t1, 0) AS t1 FROM dc LEFT JOIN su USING (dataset)
+       WHERE d0 > 0 AND d1 > 0),
+pt AS (SELECT dataset, ex_id, b, CAST(count(*) AS DOUBLE) AS c FROM tk WHERE split = 'test' GROUP BY ALL),
+ps AS (SELECT pt.dataset, pt.ex_id,
+              sum(c * ln((coalesce(n0, 0) + CAST(1.0 AS DOUBLE)) / (t0 + CAST(4096.0 AS DOUBLE)))) AS s0,
+              sum(c * ln((coalesce(n1, 0) + CAST(1.0 AS DOUBLE)) / (t1 + CAST(4096.0 AS DOUBLE)))) AS s1
+       FROM pt JOIN tt USING (dataset) LEFT JOIN ct USING (dataset, b) GROUP BY ALL),
+scored_logits AS (SELECT 'hashed_nb' AS model, ds.dataset, ds.ex_id, text, label, orig_class,
+       round(ln(CAST(d0 AS DOUBLE) / (d0 + d1)) + coalesce(s0, 0), 9) AS l0,
+       round(ln(CAST(d1 AS DOUBLE) / (d0 + d1)) + coalesce(s1, 0), 9) AS l1
+       FROM ds JOIN tt USING (dataset) LEFT JOIN ps USING (dataset, ex_id) WHERE split = 'test'),
+""" + SCORED_SQL[SCORED_SQL.index("scored_p AS"):]
+
+
+def _nb_scored(spark, sf_dir):
+    lab = _labelled(spark, sf_dir).withColumn("dataset", F.concat(F.lit("d"), (F.col("ex_id") % 3).cast("string")))
+    return hashed_naive_bayes(lab)
+
+
+@register("dom11_naive_bayes", _NB + """
+SELECT model, dataset, ex_id, label, predicted, round(l1 - l0, 6) AS log_odds, round(confidence, 6) AS confidence
+FROM scored""")
+def q_nb(spark, sf_dir):
+    s = _nb_scored(spark, sf_dir)
+    return s.select("model", "dataset", "ex_id", "label", "predicted", F.round(F.col("l1") - F.col("l0"), 6).alias("log_odds"),
+                    F.round("confidence", 6).alias("confidence"))
+
+
+@register("dom17_naive_bayes_auc", _NB + "," + _TIES + """
+SELECT model, dataset, CAST(sum(npos) AS BIGINT) AS P, CAST(sum(nneg) AS BIGINT) AS N,
+       coalesce(round(CASE WHEN sum(npos) > 0 AND sum(nneg) > 0 THEN
+             CAST(sum(nneg * (2 * cum_npos - npos)) AS DOUBLE) / (2.0 * CAST(sum(npos) AS DOUBLE) * CAST(sum(nneg) AS DOUBLE)) END, 6), -1) AS roc_auc
+FROM cum GROUP BY model, dataset""")
+def q_nb_auc(spark, sf_dir):
+    a = M.auc_ap(materialize(_nb_scored(spark, sf_dir)))
+    return a.select("model", "dataset", "P", "N", F.coalesce(F.round("roc_auc", 6), F.lit(-1.0)).alias("roc_auc"))
+
+
+@register("dom28_naive_bayes_errors", _NB + """
+SELECT dataset, 'only hashed_nb' AS region, CAST(1 AS BIGINT) AS err_mask, count(*) FILTER (WHERE NOT correct) AS n_errors
+FROM scored GROUP BY dataset""")
+def q_nb_errors(spark, sf_dir):
+    return ER.error_overlap(materialize(_nb_scored(spark, sf_dir)))
+
+
 # --- AGG15 KDE of confidence, per (model, dataset, correct) -----------------------
 @register("agg15_confidence_kde", with_scored("""
 st AS (SELECT model, dataset, correct, count(confidence) AS n, stddev_samp(confidence) AS sd,

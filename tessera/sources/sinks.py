@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators.webdocs import review_projection
 
 CHUNK_COLUMNS = ("chunk_id", "text")
+MAX_MAP = 100_000
 REVIEW_COLUMNS = ("chunk_id", "symbol_name", "source", "label", "url", "slug", "website",
                   "original_token_length", "token_length", "text")
 
@@ -37,13 +38,13 @@ def write_review(df: DataFrame, path: str, columns: Sequence[str] = REVIEW_COLUM
 
 
 def write_source_list(sources: DataFrame, path: str, header: Sequence[str] = ()) -> None:
-    """SNK4: 'website,slug' lines after '#' header lines, in line order.
-    A source list is a small configuration file; it is written as one file."""
+    """SNK4: 'website,slug' lines after '#' header lines, in line order: a
+    distributed sort, whose part files follow each other."""
     spark = sources.sparkSession
     head = spark.createDataFrame([(i, f"# {h}") for i, h in enumerate(header)], "k long, value string")
     body = sources.select((F.col("line_num") + len(header)).cast("long").alias("k"),
                           F.concat_ws(",", "website", "slug").alias("value"))
-    head.unionByName(body).orderBy("k").select("value").coalesce(1).write.mode("overwrite").text(path)
+    head.unionByName(body).orderBy("k").select("value").write.mode("overwrite").text(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -62,8 +63,11 @@ def write_lookup(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_temperatures(temps: DataFrame, path: str, as_json_map: bool = True) -> None:
-    """SNK8: temperatures as a 'model_dataset -> T' JSON object (one small
-    file: one row per group) or as a table."""
+    """SNK8: temperatures as a 'model_dataset -> T' JSON object or as a table.
+    The object is one row in one file, as its format asks: a map of more than
+    ``MAX_MAP`` groups is refused and should be written as a table."""
+    if as_json_map and temps.limit(MAX_MAP + 1).count() > MAX_MAP:
+        raise ValueError(f"more than {MAX_MAP} temperatures: write them as a table")
     if as_json_map:
         m = temps.select(F.to_json(F.map_from_entries(F.collect_list(F.struct(
             F.concat_ws("_", "model", "dataset"), F.col("T"))))).alias("value"))

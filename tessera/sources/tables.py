@@ -17,6 +17,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 HEAVY_TABLES = ("documents", "pages", "conversations", "benchmark", "embeddings")
 
 
+SPREAD_BELOW = 16
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool | None = None) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
@@ -27,17 +30,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool |
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than cores.
+    """Round-robin a scan of a handful of partitions (fewer than cores, and
+    fewer than ``SPREAD_BELOW``).
 
     A Parquet file is split by row group; a file with a single row group
     is read by a single task however many splits are planned, and every
-    per-row regex / tokenizer / matmul after it would run on one core.  On
-    a cluster-sized input the scan already has far more partitions than
-    cores and this is a no-op.  Filters and column pruning still reach the
+    per-row regex / tokenizer / matmul after it would run on one core.  An
+    input of more splits is never moved, whatever the number of cores.  Filters and column pruning still reach the
     scan (Catalyst pushes them through a round-robin repartition).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if df.rdd.getNumPartitions() < min(cores, SPREAD_BELOW):
         return df.repartition(cores)
     return df
 
