@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 LABEL_NAMES = {0: "Non-HS", 1: "HS"}
 
 
+# The three-way classes of the study.
+CLASS_NAMES = ("not_hate", "explicit_hate", "implicit_hate")
+
+
+def orig_class(toxic="toxic", quality="quality") -> Column:
+    """Three-way class from (toxic, quality)."""
+    return (F.when(F.col(toxic) == 0, F.lit(CLASS_NAMES[0]))
+            .when(F.col(quality) == 0, F.lit(CLASS_NAMES[1]))
+            .otherwise(F.lit(CLASS_NAMES[2])))
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scoring import orig_class
 from tessera.functions.text import dedup_norm, word_count
 from tessera.operators.prefix import prefix_sums
 from tessera.session import materialize
@@ -86,7 +87,6 @@ def _splice_first(c: Column, p: str) -> Column:
 def labelled_corpus(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled examples: (ex_id, corpus, priority, split, text, orig_class,
     label, label_name).  label = toxic; three-way class from (toxic, quality)."""
-    from tessera.plans.fixtures import orig_class
     j = documents.select("doc_id", "text", "source").join(
         labels.select("doc_id", "toxic", "quality"), "doc_id")
     return j.select(
@@ -157,7 +157,7 @@ def cascade_dedup_anti(rows: DataFrame) -> DataFrame:
 def duplicate_stats(rows: DataFrame, group=("corpus",)) -> DataFrame:
     """AGG16: rows, distinct keys, extra copies (n - distinct), rows in any
     duplicate group."""
-    per_key = rows.groupBy(*group, "norm").agg(F.count(F.lit(1)).alias("_k"))
+    per_key = rows.groupBy(*group, F.md5("norm").alias("_d")).agg(F.count(F.lit(1)).alias("_k"))
     return per_key.groupBy(*group).agg(
         F.sum("_k").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
         (F.sum("_k") - F.count(F.lit(1))).alias("extra_copies"),
@@ -167,7 +167,7 @@ def duplicate_stats(rows: DataFrame, group=("corpus",)) -> DataFrame:
 def pairwise_overlap(rows: DataFrame) -> DataFrame:
     """SET3 / JN3: distinct normalised texts shared by each pair of corpora
     (an intersect of key sets, via one aggregation per key)."""
-    keyed = rows.groupBy("norm").agg(F.collect_set("corpus").alias("_cs"))
+    keyed = rows.groupBy(F.md5("norm").alias("_d")).agg(F.collect_set("corpus").alias("_cs"))
     # _cs has at most len(CORPORA) entries: bounded per key.
     pairs = [(a, b) for i, a in enumerate(CORPORA) for b in CORPORA[i + 1:]]
     exprs = [F.count_if(F.array_contains("_cs", a) & F.array_contains("_cs", b)).alias(f"{a}_{b}")
@@ -179,12 +179,27 @@ def pairwise_overlap(rows: DataFrame) -> DataFrame:
 
 
 def dedup_report(rows: DataFrame) -> DataFrame:
-    """DOM31: before / after / removed per corpus for the priority cascade."""
-    before = rows.groupBy("corpus").agg(F.count(F.lit(1)).alias("before"))
+    """DOM31: per corpus, rows before and after the priority cascade, and what
+    was removed: copies inside the corpus, and texts that a corpus of higher
+    priority holds (:func:`pairwise_overlap` and :func:`sample_group` complete
+    the report)."""
+    before = duplicate_stats(rows).select(
+        "corpus", F.col("n_rows").alias("before"), F.col("extra_copies").alias("internal_copies"))
     after = cascade_dedup(rows).groupBy("corpus").agg(F.count(F.lit(1)).alias("after"))
     j = before.join(after, "corpus", "left")
-    return j.select("corpus", "before", F.coalesce("after", F.lit(0)).alias("after"),
-                    (F.col("before") - F.coalesce("after", F.lit(0))).alias("removed"))
+    removed = F.col("before") - F.coalesce("after", F.lit(0))
+    return j.select("corpus", "before", F.coalesce("after", F.lit(0)).alias("after"), removed.alias("removed"),
+                    "internal_copies", (removed - F.col("internal_copies")).alias("cross_copies"))
+
+
+def sample_group(rows: DataFrame, n: int = 3) -> DataFrame:
+    """DOM31: the first ``n`` rows of the largest duplicate group (ties: the
+    group with the smallest row index), with the group's size."""
+    groups = rows.groupBy(F.md5("norm").alias("_d")).agg(
+        F.count(F.lit(1)).alias("group_size"), F.min("row_idx").alias("_first")).where("group_size > 1")
+    top = groups.orderBy(F.col("group_size").desc(), "_first").limit(1)
+    return (rows.withColumn("_d", F.md5("norm")).join(F.broadcast(top), "_d")
+            .orderBy("row_idx").limit(n).select("row_idx", "corpus", "group_size"))
 
 
 # ---------------------------------------------------------------- profiles

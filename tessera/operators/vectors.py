@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,27 +47,33 @@ def hashed_embeddings(df: DataFrame, id_col: str, text_col: str = "text", dim: i
     """DOM3 default encoder: bag of lower-cased whitespace tokens hashed to
     ``dim`` buckets (md5 of the token), counts, then L2-normalised.
 
-    Tokens are exploded and counted per (id, bucket) -- linear in the text,
-    reduced map-side, at most ``dim`` entries per id -- then folded into a
-    dense vector.  Ids whose text has no token get the zero vector.
+    The buckets of a row's tokens are an array expression; Arrow batches of
+    these arrays are counted with ``np.bincount``.  Nothing is exploded or
+    shuffled: one row in, one vector out.  A text without a token gets the
+    zero vector.
     """
     out_id = out_id or id_col
     # Tokens are lower-cased one by one: Spark's lower() takes a slow path
     # for a whole string as soon as it holds one non-ASCII character, while
     # most single tokens are ASCII.  Case mapping never creates or removes
     # whitespace, so this equals tokenising the lower-cased text.
-    toks = df.select(F.col(id_col).alias("_id"),
-                     F.explode_outer(tokens(F.col(text_col))).alias("_t"))
-    bucket = (F.conv(F.substring(F.md5(F.lower("_t")), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    # One aggregation keyed by id with a counter per bucket: the bucket is
-    # computed in the projection, the counters are partial-aggregated
-    # map-side (a huge text split over partitions is combined there), and a
-    # single shuffle carries one row of ``dim`` counts per id and partition.
-    # A text with no token keeps one row with a NULL bucket -> zero vector.
-    b = toks.select("_id", bucket.alias("_b"))
-    per_id = b.groupBy("_id").agg(*[F.count_if(F.col("_b") == i).alias(f"_c{i}") for i in range(dim)])
-    dense = F.array(*[F.col(f"_c{i}").cast("double") for i in range(dim)])
-    return per_id.select(F.col("_id").alias(out_id), l2_normalize(dense).alias("embedding"))
+    buckets = F.transform(tokens(F.col(text_col)), lambda t: (
+        F.conv(F.substring(F.md5(F.lower(t)), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            lists = batch.column(1)
+            n = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), n)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            table = np.bincount(row * dim + flat, minlength=batch.num_rows * dim).astype(np.float64)
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(table), dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["_id", "_v"])
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    got = df.select(F.col(id_col).alias("_id"), buckets.alias("_b")).mapInArrow(
+        count, f"_id {id_type}, _v array<double>")
+    return got.select(F.col("_id").alias(out_id), l2_normalize("_v").alias("embedding"))
 
 
 def encode_with(df: DataFrame, text_col: str, encoder: Callable[[list[str]], np.ndarray],

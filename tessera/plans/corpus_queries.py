@@ -137,14 +137,23 @@ def q_overlap(spark, sf_dir):
 
 @register("dom31_dedup_report", ROWS_CTE + """,
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY priority, row_idx) AS rn FROM rows) WHERE rn = 1),
-b AS (SELECT corpus, count(*) AS before FROM rows GROUP BY corpus),
+b AS (SELECT corpus, count(*) AS before, count(*) - count(DISTINCT norm) AS internal_copies FROM rows GROUP BY corpus),
 a AS (SELECT corpus, count(*) AS after FROM kept GROUP BY corpus)
-SELECT b.corpus, before, coalesce(after, 0) AS after, before - coalesce(after, 0) AS removed
+SELECT b.corpus, before, coalesce(after, 0) AS after, before - coalesce(after, 0) AS removed, internal_copies,
+       before - coalesce(after, 0) - internal_copies AS cross_copies
 FROM b LEFT JOIN a USING (corpus)""")
 def q_dedup_report(spark, sf_dir):
     return CO.dedup_report(_rows(spark, sf_dir))
 
 
+@register("dom31_sample_group", ROWS_CTE + """,
+g AS (SELECT norm, count(*) AS n, min(row_idx) AS f FROM rows GROUP BY norm HAVING count(*) > 1
+      ORDER BY n DESC, f LIMIT 1)
+SELECT row_idx, corpus, n AS group_size FROM rows JOIN g USING (norm) ORDER BY row_idx LIMIT 3""")
+def q_sample_group(spark, sf_dir):
+    return CO.sample_group(_rows(spark, sf_dir))
+
+
 @register("set4_union_keys", ROWS_CTE + """
 SELECT DISTINCT norm FROM rows WHERE corpus IN ('A', 'B')""")
 def q_union_keys(spark, sf_dir):
@@ -177,7 +186,7 @@ SELECT count(DISTINCT lang) AS n_langs, count(DISTINCT source) AS n_sources, cou
        count(DISTINCT (lang, norm)) AS n_lang_text_pairs FROM j""")
 def q_distinct(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    n = TX.dedup_norm("text")
+    n = F.md5(TX.dedup_norm("text"))     # digests: the texts themselves are not expanded
     return d.agg(F.countDistinct("lang").alias("n_langs"), F.countDistinct("source").alias("n_sources"),
                  F.countDistinct(n).alias("n_texts"), F.countDistinct("lang", n).alias("n_lang_text_pairs"))
 

@@ -15,21 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scoring import with_scores
+from tessera.functions.scoring import orig_class, with_scores
 from tessera.sources.tables import read_table
 
 # Fixed values of the synthetic fixture.
 MODELS = ("m0", "m1", "m2")
 MODEL_SCALES = (1.5, 2.0, 3.0)
 DATASETS = ("d0", "d1", "d2")
-CLASS_NAMES = ("not_hate", "explicit_hate", "implicit_hate")
-
-
-def orig_class(toxic="toxic", quality="quality"):
-    """Three-way class from (toxic, quality)."""
-    return (F.when(F.col(toxic) == 0, F.lit(CLASS_NAMES[0]))
-            .when(F.col(quality) == 0, F.lit(CLASS_NAMES[1]))
-            .otherwise(F.lit(CLASS_NAMES[2])))
 
 
 def logits_table(documents: DataFrame, labels: DataFrame) -> DataFrame:
