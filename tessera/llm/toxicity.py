@@ -163,6 +163,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
                         [np.frombuffer(x, np.int32) for x in got["sent"]], y)
 
 
+def _log_clean(fitted, sent, bucket, sent_row, rows):
+    """Sentence scores, and each row's log of the probability that none is toxic."""
+    if fitted is None:
+        return np.zeros(len(sent_row)), np.zeros(rows)
+    key = np.unique((sent.astype(np.int64) << 20) | bucket)
+    p = _sentence_scores(fitted[0], fitted[1], key >> 20, key & (BUCKETS - 1), len(sent_row))
+    return p, np.bincount(sent_row, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=rows)
+
+
 def score(docs: DataFrame, model) -> DataFrame:
     """``doc_id, score, n_sentences, offending``: noisy-or score of each whole
     text, and the byte spans ``start:end`` of the sentences at 0.5 or more."""
@@ -173,13 +182,8 @@ def score(docs: DataFrame, model) -> DataFrame:
         fitted = shared.value
         for part in ta.blocks(batches, "text"):
             sent, bucket, sent_row, a, b = features(part.column(1))
-            n, rows = len(sent_row), part.num_rows
-            if fitted is None:
-                p = np.zeros(n)
-            else:
-                key = np.unique((sent.astype(np.int64) << 20) | bucket)
-                p = _sentence_scores(fitted[0], fitted[1], key >> 20, key & (BUCKETS - 1), n)
-            keep = np.bincount(sent_row, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=rows)
+            rows = part.num_rows
+            p, keep = _log_clean(fitted, sent, bucket, sent_row, rows)
             bad = np.flatnonzero(p >= 0.5)
             found: list[list[str]] = [[] for _ in range(rows)]
             for s in bad.tolist():
@@ -194,6 +198,22 @@ def score(docs: DataFrame, model) -> DataFrame:
         run, "doc_id long, score double, n_sentences long, offending string")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows scored ``threshold`` or more; all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+
+    def run(batches):
+        fitted = shared.value
+        for part in ta.blocks(batches, "text"):
+            if fitted is not None:
+                sent, bucket, sent_row, _, _ = features(part.column(part.schema.get_field_index("text")))
+                clean = np.exp(_log_clean(fitted, sent, bucket, sent_row, part.num_rows)[1])
+                part = part.filter(pa.array(1 - clean < threshold))
+            yield part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """Train on the labelled sample, then score every document."""
     out = score(docs, train(docs, labels, rows))
