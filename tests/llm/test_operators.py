@@ -118,6 +118,21 @@ def test_near_duplicates_large_group_and_chain(spark):
     assert got == {i: c for i, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize("indexed", [True, False])
+def test_near_duplicates_frequent_passage(spark, monkeypatch, indexed):
+    """Texts that share most of their words with a frequent passage, and a few
+    real near copies among them; the rest by index and by rare shingles."""
+    monkeypatch.setattr(near_dups, "INDEX_SHINGLES", near_dups.INDEX_SHINGLES if indexed else -1)
+    monkeypatch.setattr(near_dups, "GROWTH", 3)
+    common = prose(120, 70)
+    docs = [(k, common + " " + prose(40 + k % 30, 700 + k)) for k in range(45)]
+    docs += [(100 + k, docs[3 * k][1] + f" tail{k} end") for k in range(6)]
+    want = brute.components(dict(docs))
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in want.items()}
+
+
 def test_components_random(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 450)]
