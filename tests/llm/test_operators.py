@@ -260,6 +260,43 @@ def test_passages(edge, none, spark):
     assert passages.passage_duplicates(none).count() == 0
 
 
+def _near(a, b, **kw):
+    a, b = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+    return list(passages.near_passages(a, b, np.ones(len(a), bool), np.ones(len(b), bool), **kw))
+
+
+def test_near_passages_join_short_runs():
+    """Runs of 40, 9 and 40 shared tokens: 89 of 109 in common, no part of 46."""
+    a = np.arange(1000, 1099)
+    b = a.copy()
+    b[40:45], b[54:59] = np.arange(5), np.arange(10, 15)
+    (p, q, u, w, s), = _near(a, b)
+    assert (p, q, u, w) == (0, 99, 0, 99) and s == 89 / 109
+    # an insertion: all foreign tokens on one side
+    (p, q, u, w, s), = _near(np.concatenate([a[:40], np.arange(15), a[40:80]]), a[:80])
+    assert (p, q, u, w) == (0, 95, 0, 80) and s == 80 / 95
+
+
+def test_near_passages_against_brute_force():
+    r = random.Random(3)
+    seen = 0
+    for _ in range(60):
+        a = list(range(r.randint(12, 24)))
+        b = list(a)
+        for k in range(r.randint(0, 4)):
+            at = r.randrange(len(b))
+            b[at:at + r.randint(0, 3)] = [1000 * (k + 1) + j for j in range(r.randint(0, 3))]
+        a = [5000 + j for j in range(r.randint(0, 6))] + a + [6000 + j for j in range(r.randint(0, 6))]
+        b = [7000 + j for j in range(r.randint(0, 6))] + b + [8000 + j for j in range(r.randint(0, 6))]
+        got = _near(a, b, shortest=8)
+        want = any(4 * len(x & y) >= 3 * len(x | y)
+                   for i in range(len(a)) for j in range(i + 8, len(a) + 1) for x in [set(a[i:j])]
+                   for k in range(len(b)) for m in range(k + 8, len(b) + 1) for y in [set(b[k:m])])
+        seen += want
+        assert want or not got
+    assert seen > 30
+
+
 def test_compact_windows_cover_every_range():
     """Every range of the least width has exactly one window, around its minimum."""
     r = np.random.default_rng(4)
