@@ -262,7 +262,37 @@ def test_passages(edge, none, spark):
 
 def _near(a, b, **kw):
     a, b = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
-    return list(passages.near_passages(a, b, np.ones(len(a), bool), np.ones(len(b), bool), **kw))
+    return list(passages.near_passages(a, b, **kw))
+
+
+def test_passages_behind_unrelated_first_documents(spark):
+    """Later documents agree although smaller ones hold parts of their text."""
+    line = prose(24, 200)
+    shared = prose(60, 201).split() + line.split() + prose(60, 202).split()
+    # every stretch of the shared text stands in unrelated documents with smaller ids
+    docs = [(k, " ".join(prose(30, 300 + k).split() + shared[8 * k:8 * k + 26] + prose(30, 400 + k).split()))
+            for k in range(15)]
+    docs += [(20 + k, prose(40, 500 + k) + " " + line + " " + prose(40, 600 + k)) for k in range(6)]
+    edited = [w if k % 40 != 20 else "changed" for k, w in enumerate(shared)]
+    docs += [(50, prose(30, 203) + " " + " ".join(shared) + " " + prose(30, 204)),
+             (60, prose(45, 205) + " " + " ".join(edited))]
+    # a chain of edits: 72 is near 71, not near 70
+    base = prose(60, 206).split()
+    for k in range(3):
+        docs.append((70 + k, " ".join(w if not any(j in (20 * m + 9, 20 * m + 10) for m in range(k)) else f"edit{j}"
+                                      for j, w in enumerate(base))))
+    # the first document holds the passage at its second occurrence of a phrase
+    phrase, tail = prose(20, 207), prose(60, 208)
+    docs += [(80, " ".join([prose(50, 209), phrase, prose(50, 210), phrase, tail])), (81, phrase + " " + tail)]
+    got = passages.passage_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    toks = {i: brute.shingles(t) for i, t in docs}
+    assert toks[50] & toks[60] and all(toks[50] & toks[k] for k in range(15))
+    pairs = {(r.doc_id, r.match_doc_id) for r in got}
+    assert {(60, 50), (71, 70), (72, 71), (81, 80)} <= pairs
+    assert not {a for a, _ in pairs} & set(range(50))
+    r = next(x for x in got if (x.doc_id, x.match_doc_id) == (60, 50))
+    assert r.start_word <= 45 and r.end_word >= 45 + 140
+    assert next(x for x in got if x.doc_id == 81).match_start >= 115
 
 
 def test_near_passages_join_short_runs():
