@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -295,6 +296,13 @@ def test_passages_behind_unrelated_first_documents(spark):
     assert next(x for x in got if x.doc_id == 81).match_start >= 115
 
 
+def test_passages_hash_probability():
+    """Fewer than AGREE of HASHES functions agree at 0.75: 0.5 % at most."""
+    n = passages.HASHES
+    miss = sum(math.comb(n, k) * 0.75 ** k * 0.25 ** (n - k) for k in range(passages.AGREE))
+    assert miss < 0.005
+
+
 def test_near_passages_join_short_runs():
     """Runs of 40, 9 and 40 shared tokens: 89 of 109 in common, no part of 46."""
     a = np.arange(1000, 1099)
