@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning (noisy-or over sentences).
 
 A document is a bag of sentences.  A sentence's probability is a logistic
-function of its hashed word features; the document's is the noisy-or
+function of its hashed word features, 0 without a feature that has a weight
+(plain sentences add nothing, however many); the document's is the noisy-or
 ``1 - prod(1 - p_sentence)``.  Only document labels are known: the weights
 are fitted by maximising the document likelihood, whose gradient reaches
 each sentence in proportion to its share of the blame, so that the fitted
@@ -94,6 +95,8 @@ def fit_noisy_or(bags: list[np.ndarray], sents: list[np.ndarray], labels: np.nda
     useful = (total >= MIN_ROWS) & (z > MIN_Z)
     sents = [s[useful[b]] for s, b in zip(sents, bags)]
     bags = [b[useful[b]] for b in bags]
+    # sentences without such a bucket score 0 here and in _log_clean: they are not counted
+    sents = [np.unique(s, return_inverse=True)[1] for s in sents]
     counts = np.array([int(s.max()) + 1 if len(s) else 0 for s in sents])
     offset = np.concatenate([[0], np.cumsum(counts)])
     bucket = np.concatenate(bags).astype(np.int64)
@@ -168,7 +171,10 @@ def _log_clean(fitted, sent, bucket, sent_row, rows):
     if fitted is None:
         return np.zeros(len(sent_row)), np.zeros(rows)
     key = np.unique((sent.astype(np.int64) << 20) | bucket)
-    p = _sentence_scores(fitted[0], fitted[1], key >> 20, key & (BUCKETS - 1), len(sent_row))
+    key = key[fitted[0][key & (BUCKETS - 1)] != 0]
+    p = np.zeros(len(sent_row))
+    some, at = np.unique(key >> 20, return_inverse=True)
+    p[some] = _sentence_scores(fitted[0], fitted[1], at, key & (BUCKETS - 1), len(some))
     return p, np.bincount(sent_row, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=rows)
 
 

@@ -502,6 +502,17 @@ def test_toxicity_held_out_and_sentences(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.predicted}
 
 
+def test_toxicity_long_clean_text(spark):
+    """Thousands of plain sentences do not add up to a toxic text; one bad sentence among them still counts."""
+    docs, labels = _toxic_corpus(spark)
+    model = toxicity.train(docs, labels)
+    plain = " ".join(f"nothing to see on page{k}." for k in range(6000))
+    rows = spark.createDataFrame([(1, plain), (2, plain + " a vile scumbag. " + plain)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(rows, model).collect()}
+    assert got[1].n_sentences == 6000 and got[1].score < 0.1 and got[1].offending == ""
+    assert got[2].n_sentences == 12001 and got[2].score >= 0.5 and got[2].offending.count(":") == 1
+
+
 def test_toxicity_edges(edge, none, spark):
     _, labels = _toxic_corpus(spark, 60)
     rows = toxicity.toxicity_scores(edge, labels.limit(0)).collect()
