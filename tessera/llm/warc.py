@@ -187,11 +187,11 @@ class _Inflate:
             pass
         return self.ready[:n]
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        """Bytes up to and with ``mark`` (empty if it is not found)."""
-        while mark not in self.ready and len(self.ready) < most and self.more():
+    def until(self, mark: bytes, most: int | None = None) -> bytes:
+        """Bytes up to and with ``mark``, ``most`` at most (empty if it is not found)."""
+        while mark not in self.ready and (most is None or len(self.ready) < most) and self.more():
             pass
-        cut = self.ready.find(mark)
+        cut = self.ready.find(mark, 0, most)
         if cut < 0:
             return b""
         got, self.ready = self.ready[:cut + len(mark)], self.ready[cut + len(mark):]
@@ -217,7 +217,7 @@ def _parse(record: _Inflate):
         return None
     left, http = int(head[b"content-length"]), b""
     if head.get(b"content-type", b"").startswith(b"application/http"):
-        http = record.until(b"\r\n\r\n")
+        http = record.until(b"\r\n\r\n", left)
         left -= len(http)
     sha, size = hashlib.sha1(), 0
     for chunk in record.take(left):

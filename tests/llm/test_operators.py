@@ -244,6 +244,15 @@ def test_warc_empty(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_long_url(spark):
+    """A header of more than a megabyte is read whole."""
+    r = random.Random(12)
+    url = "http://a/" + "".join(r.choice("abcdefghijklmnop0123456789") for _ in range(1_500_000))
+    pages = spark.createDataFrame([(1, url, "aa"), (2, "u", "bb")], "page_id long, url string, html string")
+    got = {x.page_id: (x.url, x.payload_bytes) for x in warc.archive_pages(pages).collect()}
+    assert got == {1: (url, 2), 2: ("u", 2)}
+
+
 def test_warc_min_bytes(spark):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")],
                                   "page_id long, url string, html string")
