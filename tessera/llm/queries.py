@@ -3,7 +3,8 @@ each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import near_dups, packing, passages, pii, quality, sharding, substrings, tiling, toxicity, warc
+from tessera.llm import (collocations, manifest, near_dups, packing, passages, pii, quality, sharding, substrings, tiling,
+                         token_counts, toxicity, warc)
 from tessera.sources.tables import read_table
 
 
@@ -57,6 +58,18 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return manifest.tampering_audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark, sf_dir):
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -68,8 +81,13 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_string_tiling": op9_string_tiling,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 SQL: dict[str, str] = {
     "op1_quality_rules": quality.SQL,
+    "op11_merkle_manifest": manifest.SQL,
+    "op13_phrase_collocations": collocations.SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -112,3 +113,73 @@ def tiling(doc, item, least):
                 marked = True
         if not marked:
             return sum(out)
+
+
+def _sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _tree(nodes, i):
+    """Root over ``nodes`` and the siblings of node ``i`` with their sides."""
+    path = []
+    while len(nodes) > 1:
+        run = nodes[i // 2 * 2:i // 2 * 2 + 2]
+        path.append((i % 2, run[1 - i % 2] if len(run) == 2 else ""))
+        nodes, i = [_sha(*nodes[k:k + 2]) for k in range(0, len(nodes), 2)], i // 2
+    return nodes[0], path
+
+
+def merkle(rows):
+    """Sorted results for rows (doc_id, source, lang, n_chars, text)."""
+    def leaf(row):
+        return _sha(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+    trees = {}
+    for row in rows:
+        trees.setdefault(row[2], []).append(row)
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    for v in trees.values():
+        v.sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    roots = [_tree([leaf(r) for r in trees[k]], 0)[0] for k in langs]
+    out = []
+    for j, k in enumerate(langs):
+        root, upper = _tree(roots, j)
+        nodes = [leaf(r) for r in trees[k]]
+        for i, r in enumerate(trees[k]):
+            path = _tree(nodes, i)[1] + upper
+            if r[0] is not None and r[3] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0:
+                node = leaf((*r[:3], r[3] + 1, r[4]))
+            else:
+                node = nodes[i]
+            for right, other in path:
+                node = _sha(other, node) if right else _sha(node, other)
+            out.append((r[0], nodes[i], roots[j], root, _sha(*[x for _, x in path]), node, node == root))
+    return sorted(out, key=str)
+
+
+def collocations(docs, least=10, top=2000):
+    """Rows for documents (lang, text), counting every phrase of a list."""
+    out = []
+    pieces = {}
+    for lang, text in docs:
+        for piece in re.split("[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            pieces.setdefault("und" if lang is None else lang, []).append(
+                [w for w in re.split("[\x20\x09]+", piece) if w])
+    for lang, lists in pieces.items():
+        f = {}
+        for w in lists:
+            for size in (1, 2, 3):
+                for i in range(len(w) - size + 1):
+                    f[tuple(w[i:i + size])] = f.get(tuple(w[i:i + size]), 0) + 1
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        cands = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        rows = []
+        for p, a in cands.items():
+            if any(len(q) > len(p) and 100 * b >= 50 * a and any(q[i:i + len(p)] == p for i in range(len(q)))
+                   for q, b in cands.items()):
+                continue
+            score, _, left, right = min((1000000 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]])
+                                        for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, p, left, right) in enumerate(sorted(rows)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n, -score))
+    return sorted(out)
