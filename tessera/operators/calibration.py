@@ -2,10 +2,10 @@
 
 DOM14 fits one temperature T per group by minimising the mean negative
 log-likelihood  -ln(clip(p_correct, 1e-12, 1)),  p = sigmoid(z / T),
-T in [0.5, 20].  NLL is convex in u = 1/T, so a bracket in u is refined by
-evaluating a grid of candidates for *all* groups in one aggregation per
-pass: each pass is a single scan of a compact (group, z, label, count)
-table, and only #groups x n_grid sums reach the driver.
+T in [0.5, 20].  NLL is convex in u = 1/T, so its derivative has one zero: a
+Newton iteration on the sums of gradient and curvature finds it, kept inside a
+bracket by bisection.  Each pass is one aggregation of a compact (group, z,
+label, count) table for *all* groups, and one row per group reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,70 +17,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scoring import calibrated_p, confidence, log_odds
-from tessera.operators.metrics import GROUP, ece
-from tessera.session import BROADCAST_MAX_ROWS, bounded_broadcast
+from tessera.operators.metrics import GROUP, _bin_case
+from tessera.session import BROADCAST_MAX_ROWS, bounded_broadcast, materialize
 
 P_CLIP = 1e-12
 T_BOUNDS = (0.5, 20.0)
 
 
-def _nll_term(z, y, u) -> F.Column:
+def _sums_at(u, z, y, c, name: str) -> list[F.Column]:
+    """Sums of NLL, gradient and curvature in u; clipped rows have no slope."""
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(z * u)))
-    pc = F.when(y == 1, p).otherwise(F.lit(1.0) - p)
-    return -F.log(F.least(F.greatest(pc, F.lit(P_CLIP)), F.lit(1.0)))
+    right = F.when(y == 1, p).otherwise(F.lit(1.0) - p)
+    free = right > F.lit(P_CLIP)
+    slope = z * (p - F.when(y == 1, 1.0).otherwise(0.0))
+    return [F.sum(-F.log(F.greatest(right, F.lit(P_CLIP))) * c).alias(f"{name}_nll"),
+            F.sum(F.when(free, slope * c).otherwise(0.0)).alias(f"{name}_g"),
+            F.sum(F.when(free, z * z * p * (F.lit(1.0) - p) * c).otherwise(0.0)).alias(f"{name}_h")]
 
 
 def fit_temperature(df: DataFrame, group: Sequence[str] = GROUP, z: str = "log_odds",
-                    label: str = "label", bounds=T_BOUNDS, n_grid: int = 64,
-                    passes: int = 4) -> DataFrame:
+                    label: str = "label", bounds=T_BOUNDS, passes: int = 40, tol: float = 1e-12) -> DataFrame:
     """DOM14: (group..., T, nll, n) per group.
 
-    Each pass explodes the ``n_grid`` candidates of every row's group and
-    sums the NLL per (group, candidate) -- one small aggregate, reduced
-    map-side.  The bracket in u = 1/T shrinks by (n_grid - 1) / 2 per pass:
-    (1/lo - 1/hi) * (2 / (n_grid - 1))^passes ~ 2e-6 with the defaults.
+    The first pass takes the sums at both bounds and at T = 1; a group whose
+    slope does not change sign ends at a bound.  Every further pass makes one
+    Newton step per group (a bisection where it would leave the bracket) and
+    ends when all steps are below ``tol``: some six passes, no row multiplied.
     """
     spark = df.sparkSession
     group = list(group)
-    zc = z if z in df.columns else None
-    base = df.select(*group, (F.col(zc) if zc else log_odds()).alias("_z"),
-                     F.col(label).alias("_y"))
+    base = df.select(*group, (F.col(z) if z in df.columns else log_odds()).alias("_z"), F.col(label).alias("_y"))
     # Compact the data once: identical (group, z, label) rows collapse.
-    compact = base.groupBy(*group, "_z", "_y").agg(F.count(F.lit(1)).alias("_c")).persist()
-    sizes = {tuple(r[:-1]): r[-1] for r in compact.groupBy(*group).agg(F.sum("_c")).collect()}
+    compact = materialize(base.groupBy(*group, "_z", "_y").agg(F.count(F.lit(1)).cast("double").alias("_c")))
     u_lo, u_hi = 1.0 / bounds[1], 1.0 / bounds[0]
-    br = {k: (u_lo, u_hi) for k in sizes}
-    best = {}
-    schema = T.StructType([T.StructField(g, f.dataType) for g in group
-                           for f in df.schema.fields if f.name == g]
-                          + [T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
-    for _ in range(passes):
+    at = [F.col(k) for k in ("_z", "_y", "_c")]
+    first = compact.groupBy(*group).agg(F.sum("_c").alias("_n"), *_sums_at(F.lit(u_lo), *at, "lo"),
+                                        *_sums_at(F.lit(u_hi), *at, "hi"), *_sums_at(F.lit(1.0), *at, "u")).collect()
+    done, open_ = {}, {}
+
+    def step(k, n, lo, hi, u, nll, g, h):
+        """Narrow the bracket and move on, or settle the group."""
+        lo, hi = (lo, u) if g > 0 else (u, hi)
+        to = u - g / h if h > 0 else lo
+        if not lo < to < hi:
+            to = (lo + hi) / 2
+        if abs(to - u) <= tol or g == 0:
+            done[k] = (u, nll / n, n)
+        else:
+            open_[k] = (n, lo, hi, to)
+
+    for r in first:
+        k, n = tuple(r[g] for g in group), r["_n"]
+        if r["lo_g"] >= 0 or r["hi_g"] <= 0:
+            end = "lo" if r["lo_g"] >= 0 else "hi"
+            done[k] = (u_lo if end == "lo" else u_hi, r[f"{end}_nll"] / n, n)
+        else:
+            step(k, n, u_lo, u_hi, 1.0, r["u_nll"], r["u_g"], r["u_h"])
+    keys = T.StructType([f for g in group for f in df.schema.fields if f.name == g])
+    for left in range(passes, 0, -1):
+        if not open_:
+            break
         # One row per group; its size is the number of groups, known here.
-        brackets = spark.createDataFrame([(*k, lo, hi) for k, (lo, hi) in br.items()], schema)
-        # its row count is known on the driver: broadcast within the cap
-        j = compact.join(F.broadcast(brackets) if len(br) <= BROADCAST_MAX_ROWS else brackets, group)
-        cand = j.select(*group, "_z", "_y", "_c", "_lo", "_hi",
-                        F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("_i"))
-        u = F.col("_lo") + (F.col("_hi") - F.col("_lo")) / F.lit(float(n_grid - 1)) * F.col("_i").cast("double")
-        sums = cand.groupBy(*group, "_lo", "_hi", "_i").agg(
-            F.sum(F.col("_c").cast("double") * _nll_term(F.col("_z"), F.col("_y"), u)).alias("_s")).collect()
-        per = {}
+        points = spark.createDataFrame([(*k, v[3]) for k, v in open_.items()],
+                                       T.StructType([*keys.fields, T.StructField("_u", T.DoubleType())]))
+        here = F.broadcast(points) if len(open_) <= BROADCAST_MAX_ROWS else points
+        same = [compact[g].eqNullSafe(here[g]) for g in group]
+        sums = compact.join(here, same).select(*[compact[g] for g in group], "_z", "_y", "_c", "_u") \
+            .groupBy(*group).agg(*_sums_at(F.col("_u"), *at, "u")).collect()
         for r in sums:
             k = tuple(r[g] for g in group)
-            per.setdefault(k, (r["_lo"], r["_hi"], {}))[2][r["_i"]] = r["_s"]
-        for k, (lo, hi, vals) in per.items():
-            i = min(vals, key=lambda t: (vals[t], t))
-            h = (hi - lo) / (n_grid - 1)
-            u_best = lo + h * i
-            best[k] = (u_best, vals[i] / sizes[k], sizes[k])
-            br[k] = (max(u_lo, u_best - h), min(u_hi, u_best + h))
-    compact.unpersist()
-    out_schema = T.StructType([f for f in schema.fields if not f.name.startswith("_")]
-                              + [T.StructField("T", T.DoubleType()),
-                                 T.StructField("nll", T.DoubleType()),
-                                 T.StructField("n", T.LongType())])
-    return spark.createDataFrame([(*k, 1.0 / u, nll, int(n)) for k, (u, nll, n) in best.items()],
-                                 out_schema)
+            n, lo, hi, u = open_.pop(k)
+            step(k, n, lo, hi, u, r["u_nll"], r["u_g"], r["u_h"])
+            if left == 1 and k in open_:
+                open_.pop(k)
+                done[k] = (u, r["u_nll"] / n, n)
+    out_schema = T.StructType([*keys.fields, T.StructField("T", T.DoubleType()),
+                               T.StructField("nll", T.DoubleType()), T.StructField("n", T.LongType())])
+    return spark.createDataFrame([(*k, 1.0 / u, nll, int(n)) for k, (u, nll, n) in done.items()], out_schema)
 
 
 def nll_at(df: DataFrame, temps: DataFrame, group: Sequence[str] = GROUP,
@@ -122,21 +135,37 @@ def temperatures_from_map(spark, mapping: dict[str, float], datasets: Sequence[s
 
 
 def calibration_table(cal: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    """DOM16: T, ECE raw/cal, confidence gap raw/cal, conf(wrong) raw/cal."""
-    stats = cal.groupBy(*group).agg(
-        F.first("T").alias("T"),
-        F.avg(F.when(F.col("correct"), F.col("confidence"))).alias("_cr"),
-        F.avg(F.when(~F.col("correct"), F.col("confidence"))).alias("conf_wrong_raw"),
-        F.avg(F.when(F.col("correct"), F.col("confidence_cal"))).alias("_cc"),
-        F.avg(F.when(~F.col("correct"), F.col("confidence_cal"))).alias("conf_wrong_cal"))
-    e_raw = ece(cal, group, "p_hs", out="ece_raw")
-    e_cal = ece(cal, group, "p_hs_cal", out="ece_cal")
-    out = stats.join(e_raw, list(group)).join(e_cal, list(group))
+    """DOM16: T, ECE raw/cal, confidence gap raw/cal, conf(wrong) raw/cal.
+
+    The scored rows are read once, into sums per (group, raw bin, calibrated
+    bin, correct): at most 242 rows a group, which hold all of the figures."""
+    group = list(group)
+    cells = materialize(cal.groupBy(
+        *group, _bin_case(F.col("p_hs"), True).alias("bin_raw"), _bin_case(F.col("p_hs_cal"), True).alias("bin_cal"),
+        "correct").agg(
+        F.first("T").alias("T"), F.count(F.lit(1)).alias("n"), F.count("confidence_cal").alias("n_cal"),
+        F.sum(F.col("label").cast("double")).alias("y"), F.sum("p_hs").alias("p_raw"), F.sum("p_hs_cal").alias("p_cal"),
+        F.sum("confidence").alias("c_raw"), F.sum("confidence_cal").alias("c_cal")))
+
+    def mean(kind, n, where):
+        return F.sum(F.when(where, F.col(f"c_{kind}"))) / F.nullif(F.sum(F.when(where, F.col(n))), F.lit(0)).cast("double")
+
+    ok = F.col("correct")
+    out = cells.groupBy(*group).agg(
+        F.first("T").alias("T"), *[f.alias(f"{name}_{kind}") for kind, n in (("raw", "n"), ("cal", "n_cal"))
+                                   for name, f in (("right", mean(kind, n, ok)), ("conf_wrong", mean(kind, n, ~ok)))])
+    for kind in ("raw", "cal"):
+        bins = cells.groupBy(*group, f"bin_{kind}").agg(
+            F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum(f"p_{kind}").alias("p"))
+        off = F.col("n").cast("double") * F.abs(F.col("y") / F.col("n") - F.col("p") / F.col("n"))
+        out = out.join(bins.groupBy(*group).agg(
+            (F.sum(F.when(F.col(f"bin_{kind}").isNotNull(), off).otherwise(F.lit(0.0)))
+             / F.sum("n").cast("double")).alias(f"ece_{kind}")), group)
     return out.select(
         *group, F.round("T", 6).alias("T"),
         F.round("ece_raw", 6).alias("ece_raw"),
         F.when(F.col("T").isNotNull(), F.round("ece_cal", 6)).alias("ece_cal"),
-        F.round(F.col("_cr") - F.col("conf_wrong_raw"), 6).alias("conf_gap_raw"),
-        F.round(F.col("_cc") - F.col("conf_wrong_cal"), 6).alias("conf_gap_cal"),
+        F.round(F.col("right_raw") - F.col("conf_wrong_raw"), 6).alias("conf_gap_raw"),
+        F.round(F.col("right_cal") - F.col("conf_wrong_cal"), 6).alias("conf_gap_cal"),
         F.round("conf_wrong_raw", 6).alias("conf_wrong_raw"),
         F.round("conf_wrong_cal", 6).alias("conf_wrong_cal"))

@@ -62,6 +62,65 @@ def split_of(id_col="doc_id", test_pct: int = HOLDOUT_PCT) -> Column:
     return F.when(holdout_bucket(id_col) < test_pct, F.lit("test")).otherwise(F.lit("train"))
 
 
+def hash60(id_col="doc_id") -> Column:
+    """Sixty bits of the id's md5: the order of the exact hold-out."""
+    return F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("bigint")
+
+
+HOLDOUT_BITS = 15
+
+
+def exact_holdout(df: DataFrame, fraction: float = HOLDOUT_PCT / 100, id_col: str = "doc_id") -> DataFrame:
+    """PRJ5 with an exact size: ``split`` is ``test`` for the ``ceil(fraction
+    * n)`` rows of the smallest id hash, whatever ``n``; rows of equal hash
+    (repeated ids; NULL ids are one of them) are taken as they come until the
+    size is reached.
+
+    The largest hash that still belongs to the test part is found without a
+    sort: counts of the hashes' leading ``HOLDOUT_BITS`` bits tell the bucket in
+    which the size is reached, and only that bucket is counted by its next bits.
+    At most 2^15 counts reach the driver per pass, of four; the rows themselves
+    are read once more, and moved only where several stand on the limit.
+    """
+    h = F.coalesce(hash60(id_col), F.lit(-1).cast("bigint"))
+    rows = df.withColumn("_h", h)
+    n_null = None
+    low, width, left = 0, 60, None
+    while width:
+        shift = width - HOLDOUT_BITS
+        inside = rows.select("_h") if left is None else rows.select("_h").where(
+            (F.col("_h") >= low) & (F.col("_h") < low + (1 << width)))
+        bucket = F.when(F.col("_h") < 0, -1).otherwise(F.shiftright(F.col("_h") - low, shift))
+        counts = sorted(inside.groupBy(bucket.alias("b")).count().collect())
+        if left is None:
+            left = -(-sum(r["count"] for r in counts) * int(round(fraction * 10**9)) // 10**9)
+            n_null = next((r["count"] for r in counts if r["b"] < 0), 0)
+            if left == 0:
+                return rows.withColumn("split", F.lit("train")).drop("_h")
+            if left <= n_null:
+                low = -1
+                break
+        for r in counts:
+            if r["count"] >= left:
+                low += r["b"] << shift
+                break
+            left -= r["count"]
+        else:
+            low = 1 << 60       # all rows
+            break
+        width = shift
+    # ``left`` rows of hash ``low`` still belong to the test part
+    limit = materialize(rows.where(F.col("_h") == low).withColumn("_row", F.monotonically_increasing_id()))
+    at = limit.count()
+    split = F.when(F.col("_h") < low, F.lit("test")).otherwise(F.lit("train"))
+    if at <= left:
+        return rows.withColumn("split", F.when(F.col("_h") <= low, F.lit("test")).otherwise(F.lit("train"))).drop("_h")
+    placed = prefix_sums(limit.withColumn("_one", F.lit(1).cast("long")), ["_h"], ["_row"], ["_one"])
+    some = placed.withColumn("split", F.when(F.col("cum__one") <= left, F.lit("test")).otherwise(F.lit("train")))
+    return rows.where(F.col("_h") != low).withColumn("split", split).drop("_h").unionByName(
+        some.select(*df.columns, "split"))
+
+
 def label_prefix(text="text", label="label_name") -> Column:
     """PRJ6: '[' + label with '_' -> ' ' + '] ' + text."""
     return F.concat(F.lit("["), F.translate(F.col(label), "_", " "), F.lit("] "), F.col(text))

@@ -1,10 +1,9 @@
 """Violin / KDE summaries (AGG15, DOM29) and retrieval context (DOM36).
 
 The density of a group on a grid is a sum over its rows: each row adds
-exp(-((x_g - x_i)/bw)^2 / 2) to every grid point.  The grid is exploded
-per row inside the scan and reduced by a partial aggregation on
-(group, grid point), so a task emits at most #groups x gridsize rows
-whatever the data size; group statistics (n, sd, min, max) come from one
+exp(-((x_g - x_i)/bw)^2 / 2) to every grid point.  A task adds its rows up in
+one array per group, a matrix operation per Arrow batch, and hands on one row per
+group; no row is multiplied.  Group statistics (n, sd, min, max) come from one
 small aggregate (one row per group) that is broadcast after a check of its size.
 """
 
@@ -13,15 +12,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import hard_token_cap
 from tessera.operators.prefix import exact_quantiles
-from tessera.session import small_side
+from tessera.session import bounded_broadcast, materialize
 
 GRID = 100
 CUT = 2.0
+#: Values met with the grid at once, and groups that a task holds.
+TILE = 2048
+GROUPS_HELD = 4096
 
 
 def kde(df: DataFrame, group: Sequence[str], value: str, gridsize: int = GRID, cut: float = CUT,
@@ -37,15 +41,39 @@ def kde(df: DataFrame, group: Sequence[str], value: str, gridsize: int = GRID, c
         .withColumn("_bw", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd")) \
         .withColumn("_lo", F.col("_mn") - F.lit(cut) * F.col("_bw")) \
         .withColumn("_step", (F.col("_mx") - F.col("_mn") + F.lit(2 * cut) * F.col("_bw")) / F.lit(gridsize - 1))
-    j = df.select(*group, v.alias("_v")).join(small_side(stats), group)
-    g = j.select(*group, "_n", "_bw", "_lo", "_step", "_v",
-                 F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
-    x = F.col("_lo") + F.col("i").cast("double") * F.col("_step")
-    k = F.exp(F.lit(-0.5) * F.pow((x - F.col("_v")) / F.col("_bw"), 2))
-    dens = g.groupBy(*group, "i").agg(
-        F.first(x).alias("x"), F.sum(k).alias("_s"), F.first("_n").alias("_n"), F.first("_bw").alias("_bw"))
+    stats = materialize(stats.withColumn("_g", F.monotonically_increasing_id()))
+    near = [F.col(f"d.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+    rows = df.select(*group, v.alias("_v")).alias("d").join(bounded_broadcast(stats).alias("s"), near).select(
+        "_g", "_lo", "_step", "_bw", "_v").where("_v IS NOT NULL")
+
+    def add_up(batches):
+        sums: dict[int, np.ndarray] = {}
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int64()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))],
+                names=["_g", "_s"])
+
+        for batch in batches:
+            g, lo, step, bw, x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            order = np.argsort(g, kind="stable")
+            ids, first = np.unique(g[order], return_index=True)
+            for k, at in zip(ids.tolist(), np.split(order, first[1:])):
+                grid = lo[at[0]] + np.arange(gridsize) * step[at[0]]
+                total = sums.setdefault(k, np.zeros(gridsize))
+                for s in range(0, len(at), TILE):
+                    total += np.exp(-0.5 * ((grid[:, None] - x[at[s:s + TILE]]) / bw[at[0]]) ** 2).sum(axis=1)
+            if len(sums) > GROUPS_HELD:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    parts = rows.mapInArrow(add_up, "_g long, _s array<double>").select("_g", F.posexplode("_s").alias("i", "_k"))
+    dens = parts.groupBy("_g", "i").agg(F.sum("_k").alias("_s")).join(bounded_broadcast(stats), "_g")
     norm = F.col("_n").cast("double") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi))
-    return dens.select(*group, "i", F.round("x", 6).alias("x"), F.round(F.col("_s") / norm, 6).alias("density"))
+    return dens.select(*group, "i", F.round(F.col("_lo") + F.col("i").cast("double") * F.col("_step"), 6).alias("x"),
+                       F.round(F.col("_s") / norm, 6).alias("density"))
 
 
 def class_breakdown(scored: DataFrame, group: Sequence[str] = ("model", "dataset", "orig_class")) -> DataFrame:

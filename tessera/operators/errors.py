@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scoring import label_name, safe_ratio
 from tessera.functions.text import first_chars, word_count
-from tessera.operators.metrics import (GROUP, TIE_DECIMALS, best_model_of, confusion_aggs, ece, macro_columns,
-                                       pick_best, rank_key)
-from tessera.session import small_side
+from tessera.operators import statistics as ST
+from tessera.operators.metrics import (GROUP, TIE_DECIMALS, best_model_of, confusion_aggs, macro_columns, pick_best,
+                                       rank_key)
+from tessera.session import materialize, small_side
 
 TOP_N = 8
 TEXT_CHARS = 110
@@ -98,22 +99,18 @@ def example_counts(df: DataFrame, class_dataset="d0", short_dataset="d1") -> Dat
 def top_examples(df: DataFrame, class_dataset="d0", short_dataset="d1", n: int = TOP_N) -> DataFrame:
     """DOM25 / WIN4: the top ``n`` examples per (dataset, category) by
     confidence (descending, or ascending for the low-confidence ones); ties
-    by ex_id.  Every model is ranked without its text (``row_number() <= n``
-    cuts each partition to n rows before the shuffle); the best model is
-    picked from per-model counts, and text is joined for the top rows only."""
+    by ex_id.  The best model is picked first, from per-model counts; only its
+    rows are ranked, with the text already cut to what is shown
+    (``row_number() <= n`` cuts each partition to n rows before the shuffle)."""
     asc = [i for i, _, o in CATEGORIES if o == "asc"]
+    best = small_side(best_model_of(df).select("dataset", "model"))
     # the confidence of a row grows with |l1 - l0|
-    sure = F.abs(rank_key(df, "confidence"))
-    cat = categorised(df.withColumn("_sure", sure), class_dataset, short_dataset).drop("text")
+    mine = df.withColumn("_sure", F.abs(rank_key(df, "confidence"))).join(best, ["dataset", "model"])
+    cat = categorised(mine, class_dataset, short_dataset).withColumn("text", first_chars("text", TEXT_CHARS))
     key = F.when(F.col("category").isin(asc), F.col("_sure")).otherwise(-F.col("_sure"))
-    w = Window.partitionBy("dataset", "model", "category").orderBy(key, F.col("ex_id"))
-    top = cat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    best = best_model_of(df).select("dataset", "model")
-    top = small_side(top.join(best, ["dataset", "model"]).select(
-        "dataset", "category", "rank", "model", "ex_id", "label", "predicted", "confidence", "orig_class", "words"))
-    texts = df.select("dataset", "model", "ex_id", "text")
-    return texts.join(top, ["dataset", "model", "ex_id"]).select(
-        "dataset", "category", "rank", "model", "ex_id", first_chars("text", TEXT_CHARS).alias("text"),
+    w = Window.partitionBy("dataset", "category").orderBy(key, F.col("ex_id"))
+    return cat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
+        "dataset", "category", "rank", "model", "ex_id", "text",
         label_name("label").alias("true_label"), label_name("predicted").alias("pred_label"),
         F.round("confidence", 6).alias("confidence"), "orig_class", "words")
 
@@ -132,29 +129,30 @@ def _model_index(models: Sequence[str]) -> Column:
 
 
 def per_example(df: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
-    """One row per (dataset, ex_id) with bitmasks of wrong / positive
-    predictions over ``models`` and the mean confidence (no text: it would
-    ride through the shuffle for every example)."""
+    """One row per (dataset, ex_id) with bitmasks over ``models``: which scored
+    it (``seen_mask``), which were wrong, which predicted positive; and the mean
+    confidence (no text: it would ride through the shuffle for every example)."""
     bit = F.expr("shiftleft(1L, _idx)")
     models = models_of(df, models)
     return df.withColumn("_idx", _model_index(models).cast("int")).where(F.col("_idx") >= 0) \
         .groupBy("dataset", "ex_id").agg(
-        F.count_distinct("_idx").alias("n_models"),
+        F.bit_or(bit).alias("seen_mask"),
         F.bit_or(F.when(~F.col("correct"), bit).otherwise(F.lit(0).cast("long"))).alias("err_mask"),
         F.bit_or(F.when(F.col("predicted") == 1, bit).otherwise(F.lit(0).cast("long"))).alias("pos_mask"),
         F.avg("confidence").alias("avg_conf"))
 
 
 def consensus_failures(df: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
-    """DOM26 counts: examples that every model gets wrong, per dataset."""
+    """DOM26 counts: examples that every model gets wrong, per dataset.  The
+    share is out of the examples that every model has scored."""
     models = models_of(df, models)
     full = (1 << len(models)) - 1
     ex = per_example(df, models)
     return ex.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("n_examples"),
+        F.count_if(F.col("seen_mask") == full).alias("n_examples"),
         F.count_if(F.col("err_mask") == full).alias("n_consensus")).select(
         "dataset", "n_examples", "n_consensus",
-        F.round(F.col("n_consensus").cast("double") / F.col("n_examples").cast("double") * 100.0, 6)
+        F.round(safe_ratio(F.col("n_consensus").cast("double"), F.col("n_examples")) * 100.0, 6)
         .alias("pct_consensus"))
 
 
@@ -177,24 +175,24 @@ def consensus_examples(df: DataFrame, models: Sequence[str] | None = None, n: in
                       F.round("avg_conf", 6).alias("avg_conf"), "orig_class")
 
 
-def _mask_counts(df: DataFrame, models: Sequence[str], mask: str) -> DataFrame:
-    return per_example(df, models).groupBy("dataset", mask).agg(F.count(F.lit(1)).alias("_k"))
-
-
 def agreement_matrix(df: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
-    """DOM27: share of examples on which models a and b predict the same
-    label (symmetric, diagonal 1), from positive-prediction bitmasks."""
+    """DOM27: share of the examples scored by both a and b on which they
+    predict the same label (symmetric, diagonal 1; NULL where they share no
+    example), from bitmasks of presence and of positive predictions."""
     models = models_of(df, models)
-    mc = _mask_counts(df, models, "pos_mask")
+    mc = per_example(df, models).groupBy("dataset", "seen_mask", "pos_mask").agg(F.count(F.lit(1)).alias("_k"))
     pairs = F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"),
                                F.lit(i).alias("_i"), F.lit(j).alias("_j"))
                       for i, a in enumerate(models) for j, b in enumerate(models)])
-    ex = mc.select("dataset", "pos_mask", "_k", F.explode(pairs).alias("p"))
+    ex = mc.select("dataset", "seen_mask", "pos_mask", "_k", F.explode(pairs).alias("p"))
+    both = F.expr("(shiftright(seen_mask, p._i) & shiftright(seen_mask, p._j) & 1) = 1")
     same = F.expr("(shiftright(pos_mask, p._i) & 1) = (shiftright(pos_mask, p._j) & 1)")
     agg = ex.groupBy("dataset", F.col("p.model_a").alias("model_a"), F.col("p.model_b").alias("model_b")).agg(
-        F.sum(F.when(same, F.col("_k")).otherwise(0)).alias("_same"), F.sum("_k").alias("_n"))
+        F.sum(F.when(both & same, F.col("_k")).otherwise(0)).alias("_same"),
+        F.sum(F.when(both, F.col("_k")).otherwise(0)).alias("_n"))
     return agg.select("dataset", "model_a", "model_b",
-                      F.round(F.col("_same").cast("double") / F.col("_n").cast("double"), 6).alias("agreement"))
+                      F.round(F.when(F.col("_n") > 0, F.col("_same").cast("double") / F.col("_n").cast("double")), 6)
+                      .alias("agreement"))
 
 
 def region_names(models: Sequence[str]) -> list[tuple[int, str]]:
@@ -208,21 +206,26 @@ def region_names(models: Sequence[str]) -> list[tuple[int, str]]:
     return [(mask, name(mask)) for mask in range(1, 1 << k)]
 
 
-REGIONS_LISTED = 10
+#: Models of which all 2^k - 1 regions are listed at most.
+MAX_REGION_MODELS = 16
 
 
-def error_overlap(df: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
-    """DOM28: errors per exclusive region, for any number of models.  Up to
-    ``REGIONS_LISTED`` models empty regions are listed with 0; beyond it
-    (2^k regions) only those that occur."""
+def error_overlap(df: DataFrame, models: Sequence[str] | None = None, with_empty: bool = True) -> DataFrame:
+    """DOM28: errors per exclusive region, for any number of models.  Empty
+    regions are listed with 0 unless ``with_empty`` is False, which more than
+    ``MAX_REGION_MODELS`` models ask for (there are 2^k regions)."""
     models = models_of(df, models)
-    mc = _mask_counts(df, models, "err_mask").where("err_mask <> 0")
-    if len(models) <= REGIONS_LISTED:
-        regions = region_names(models)
-        grid = df.select("dataset").distinct().select("dataset", F.explode(F.array(*[
-            F.struct(F.lit(m).cast("long").alias("err_mask")) for m, _ in regions])).alias("r")
-        ).select("dataset", "r.err_mask")
-        mc = grid.join(mc, ["dataset", "err_mask"], "left")
+    if with_empty and len(models) > MAX_REGION_MODELS:
+        raise ValueError(f"{len(models)} models have 2^{len(models)} regions: name fewer, or pass with_empty=False")
+    mc = per_example(df, models).groupBy("dataset", "err_mask").agg(F.count(F.lit(1)).alias("_k"))
+    if with_empty:
+        # all regions of the datasets that the masks hold: no second scan
+        mc = materialize(mc)
+        grid = mc.select("dataset").distinct().select("dataset", F.explode(
+            F.sequence(F.lit(1).cast("long"), F.lit((1 << len(models)) - 1).cast("long"))).alias("err_mask"))
+        mc = grid.join(mc, ["dataset", "err_mask"], "left") if models else mc.limit(0)
+    else:
+        mc = mc.where("err_mask <> 0")
     on = F.filter(F.array(*[F.when(F.col("err_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(m))
                             for i, m in enumerate(models)]), lambda m: m.isNotNull())
     region = (F.when(F.size(on) == 1, F.concat(F.lit("only "), on[0]))
@@ -233,16 +236,15 @@ def error_overlap(df: DataFrame, models: Sequence[str] | None = None) -> DataFra
 
 def findings(df: DataFrame, models: Sequence[str] | None = None, t: float = 0.90) -> DataFrame:
     """DOM30: per (model, dataset) macro F1, ECE, confidence gap, % routed
-    at t = 0.90, dangerous FN count; plus the dataset's consensus share."""
-    cf, ok, y, p = F.col("confidence"), F.col("correct"), F.col("label"), F.col("predicted")
-    base = df.groupBy(*GROUP).agg(
-        *confusion_aggs(), F.count(F.lit(1)).alias("_n"),
-        F.avg(F.when(ok, cf)).alias("_cc"), F.avg(F.when(~ok, cf)).alias("_cw"),
-        F.count_if(cf < F.lit(t)).alias("_routed"),
-        F.count_if(~ok & (y == 1) & (p == 0) & (cf > 0.85)).alias("n_high_conf_fn"))
-    out = base.join(ece(df), list(GROUP)).join(consensus_failures(df, models), "dataset")
+    at t = 0.90, dangerous FN count; plus the dataset's consensus share.  The
+    scored rows are read once, and written without their texts; the models are
+    taken from the statistics."""
+    slim = materialize(df.select(*GROUP, "ex_id", "label", "predicted", "correct", "confidence", "p_hs"))
+    stats = materialize(ST.statistics(slim))
+    found = consensus_failures(slim, models_of(stats, models))
+    out = ST.summary_of(stats, GROUP, t).join(found.select("dataset", "pct_consensus"), "dataset")
     return out.select(
-        *GROUP, F.round(macro_columns()["macro_f1"], 6).alias("macro_f1"),
-        F.round("ece", 6).alias("ece"), F.round(F.col("_cc") - F.col("_cw"), 6).alias("conf_gap"),
-        F.round(F.col("_routed").cast("double") / F.col("_n").cast("double") * 100.0, 6).alias("pct_to_rag"),
+        *GROUP, F.round("macro_f1", 6).alias("macro_f1"), F.round("ece", 6).alias("ece"),
+        F.round(F.col("conf_correct") - F.col("conf_wrong"), 6).alias("conf_gap"),
+        F.round(F.col("n_routed").cast("double") / F.col("n").cast("double") * 100.0, 6).alias("pct_to_rag"),
         "n_high_conf_fn", "pct_consensus")

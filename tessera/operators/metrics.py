@@ -250,49 +250,72 @@ def roc_pr_curves(df: DataFrame, group: Sequence[str] = GROUP, prob="p_hs",
                     F.round(prec, 6).alias("precision"), F.round(tpr, 6).alias("recall"))
 
 
+def _curve_areas() -> list[Column]:
+    """Sums over curve points: twice the ROC area in pairs, and the AP terms."""
+    return [F.sum(F.col("nneg") * (2 * F.col("cum_npos") - F.col("npos"))).alias("_auc2"),
+            F.sum(F.col("npos").cast("double") * F.col("cum_npos")
+                  / (F.col("cum_npos") + F.col("cum_nneg"))).alias("_ap")]
+
+
+def _auc() -> Column:
+    return F.when((F.col("P") > 0) & (F.col("N") > 0),
+                  F.col("_auc2").cast("double") / (2.0 * F.col("P").cast("double") * F.col("N").cast("double")))
+
+
+def _average_precision() -> Column:
+    return F.when(F.col("P") > 0, F.col("_ap") / F.col("P").cast("double"))
+
+
 def auc_ap(df: DataFrame, group: Sequence[str] = GROUP, prob="p_hs", label="label") -> DataFrame:
     """DOM20 ROC-AUC (trapezoids over tie groups, exact integer numerator)
     and DOM21 average precision sum((R_n - R_{n-1}) P_n); NULL for a
     single-class group."""
     pts = curve_points(df, group, prob, label)
-    agg = pts.groupBy(*group).agg(
-        F.sum("npos").alias("P"), F.sum("nneg").alias("N"),
-        F.sum(F.col("nneg") * (2 * F.col("cum_npos") - F.col("npos"))).alias("_auc2"),
-        F.sum(F.col("npos").cast("double") * F.col("cum_npos")
-              / (F.col("cum_npos") + F.col("cum_nneg"))).alias("_ap"))
+    agg = pts.groupBy(*group).agg(F.sum("npos").alias("P"), F.sum("nneg").alias("N"), *_curve_areas())
     return agg.select(
-        *group, "P", "N",
-        F.when((F.col("P") > 0) & (F.col("N") > 0),
-               F.col("_auc2").cast("double") / (2.0 * F.col("P").cast("double") * F.col("N").cast("double")))
-        .alias("roc_auc"),
-        F.when(F.col("P") > 0, F.col("_ap") / F.col("P").cast("double")).alias("avg_precision"),
+        *group, "P", "N", _auc().alias("roc_auc"), _average_precision().alias("avg_precision"),
         (F.col("P").cast("double") / (F.col("P") + F.col("N")).cast("double")).alias("prevalence"))
 
 
 # ---------------------------------------------------------------- DOM17, WIN3, WIN8
 
 def performance_summary(df: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    """DOM17: macro F1/P/R, ROC-AUC, AP, ECE, confidence stats per group."""
-    base = df.groupBy(*group).agg(
-        *confusion_aggs(),
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.when(F.col("correct"), F.col("confidence"))).alias("conf_correct"),
-        F.avg(F.when(~F.col("correct"), F.col("confidence"))).alias("conf_wrong"),
-        F.count_if(F.col("confidence") > HIGH_CONF).alias("_hi"))
-    m = macro_columns()
-    base = base.select(*group, "n", *[v.alias(k) for k, v in m.items()], "conf_correct",
-                       "conf_wrong", "_hi")
-    aa = auc_ap(df, group).select(*group, "roc_auc", "avg_precision")
-    out = (base.join(aa, list(group))
-               .join(ece(df, group), list(group)))
+    """DOM17: macro F1/P/R, ROC-AUC, AP, ECE, confidence stats per group.
+
+    The scored rows are read once: rows of equal score (so of equal ``p_hs``)
+    are folded into one with all counts that any of the metrics needs, and these
+    ride through the running sums of the curves.  What remains are one
+    aggregation per (group, probability bin) and one of these few rows.
+    """
+    group = list(group)
+    ok, conf = F.col("correct"), F.col("confidence")
+    counts = ("cnt", "tp", "fp", "tn", "fn", "n_ok", "sum_ok", "sum_wrong", "n_high")
+    ties = df.groupBy(*group, (rank_key(df) + F.lit(0.0)).alias("score")).agg(
+        F.max("p_hs").alias("prob"), F.count_if(F.col("label") == 1).alias("npos"),
+        F.count_if(F.col("label") == 0).alias("nneg"), F.count(F.lit(1)).alias("cnt"), *confusion_aggs(),
+        F.count_if(ok).alias("n_ok"), F.sum(F.when(ok, conf)).alias("sum_ok"),
+        F.sum(F.when(~ok, conf)).alias("sum_wrong"), F.count_if(conf > HIGH_CONF).alias("n_high"))
+    pts = prefix_sums(ties, group, [F.col("score").desc()], ["npos", "nneg"], prefix="cum_")
+    cells = pts.groupBy(*group, _bin_case(F.col("prob"), True).alias("_bin")).agg(
+        *[F.sum(c).alias(c) for c in counts], F.sum("npos").alias("P"), F.sum("nneg").alias("N"),
+        F.sum(F.col("prob") * F.col("cnt")).alias("sp"), *_curve_areas())
+    off = F.col("cnt").cast("double") * F.abs(F.col("P") / F.col("cnt") - F.col("sp") / F.col("cnt"))
+    total = cells.groupBy(*group).agg(
+        *[F.sum(c).alias(c) for c in (*counts, "P", "N", "_auc2", "_ap")],
+        F.sum(F.when(F.col("_bin").isNotNull(), off).otherwise(F.lit(0.0))).alias("_off"))
+    n, wrong = F.col("cnt").cast("double"), F.col("cnt") - F.col("n_ok")
+    out = total.select(
+        *group, F.col("cnt").alias("n"), *[v.alias(k) for k, v in macro_columns().items()], _auc().alias("roc_auc"),
+        _average_precision().alias("avg_precision"), (F.col("_off") / n).alias("ece"),
+        F.when(F.col("n_ok") > 0, F.col("sum_ok") / F.col("n_ok").cast("double")).alias("conf_correct"),
+        F.when(wrong > 0, F.col("sum_wrong") / wrong.cast("double")).alias("conf_wrong"),
+        F.round(F.col("n_high").cast("double") / n * 100.0, 6).alias("pct_conf_gt_90"))
     return out.select(
         *group, "n",
         *[F.round(k, 6).alias(k) for k in ("macro_f1", "macro_precision", "macro_recall",
                                              "roc_auc", "avg_precision", "ece",
                                              "conf_correct", "conf_wrong")],
-        F.round(F.col("conf_correct") - F.col("conf_wrong"), 6).alias("conf_gap"),
-        F.round(F.col("_hi").cast("double") / F.col("n").cast("double") * 100.0, 6)
-        .alias("pct_conf_gt_90"))
+        F.round(F.col("conf_correct") - F.col("conf_wrong"), 6).alias("conf_gap"), "pct_conf_gt_90")
 
 
 def pick_best(per_model: DataFrame, by="dataset", metric="macro_f1", model="model") -> DataFrame:

@@ -1,18 +1,7 @@
 """Embeddings and exact similarity search (SCL26, DOM3-DOM10, JN4-JN6, WIN5).
 
 Search is exhaustive inner product on L2-normalised vectors (cosine), the
-semantics of a flat index.  Physical plan:
-
-* both sides are packed into blocks inside their partitions; the corpus
-  blocks are dealt to slices, every query block goes to every slice once, and
-  the blocks of a slice meet in a shuffle join on the slice number, so neither
-  side passes through the driver and none is broadcast;
-* a task multiplies one query block with one corpus block at a time (one
-  BLAS matmul of at most ``QUERY_BLOCK`` x ``CORPUS_BLOCK`` scores) and keeps,
-  per query, only its local top-k (ties: smaller id first) or the hits over
-  the threshold -- the score matrix never leaves the task;
-* local winners are merged with ``row_number() <= k`` per query, which
-  Spark evaluates as a partial top-k before the shuffle.
+semantics of a flat index; its plan is in ``block_search``.
 """
 
 from __future__ import annotations
@@ -23,16 +12,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import tokens
-
-# Scores of one matmul: 512 x 2048 doubles, 8 MB, and a few arrays like it.
-QUERY_BLOCK = 512
-CORPUS_BLOCK = 2048
-NO_SELF = -(1 << 63)
+from tessera.operators.block_search import search
 
 
 def l2_normalize(c) -> Column:
@@ -98,94 +83,6 @@ def integrity(vectors: DataFrame, dim: int, col: str = "embedding") -> DataFrame
                        F.lit(dim).alias("dim"))
 
 
-def _packed(df: DataFrame, id_col: str, extra: list[str], rows: int, salt: Column) -> DataFrame:
-    """Pack vectors into blocks of at most ``rows`` rows: one row per block with
-    its ids, its extra columns and its matrix as flat doubles.  Blocks are cut
-    inside the partitions, so packing moves nothing."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"{c} array<{types[c]}>" for c in [id_col, *extra]] + ["dim int", "m array<double>"])
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for s in range(0, len(pdf), rows):
-                part = pdf.iloc[s:s + rows]
-                mat = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
-                yield pd.DataFrame({**{c: [part[c].tolist()] for c in [id_col, *extra]},
-                                    "dim": [mat.shape[1]], "m": [mat.ravel()]})
-
-    return df.select(id_col, *extra, "embedding").mapInPandas(run, schema).withColumn("_r", salt)
-
-
-def _block_hits(qids, selfs, qmat, cids, cmat, k, threshold):
-    """Hits of one query block against one corpus block: (query, corpus, score)."""
-    order = np.argsort(cids, kind="stable")
-    cids, cmat = cids[order], cmat[order]
-    # 12 decimals: equal vectors tie exactly whatever the BLAS kernel's order
-    # of summation, so the id tie-break decides; a score within 5e-13 of the
-    # threshold counts as at it.
-    score = np.round(qmat @ cmat.T, 12)
-    valid = selfs[:, None] != cids[None, :]
-    if threshold is not None:
-        valid &= score >= threshold
-    score[~valid] = -np.inf
-    if k is not None and score.shape[1] > k:
-        kth = np.partition(score, -k, axis=1)[:, -k][:, None]
-        ties = score == kth
-        valid &= (score > kth) | (ties & (np.cumsum(ties, axis=1, dtype=np.int32)
-                                          <= k - (score > kth).sum(axis=1, keepdims=True)))
-    qi, ci = np.nonzero(valid)
-    return qids[qi], cids[ci], score[qi, ci]
-
-
-def search(queries: DataFrame, corpus: DataFrame, k: int | None = 3, threshold: float | None = None,
-           query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK,
-           slices: int | None = None) -> DataFrame:
-    """DOM4 (k, no threshold), DOM5 (threshold, k=None) and DOM6 (both).
-
-    ``queries``: (query_id, self_id nullable, embedding); ``corpus``:
-    (chunk_id, embedding); both already L2-normalised; ``query_id`` may be of
-    any type.  A non-NULL self_id is excluded before the top-k (DOM7/JN6), so
-    exactly k hits remain when the corpus has them.  Result: (query_id, rank,
-    chunk_id, score), or without rank for a range search.
-    """
-    spark = corpus.sparkSession
-    slices = slices or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                  corpus.rdd.getNumPartitions()))
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    q = _packed(queries.select("query_id", F.coalesce(F.col("self_id"), F.lit(NO_SELF)).alias("self_id"), "embedding"),
-                "query_id", ["self_id"], query_block, F.lit(None).cast("int"))
-    # every query block goes to every slice of the corpus once; a corpus block to one slice
-    q = q.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumnsRenamed(
-        {"dim": "qdim", "m": "qm"})
-    c = _packed(corpus, "chunk_id", [], corpus_block,
-                F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int"))
-    pairs = c.join(q, "_r").select("query_id", "self_id", "qdim", "qm", "chunk_id", "dim", "m")
-
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                col = {n: batch.column(i)[row].values for i, n in enumerate(batch.schema.names)
-                       if n not in ("qdim", "dim")}
-                qids = np.array(col["query_id"].to_pylist() + [None], dtype=object)[:-1]
-                cids = col["chunk_id"].to_numpy(zero_copy_only=False)
-                hits = _block_hits(qids, col["self_id"].to_numpy(zero_copy_only=False),
-                                   col["qm"].to_numpy(zero_copy_only=False).reshape(len(qids), -1), cids,
-                                   col["m"].to_numpy(zero_copy_only=False).reshape(len(cids), -1), k, threshold)
-                if len(hits[0]):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hits[0].tolist(), batch.schema.field("query_id").type.value_type),
-                         pa.array(hits[1]), pa.array(hits[2])], names=["query_id", "chunk_id", "score"])
-
-    hits = pairs.mapInArrow(run, f"query_id {id_type}, chunk_id long, score double")
-    if k is None:
-        # Range search has no cap; ranking a query's hits would sort them
-        # in one task, so the hit set is returned as is (score per row).
-        return hits
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
-    return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "chunk_id", "score"))
-
-
 def self_queries(vectors: DataFrame, id_col: str = "vec_id", exclude_self: bool = True) -> DataFrame:
     """Every corpus vector as a query of its own (normalised)."""
     return vectors.select(F.col(id_col).alias("query_id"),
@@ -199,18 +96,18 @@ def corpus_of(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
 
 def self_exclusion_audit(vectors: DataFrame, k: int = 3, id_col: str = "vec_id") -> DataFrame:
     """DOM8: with the self id the own vector never comes back; without it,
-    it is found (it scores 1)."""
-    corpus = corpus_of(vectors, id_col)
-    # both searches read the same vectors: they are normalised twice, a cheap projection
-    with_self = search(self_queries(vectors, id_col, True), corpus, k)
-    without = search(self_queries(vectors, id_col, False), corpus, k)
-    tagged = (with_self.select("query_id", "chunk_id", F.lit(True).alias("_ex"))
-              .unionByName(without.select("query_id", "chunk_id", F.lit(False).alias("_ex"))))
-    own = F.col("query_id") == F.col("chunk_id")
-    return tagged.agg(
-        F.count_distinct(F.when(~F.col("_ex"), F.col("query_id"))).alias("n_queries"),
-        F.count_distinct(F.when(~F.col("_ex") & own, F.col("query_id"))).alias("n_self_found_without_exclusion"),
-        F.count_distinct(F.when(F.col("_ex") & own, F.col("query_id"))).alias("n_self_returned_with_exclusion"))
+    it is found (it scores 1).  One search, with exclusion, answers both: the
+    own vector would be among the first k if fewer than k of the hits come
+    before it by score, then id."""
+    queries = self_queries(vectors, id_col, True).where("embedding IS NOT NULL")
+    own = F.round(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x), 12)
+    hits = search(queries, corpus_of(vectors, id_col), k)
+    before = (F.col("score") > F.col("_own")) | ((F.col("score") == F.col("_own")) & (F.col("chunk_id") < F.col("query_id")))
+    per = queries.select("query_id", own.alias("_own")).join(hits, "query_id", "left").groupBy("query_id").agg(
+        F.count_if(before).alias("_before"), F.count_if(F.col("chunk_id") == F.col("query_id")).alias("_back"))
+    return per.agg(F.count(F.lit(1)).alias("n_queries"),
+                   F.count_if(F.col("_before") < k).alias("n_self_found_without_exclusion"),
+                   F.count_if(F.col("_back") > 0).alias("n_self_returned_with_exclusion"))
 
 
 def id_offset(df: DataFrame, after: DataFrame, least: int, col: str = "chunk_id") -> DataFrame:

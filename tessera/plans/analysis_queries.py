@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
+from tessera.operators import statistics as ST
 from tessera.plans.fixtures import scored
 from tessera.plans.sql import (CONFUSION_SQL, ece_bin_sql, handoff_values, macro_sql,
                                reliability_bin_sql, sweep_bucket_sql, sweep_values, with_scored)
+from tessera.session import materialize
 
 G = ["model", "dataset"]
 QUERIES: dict = {}
@@ -321,3 +323,29 @@ SELECT grid.dataset, grid.quadrant, CAST(coalesce(st.n, 0) AS BIGINT) AS n, roun
 FROM grid LEFT JOIN st USING (dataset, quadrant) LEFT JOIN wh USING (dataset, quadrant)""")
 def q_box(spark, sf_dir):
     return M.box_summary(scored(spark, sf_dir))
+
+
+# --- DOM18 / DOM22 from statistics of two parts of the rows, merged -------------------
+def _merged(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return materialize(ST.merge([ST.statistics(s.where(f"ex_id % 2 = {k}")) for k in (0, 1)]))
+
+
+@register("dom18_sweep_of_merged_statistics", with_scored(_sweep_sql("confidence")) + _sweep_select())
+def q_merged_sweep(spark, sf_dir):
+    return ST.sweep_of(_merged(spark, sf_dir))
+
+
+@register("dom22_rates_of_merged_statistics", SQL["dom22_handoff_rates"])
+def q_merged_rates(spark, sf_dir):
+    return ST.handoff_of(_merged(spark, sf_dir))
+
+
+@register("dom17_bounded_part_of_merged_statistics", with_scored(_SUMMARY_CTES) + """
+SELECT model, dataset, n, macro_f1, macro_precision, macro_recall, ece, conf_correct, conf_wrong, pct_conf_gt_90 FROM summary""")
+def q_merged_summary(spark, sf_dir):
+    out = ST.summary_of(_merged(spark, sf_dir))
+    share = F.col("n_high").cast("double") / F.col("n").cast("double") * 100.0
+    return out.select(*G, "n", *[F.round(c, 6).alias(c) for c in (
+        "macro_f1", "macro_precision", "macro_recall", "ece", "conf_correct", "conf_wrong")],
+        F.round(share, 6).alias("pct_conf_gt_90"))

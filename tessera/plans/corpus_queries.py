@@ -92,6 +92,13 @@ def q_split(spark, sf_dir):
     return lab.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("n_positive"))
 
 
+@register("prj5_exact_holdout", """
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT)
+                         <= ceil(count(*) OVER () / 10.0) THEN 'test' ELSE 'train' END AS split FROM documents""")
+def q_exact_split(spark, sf_dir):
+    return CO.exact_holdout(read_table(spark, sf_dir, "documents", spread_rows=False).select("doc_id"))
+
+
 # --- WIN1 / WIN2 / JN2 dedup ------------------------------------------------------------
 @register("win1_internal_dedup", ROWS_CTE + """
 SELECT row_idx, corpus FROM (

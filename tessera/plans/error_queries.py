@@ -11,6 +11,7 @@ from tessera.operators import errors as ER
 from tessera.operators import metrics as M
 from tessera.plans.fixtures import DATASETS, MODELS, scored
 from tessera.plans.sql import CONFUSION_SQL, dbl, ece_bin_sql, macro_sql, with_scored
+from tessera.session import materialize
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -47,7 +48,8 @@ def _calibrated(spark, sf_dir):
 
 
 # --- DOM14 fit: the grid passes as chained CTEs ------------------------------
-_FIT_GRID, _FIT_PASSES = 64, 4
+# The twin narrows a grid of candidates; six passes reach 2e-9 in 1/T.
+_FIT_GRID, _FIT_PASSES = 64, 6
 
 
 def _fit_sql() -> str:
@@ -66,14 +68,14 @@ m{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset
 b{k + 1} AS (SELECT model, dataset, greatest({lo}, u - (hi - lo) / {dbl(_FIT_GRID - 1)}) AS lo,
                     least({hi}, u + (hi - lo) / {dbl(_FIT_GRID - 1)}) AS hi, n FROM m{k})""")
     return with_scored(*ctes) + f"""
-SELECT model, dataset, round(CAST(1.0 AS DOUBLE) / u, 3) AS T, round(s / n, 6) AS nll, CAST(n AS BIGINT) AS n
+SELECT model, dataset, round(CAST(1.0 AS DOUBLE) / u, 4) AS T, round(s / n, 6) AS nll, CAST(n AS BIGINT) AS n
 FROM m{_FIT_PASSES - 1}"""
 
 
 @register("dom14_temperature_fit", _fit_sql())
 def q_fit(spark, sf_dir):
-    t = C.fit_temperature(scored(spark, sf_dir), n_grid=_FIT_GRID, passes=_FIT_PASSES)
-    return t.select("model", "dataset", F.round("T", 3).alias("T"), F.round("nll", 6).alias("nll"), "n")
+    t = C.fit_temperature(scored(spark, sf_dir))
+    return t.select("model", "dataset", F.round("T", 4).alias("T"), F.round("nll", 6).alias("nll"), "n")
 
 
 # --- DOM15 apply ---------------------------------------------------------------
@@ -135,6 +137,31 @@ def q_router(spark, sf_dir):
     return c.select("model", "dataset", "ex_id", F.round("confidence_cal", 6).alias("confidence_cal"), "route")
 
 
+# --- DOM24 with its retrieval branch: routed rows searched among the benchmark items ---
+def _retrieval_sql():
+    from tessera.plans.vector_queries import _hashed_sql, _norm_sql
+    return with_scored(_CAL_CTE, f"hd AS {_hashed_sql('documents', 'doc_id')}", f"nd AS {_norm_sql('hd', 'doc_id', 'embedding')}",
+                       f"hb AS {_hashed_sql('benchmark', 'item_id')}", f"nb AS {_norm_sql('hb', 'item_id', 'embedding')}",
+                       """pairs AS (SELECT q.doc_id, c.item_id, round(list_inner_product(q.e, c.e), 12) AS s FROM nd q, nb c),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, item_id) AS rank FROM pairs)
+        WHERE rank <= 3)""") + """
+SELECT model, dataset, ex_id, CAST(rank AS INTEGER) AS rank, item_id AS chunk_id, round(s, 6) AS score
+FROM cal2 JOIN top ON top.doc_id = cal2.ex_id WHERE NOT coalesce(confidence_cal >= CAST('0.9' AS DOUBLE), false)"""
+
+
+@register("dom24_router_retrieval", _retrieval_sql())
+def q_router_retrieval(spark, sf_dir):
+    from tessera.operators.vectors import hashed_embeddings
+    from tessera.plans.fixtures import logits_table
+    from tessera.sources.tables import read_table
+    from tessera.streaming.retrieval import retrieved, routed_rows
+    temps = C.temperatures_from_map(spark, TEMPERATURES, DATASETS)
+    logits = logits_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    index = hashed_embeddings(read_table(spark, sf_dir, "benchmark"), "item_id", "text", out_id="chunk_id")
+    hits = retrieved(materialize(routed_rows(logits, temps)), index, k=3)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 # --- DOM25 example categories ------------------------------------------------------
 _BEST = f"""
 cm AS (SELECT model, dataset, {CONFUSION_SQL} FROM scored GROUP BY model, dataset),
@@ -194,7 +221,7 @@ def q_examples(spark, sf_dir):
 _MODEL_LIST = "[" + ", ".join(f"'{m}'" for m in MODELS) + "]"
 _PE = f"""
 sx AS (SELECT *, list_position({_MODEL_LIST}, model) - 1 AS idx FROM scored),
-pe AS (SELECT dataset, ex_id, count(DISTINCT idx) AS n_models,
+pe AS (SELECT dataset, ex_id, CAST(bit_or(1 << idx) AS BIGINT) AS seen_mask,
               CAST(bit_or(CASE WHEN NOT correct THEN (1 << idx) ELSE 0 END) AS BIGINT) AS err_mask,
               CAST(bit_or(CASE WHEN predicted = 1 THEN (1 << idx) ELSE 0 END) AS BIGINT) AS pos_mask,
               avg(confidence) AS avg_conf, first(label) AS label, first(text) AS text,
@@ -203,8 +230,9 @@ pe AS (SELECT dataset, ex_id, count(DISTINCT idx) AS n_models,
 
 
 @register("dom26_consensus_failures", with_scored(_PE) + """
-SELECT dataset, count(*) AS n_examples, count(*) FILTER (WHERE err_mask = 7) AS n_consensus,
-       round(CAST(count(*) FILTER (WHERE err_mask = 7) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0, 6) AS pct_consensus
+SELECT dataset, count(*) FILTER (WHERE seen_mask = 7) AS n_examples, count(*) FILTER (WHERE err_mask = 7) AS n_consensus,
+       round(CAST(count(*) FILTER (WHERE err_mask = 7) AS DOUBLE)
+             / CAST(greatest(count(*) FILTER (WHERE seen_mask = 7), 1) AS DOUBLE) * 100.0, 6) AS pct_consensus
 FROM pe GROUP BY dataset""")
 def q_consensus(spark, sf_dir):
     return ER.consensus_failures(scored(spark, sf_dir))
@@ -225,15 +253,29 @@ _PAIRS = "(VALUES " + ", ".join(f"('{a}', '{b}', {i}, {j})" for i, a in enumerat
                                 for j, b in enumerate(MODELS)) + ") AS pr(model_a, model_b, i, j)"
 
 
-@register("dom27_agreement_matrix", with_scored(_PE) + f"""
+_AGREE = f"""
 SELECT pe.dataset, pr.model_a, pr.model_b,
-       round(CAST(count(*) FILTER (WHERE ((pos_mask >> pr.i) & 1) = ((pos_mask >> pr.j) & 1)) AS DOUBLE)
-             / CAST(count(*) AS DOUBLE), 6) AS agreement
-FROM pe CROSS JOIN {_PAIRS} GROUP BY ALL""")
+       round(CAST(count(*) FILTER (WHERE (seen_mask >> pr.i) & (seen_mask >> pr.j) & 1 = 1
+                                   AND ((pos_mask >> pr.i) & 1) = ((pos_mask >> pr.j) & 1)) AS DOUBLE)
+             / CAST(nullif(count(*) FILTER (WHERE (seen_mask >> pr.i) & (seen_mask >> pr.j) & 1 = 1), 0) AS DOUBLE), 6) AS agreement
+FROM pe CROSS JOIN {_PAIRS} GROUP BY ALL"""
+
+
+@register("dom27_agreement_matrix", with_scored(_PE) + _AGREE)
 def q_agreement(spark, sf_dir):
     return ER.agreement_matrix(scored(spark, sf_dir))
 
 
+# Models that have scored a part of the examples only: each lacks a fifth, and
+# m2 all of d0.
+_PARTIAL = """NOT (ex_id % 5 = CASE model WHEN 'm0' THEN 0 WHEN 'm1' THEN 1 ELSE 2 END OR (model = 'm2' AND dataset = 'd0'))"""
+
+
+@register("dom27_partial_coverage", with_scored(_PE.replace("FROM scored)", f"FROM scored WHERE {_PARTIAL})")) + _AGREE)
+def q_agreement_partial(spark, sf_dir):
+    return ER.agreement_matrix(scored(spark, sf_dir).where(_PARTIAL), MODELS)
+
+
 _REGIONS = "(VALUES " + ", ".join(f"({m}, '{nm}')" for m, nm in ER.region_names(MODELS)) + ") AS rg(err_mask, region)"
 
 

@@ -60,6 +60,84 @@ def q_csv(spark, sf_dir):
     return read_csv(spark, path, "p_partkey long, p_name string, p_brand string, p_size int")
 
 
+# --- SRC5, JN1, PRJ3, PRJ4: documents as text files, one folder column with the id ----
+def _text_dir(spark, sf_dir):
+    path = _folder(spark)
+    docs = read_table(spark, sf_dir, "documents", spread_rows=False)
+    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("doc_id").text(path)
+    return path
+
+
+_STRIPPED = f"regexp_replace(coalesce(text, ''), '^{TX.WS}+|{TX.WS}+$', '', 'g')"
+
+
+@register("src5_text_directory", f"""
+SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_STRIPPED} AS t FROM documents)""")
+def q_text_dir(spark, sf_dir):
+    files = FS.text_files(spark, _text_dir(spark, sf_dir))
+    return files.select(F.col("doc_id").cast("long"), F.length("text").cast("long").alias("n_chars"),
+                        F.md5("text").alias("digest"))
+
+
+def _metadata(spark, sf_dir):
+    return read_table(spark, sf_dir, "labels").select("doc_id", orig_class().alias("label"))
+
+
+_CLASS = """CASE WHEN toxic = 0 THEN 'not_hate' WHEN quality = 0 THEN 'explicit_hate' ELSE 'implicit_hate' END"""
+
+
+@register("jn1_text_metadata_join", f"""
+SELECT doc_id, label, length(t) AS n_chars
+FROM (SELECT d.doc_id, {_CLASS} AS label, {_STRIPPED} AS t FROM documents d JOIN labels l ON l.doc_id = d.doc_id)""")
+def q_metadata_join(spark, sf_dir):
+    j = FS.labelled_text_dir(spark, _text_dir(spark, sf_dir), _metadata(spark, sf_dir), drop_empty=False, id_col="doc_id")
+    return j.select(F.col("doc_id").cast("long"), "label", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("prj3_label_lists", f"""
+SELECT doc_id, label, list FROM (SELECT doc_id, {_CLASS} AS label FROM labels JOIN documents USING (doc_id)),
+       (VALUES ('kept'), ('not_dropped')) AS v(list)
+WHERE CASE list WHEN 'kept' THEN label IN ('explicit_hate', 'implicit_hate') ELSE label <> 'implicit_hate' END""")
+def q_label_lists(spark, sf_dir):
+    path, meta = _text_dir(spark, sf_dir), _metadata(spark, sf_dir)
+    kept = FS.labelled_text_dir(spark, path, meta, keep_labels=["explicit_hate", "implicit_hate"], drop_empty=False,
+                                id_col="doc_id")
+    rest = FS.labelled_text_dir(spark, path, meta, drop_labels=["implicit_hate"], drop_empty=False, id_col="doc_id")
+    return kept.withColumn("list", F.lit("kept")).unionByName(rest.withColumn("list", F.lit("not_dropped"))).select(
+        F.col("doc_id").cast("long"), "label", "list")
+
+
+# Texts of which nothing is left once digits, blanks and the given letters go: some are empty.
+@register("prj4_empty_text_drop", f"""
+SELECT doc_id, length(t) AS n_chars FROM (
+  SELECT doc_id, regexp_replace(t, '^{TX.WS}+|{TX.WS}+$', '', 'g') AS t FROM (
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN chr(10) || '  ' ELSE coalesce(text, '') END AS t
+    FROM documents JOIN labels USING (doc_id))) WHERE length(t) > 0""")
+def q_empty_drop(spark, sf_dir):
+    path = _folder(spark)
+    docs = read_table(spark, sf_dir, "documents", spread_rows=False)
+    docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "\n  ").otherwise(F.coalesce("text", F.lit(""))).alias("text")) \
+        .write.partitionBy("doc_id").text(path)
+    j = FS.labelled_text_dir(spark, path, _metadata(spark, sf_dir), id_col="doc_id")
+    return j.select(F.col("doc_id").cast("long"), F.length("text").cast("long").alias("n_chars"))
+
+
+# --- SRC6: line files, one per source, the lines of its documents by id ---------------
+@register("src6_comment_lines", f"""
+WITH files AS (SELECT source, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY source),
+lines AS (SELECT source, unnest(l) AS raw, unnest(range(1, len(l) + 1)) AS line_num
+          FROM (SELECT source, regexp_split_to_array(body, '\\r\\n|\\n|\\r') AS l FROM files))
+SELECT source, line_num, md5(line) AS digest FROM (
+  SELECT source, line_num, regexp_replace(raw, '^{TX.WS}+|{TX.WS}+$', '', 'g') AS line FROM lines)
+WHERE line <> '' AND line NOT LIKE '#%'""")
+def q_comment_lines(spark, sf_dir):
+    path = _folder(spark)
+    docs = read_table(spark, sf_dir, "documents", spread_rows=False)
+    (docs.select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("source")
+     .sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(path))
+    return FS.comment_lines(spark, path).select("source", "line_num", F.md5("line").alias("digest"))
+
+
 @register("src10_listing_frontier", """
 SELECT n_name AS source, k AS page_num,
        CASE WHEN n_nationkey % 3 = 0 THEN CASE WHEN k = 0 THEN b ELSE b || '?page=' || CAST(k AS VARCHAR) END

@@ -1,40 +1,47 @@
 """File sources (SRC5-SRC8, SRC10, SCL7, SET5).
 
-Small configuration files (source lists, JSON maps) are read one file per
-row (``wholetext``) because line numbers are part of their meaning; data
-files (text corpora) are read one file per row as documents, which is their
-natural unit.  Everything after the read is column expressions.
+Line files are read line by line, so that a long one is split over tasks;
+their line numbers come from the block that a line was read from.  A text
+document is one row by its meaning, and a JSON map one value, so these are read
+whole.  Columns of a partitioned folder pass through every reader.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import web as W
 from tessera.functions.text import strip
 from tessera.operators.corpus import keep_first
+from tessera.session import materialize, small_side
+
+
+def _columns(df: DataFrame) -> list[str]:
+    """The folder columns of a partitioned text source."""
+    return [c for c in df.columns if c != "value"]
 
 
 def text_files(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """SRC5 / SRC7: one row per file -- (file_name, file_id, text); only
     files with ``suffix``; id = name without the suffix; body stripped."""
-    df = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw"))
-    df = df.where(F.col("file_name").endswith(suffix))
-    return df.select("file_name",
-                     F.expr(f"substring(file_name, 1, length(file_name) - {len(suffix)})").alias("file_id"),
-                     strip("raw").alias("text"))
+    df = spark.read.text(path, wholetext=True)
+    df = df.select(F.col("_metadata.file_name").alias("file_name"), *_columns(df), F.col("value").alias("raw"))
+    stem = F.expr(f"substring(file_name, 1, length(file_name) - {len(suffix)})")
+    return df.where(F.col("file_name").endswith(suffix)).select(
+        "file_name", stem.alias("file_id"), *[c for c in df.columns if c not in ("file_name", "raw")],
+        strip("raw").alias("text"))
 
 
 def labelled_text_dir(spark: SparkSession, text_dir: str, meta: DataFrame, keep_labels=None,
-                      drop_labels=None, drop_empty: bool = True) -> DataFrame:
-    """SRC5 + JN1 + PRJ3 + PRJ4: text files joined to (file_id, label)
+                      drop_labels=None, drop_empty: bool = True, id_col: str = "file_id") -> DataFrame:
+    """SRC5 + JN1 + PRJ3 + PRJ4: text files joined to (``id_col``, label)
     metadata (inner join: a file without metadata is dropped), label
-    whitelist or blacklist, empty-text drop; ordered by file name."""
+    whitelist or blacklist, empty-text drop; ordered by file name.  ``id_col``
+    is the file's stem or a column of the folder."""
     files = text_files(spark, text_dir)
-    j = files.join(meta.select("file_id", "label"), "file_id")
+    j = files.join(meta.select(id_col, "label"), id_col)
     if keep_labels is not None:
         j = j.where(F.col("label").isin(list(keep_labels)))
     if drop_labels is not None:
@@ -44,14 +51,32 @@ def labelled_text_dir(spark: SparkSession, text_dir: str, meta: DataFrame, keep_
     return j.orderBy("file_name")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """SRC6: (file_path, file_name, folder columns..., line_num, raw) of every
+    line, numbered from 1 per file.
+
+    Files are read in blocks by as many tasks as they have blocks.  Row ids grow
+    by one from line to line of a block, so a line's place there is its id less
+    the block's first; the lines of the file's earlier blocks come from the
+    blocks' counts, one row a block."""
+    df = spark.read.text(path)
+    lines = materialize(df.select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), *_columns(df),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"),
+        F.col("value").alias("raw")))
+    blocks = lines.groupBy("file_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(small_side(blocks), ["file_path", "_block"]).select(
+        "file_path", "file_name", *_columns(df), (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("line_num"), "raw")
+
+
 def comment_lines(spark: SparkSession, path: str) -> DataFrame:
-    """SRC6 / SRC7: (file_name, line_num, line) of non-blank lines that do
-    not start with '#', stripped, 1-based line numbers per file."""
-    df = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file_name"),
-        F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("pos", "raw"))
-    line = strip("raw")
-    return df.select("file_name", (F.col("pos") + 1).alias("line_num"), line.alias("line")) \
+    """SRC6 / SRC7: (file_name, line_num, line) and folder columns of non-blank
+    lines that do not start with '#', stripped, 1-based line numbers per file."""
+    rows = numbered_lines(spark, path)
+    return rows.select("file_name", *[c for c in rows.columns if c not in ("file_path", "file_name", "raw", "line_num")],
+                       "line_num", strip("raw").alias("line")) \
         .where((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 

@@ -10,6 +10,7 @@ from tessera.functions.scoring import with_scores
 from tessera.operators import calibration as C
 from tessera.operators import corpus as CO
 from tessera.operators import vectors as V
+from tessera.operators.block_search import block_pairs
 from tessera.operators.prefix import contiguous_ids, exact_quantiles, prefix_sums
 
 
@@ -126,6 +127,67 @@ def test_search_matches_brute_force_and_partitioning(spark):
     assert len(thr) == n_exp
 
 
+def _unit(mat):
+    return mat / np.linalg.norm(mat, axis=1, keepdims=True)
+
+
+def _by_query(hits):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append(r["chunk_id"])
+    return out
+
+
+@pytest.mark.parametrize("shape", ["random", "clustered"])
+def test_pruned_search_equals_the_exhaustive_one(spark, shape):
+    """Top-k, range and both, with bounds on small blocks and without."""
+    rng = np.random.default_rng(8)
+    if shape == "random":
+        c = _unit(rng.normal(size=(500, 24)))
+    else:
+        c = _unit(np.repeat(_unit(rng.normal(size=(20, 24))), 25, axis=0) + rng.normal(size=(500, 24)) * 0.03)
+        c[100:140] = c[100]                     # a hot spot of equal vectors
+    df = spark.createDataFrame([(i, c[i].tolist()) for i in range(500)], "vec_id long, embedding array<double>").repartition(5)
+    small = {"query_block": 9, "corpus_block": 10}
+    t = 0.4 if shape == "random" else 0.95
+    q, corpus = V.self_queries(df), V.corpus_of(df)
+    want = _brute(c, c, 4, self_ids=list(range(500)))
+    assert _by_query(V.search(q, corpus, k=4, **small, prune_from=0)) == want
+    assert _by_query(V.search(q, corpus, k=4, **small, prune_from=10**9)) == want
+    want = {i: v for i, v in _brute(c, c, 3, thr=t, self_ids=list(range(500))).items() if v}
+    assert _by_query(V.search(q, corpus, k=3, threshold=t, **small, prune_from=0)) == want
+    got = {(r["query_id"], r["chunk_id"]) for r in V.search(q, corpus, k=None, threshold=t, **small, prune_from=0).collect()}
+    score = np.round(c @ c.T, 12)
+    assert got == {(i, j) for i in range(500) for j in range(500) if i != j and score[i, j] >= t} and got
+    report = block_pairs(q, corpus, threshold=t, **small).first()
+    assert report["n_pairs"] == report["n_groups"] * report["n_blocks"]
+    assert report["pct_skipped"] > 50 if shape == "clustered" else report["pct_skipped"] >= 0
+
+
+def test_search_edge_vectors(spark):
+    """NULL vectors are no queries and no candidates; empty sides give no
+    hits; unlike widths raise an error that names them; text ids work."""
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.6, 0.8])], schema)
+    for prune in (0, 256):
+        hits = _by_query(V.search(V.self_queries(df), V.corpus_of(df), k=3, prune_from=prune))
+        assert hits == {1: [3], 3: [1]}
+        for q, c in ((df.limit(0), df), (df, df.limit(0))):
+            assert V.search(V.self_queries(q), V.corpus_of(c), k=2, prune_from=prune).count() == 0
+    named = V.self_queries(df).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    assert _by_query(V.search(named, V.corpus_of(df), k=1, prune_from=0)) == {"q1": [3], "q3": [1]}
+    ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], schema).coalesce(1)
+    with pytest.raises(Exception, match="widths"):
+        V.search(V.self_queries(ragged), V.corpus_of(df), k=1).collect()
+    wide = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], schema)
+    with pytest.raises(Exception, match="width 3"):
+        V.search(V.self_queries(wide), V.corpus_of(df), k=1).collect()
+    audit = V.self_exclusion_audit(df, k=1).first()
+    assert (audit["n_queries"], audit["n_self_found_without_exclusion"], audit["n_self_returned_with_exclusion"]) == (2, 2, 0)
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(4)], schema)
+    assert V.self_exclusion_audit(same, k=2).first()["n_self_found_without_exclusion"] == 2
+
+
 def test_temperature_fit_is_optimal_and_keeps_argmax(spark):
     rng = np.random.default_rng(11)
     rows = []
@@ -182,3 +244,64 @@ def test_edge_rules_remaining(spark):
     b = spark.createDataFrame([(2, "y", "u")], "chunk_id long, text string, url string")
     u = a.unionByName(b, allowMissingColumns=True).fillna("", subset=["url"]).orderBy("chunk_id").collect()
     assert [r["url"] for r in u] == ["", "u"] and list(u[0].asDict()) == ["chunk_id", "text", "url"]
+
+
+def test_temperature_fit_at_the_bounds_and_with_null_groups(spark):
+    """Perfectly separated logits want T at the lower bound, reversed ones the
+    upper; a NULL group is fitted like any other; clipped rows have no slope."""
+    rows = [("sharp", k, k % 2, 0.0, 4.0 if k % 2 else -4.0) for k in range(20)]
+    rows += [("wrong", k, k % 2, 0.0, -4.0 if k % 2 else 4.0) for k in range(20)]
+    rows += [(None, k, int(k % 3 == 0), 0.0, 1.0 if k % 2 else -1.0) for k in range(60)]
+    rows += [("clip", k, int(k % 4 == 0), 0.0, 30.0 if k % 2 else -3.0) for k in range(40)]
+    df = spark.createDataFrame([("m", *r) for r in rows],
+                               "model string, dataset string, ex_id long, label int, l0 double, l1 double")
+    fit = {r["dataset"]: r for r in C.fit_temperature(df).collect()}
+    assert fit["sharp"]["T"] == 0.5 and fit["wrong"]["T"] == 20.0 and fit[None]["n"] == 60
+    for name in (None, "clip"):
+        mine = [r for r in rows if r[0] == name]
+        z = np.array([r[4] - r[3] for r in mine])
+        y = np.array([r[2] for r in mine])
+        u = np.linspace(1 / 20, 2, 40001)
+        p = 1 / (1 + np.exp(-z[:, None] * u))
+        nll = -np.log(np.clip(np.where(y[:, None] == 1, p, 1 - p), 1e-12, 1)).mean(axis=0)
+        assert fit[name]["nll"] <= nll.min() + 1e-9
+        assert 1 / fit[name]["T"] == pytest.approx(u[nll.argmin()], abs=1e-4)
+
+
+def test_kde_of_groups_spread_over_tasks(spark):
+    from tessera.operators.density import kde
+    rng = np.random.default_rng(2)
+    vals = {"a": rng.normal(size=3000), "b": rng.normal(size=40) * 2 + 1, None: rng.normal(size=9)}
+    rows = [(g, float(v)) for g, vs in vals.items() for v in vs]
+    rows += [("two", 1.0), ("two", 2.0), ("flat", 3.0), ("flat", 3.0), ("flat", 3.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {}
+    for r in kde(df, ["g"], "v", gridsize=30).collect():
+        got.setdefault(r["g"], {})[r["i"]] = (r["x"], r["density"])
+    assert set(got) == {"a", "b", None} and all(len(v) == 30 for v in got.values())
+    for g, vs in vals.items():
+        bw = len(vs) ** -0.2 * vs.std(ddof=1)
+        x = np.linspace(vs.min() - 2 * bw, vs.max() + 2 * bw, 30)
+        d = np.exp(-0.5 * ((x[:, None] - vs) / bw) ** 2).sum(axis=1) / (len(vs) * bw * np.sqrt(2 * np.pi))
+        assert [got[g][i][1] for i in range(30)] == pytest.approx(d.tolist(), abs=2e-6)
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 2501])
+def test_exact_holdout_size(spark, n):
+    df = spark.range(n).withColumnRenamed("id", "doc_id").repartition(4)
+    got = {r["doc_id"]: r["split"] for r in CO.exact_holdout(df).collect()}
+    test = {k for k, v in got.items() if v == "test"}
+    assert len(got) == n and len(test) == -(-n // 10)
+    import hashlib
+    first = sorted(range(n), key=lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16))
+    assert test == set(first[:-(-n // 10)])
+
+
+def test_exact_holdout_repeated_and_null_ids(spark):
+    ids = [None] * 50 + [7] * 40 + [8] * 10
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    for fraction in (0.0, 0.3, 0.5, 0.55, 0.9, 1.0):
+        got = CO.exact_holdout(df, fraction)
+        assert got.columns == ["doc_id", "text", "split"] and got.count() == 100
+        assert got.where("split = 'test'").count() == round(100 * fraction)
+        assert got.select("text").distinct().count() == 100

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scoring import with_scores
 from tessera.operators import errors as ER
 from tessera.operators import metrics as M
+from tessera.operators import statistics as ST
 
 
 def _scored(spark, rows):
@@ -188,3 +189,54 @@ def test_missing_temperature_keeps_rows(spark):
     assert M.route(cal).where("model = 'n' and route = 'rag'").count() == 2
     t = {r["model"]: r for r in C.calibration_table(cal).collect()}
     assert t["n"]["T"] is None and t["n"]["ece_cal"] is None and t["n"]["ece_raw"] is not None
+
+
+def test_models_that_scored_a_part_of_the_examples(spark):
+    """Absence is no prediction: agreement is out of shared examples, and a
+    consensus failure is out of the examples that all models have scored."""
+    rows = [("a", "d", 1, 1, 0.0, 1.0), ("b", "d", 1, 1, 0.0, 2.0),            # both positive
+            ("a", "d", 2, 1, 0.0, 1.0), ("a", "d", 3, 1, 1.0, 0.0),            # only a
+            ("b", "d", 4, 0, 0.0, 1.0), ("c", "d", 5, 0, 1.0, 0.0),            # only b, only c
+            ("a", "d", 6, 1, 1.0, 0.0), ("b", "d", 6, 1, 1.0, 0.0), ("c", "d", 6, 1, 1.0, 0.0)]
+    df = _scored(spark, rows)
+    got = {(r["model_a"], r["model_b"]): r["agreement"] for r in ER.agreement_matrix(df.where("model <> 'c'")).collect()}
+    assert got == {(x, y): 1.0 for x in "ab" for y in "ab"}
+    apart = {(r["model_a"], r["model_b"]): r["agreement"] for r in ER.agreement_matrix(df.where("ex_id < 6")).collect()}
+    assert apart["a", "c"] is None and apart["c", "c"] == 1.0
+    c = ER.consensus_failures(df).first()
+    assert (c["n_examples"], c["n_consensus"], c["pct_consensus"]) == (1, 1, 100.0)
+
+
+def test_error_overlap_lists_or_refuses_empty_regions(spark):
+    df = _scored(spark, [(f"m{k}", "d", 1, 1, 1.0, 0.0) for k in range(3)])
+    assert ER.error_overlap(df).count() == 7
+    assert [tuple(r) for r in ER.error_overlap(df, with_empty=False).collect()] == [("d", "all 3", 7, 1)]
+    many = _scored(spark, [(f"m{k:02}", "d", 1, 1, 1.0, 0.0) for k in range(17)])
+    with pytest.raises(ValueError, match="regions"):
+        ER.error_overlap(many)
+    assert ER.error_overlap(many, with_empty=False).count() == 1
+
+
+def test_statistics_merge_and_agree_with_the_scans(spark):
+    """Reports from merged statistics equal those from the rows, also where a
+    confidence stands on a limit."""
+    rng = np.random.default_rng(4)
+    rows = [(f"m{i % 2}", f"d{i % 3}", i, int(rng.integers(0, 2)), 0.0, float(rng.normal() * 2)) for i in range(600)]
+    rows += [("m0", "d0", 1000 + i, i % 2, 0.0, _logit_for(p)) for i, p in enumerate((0.6, 0.7, 0.85, 0.9, 0.95))]
+    edges = F.array(*[F.lit(e) for e in ST.EDGES])
+    df = _scored(spark, rows).withColumn("confidence", F.when(
+        F.col("ex_id") % 7 == 0, F.element_at(edges, (F.col("ex_id") % len(ST.EDGES) + 1).cast("int"))).otherwise(F.col("confidence")))
+    merged = ST.merge([ST.statistics(df.where(f"ex_id % 3 = {k}")) for k in range(3)])
+    rounded = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rounded(ST.sweep_of(merged)) == rounded(M.selective_sweep(df))
+    assert rounded(ST.handoff_of(merged)) == rounded(M.handoff_rates(df))
+    whole = {(r["model"], r["dataset"]): r for r in M.performance_summary(df).collect()}
+    for r in ST.summary_of(merged).collect():
+        want = whole[r["model"], r["dataset"]]
+        for c in ("macro_f1", "ece", "conf_correct", "conf_wrong"):
+            assert r[c] == pytest.approx(want[c], abs=2e-6)
+        assert r["n"] == want["n"] and r["n_high"] / r["n"] * 100 == pytest.approx(want["pct_conf_gt_90"], abs=1e-6)
+        mine = df.where((F.col("model") == r["model"]) & (F.col("dataset") == r["dataset"]))
+        assert r["n_high_conf_fn"] == mine.where("label = 1 and predicted = 0 and confidence > 0.85").count()
+    ece = {(r["model"], r["dataset"]): r["ece"] for r in M.ece(df).collect()}
+    assert all(r["ece"] == pytest.approx(ece[r["model"], r["dataset"]], abs=1e-12) for r in ST.ece_of(merged).collect())

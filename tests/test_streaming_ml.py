@@ -114,3 +114,60 @@ def test_stream_router_new_process_with_new_files(spark):
     # rows without a temperature are kept and routed
     assert got.where("model = 'other'").count() == 13
     assert got.where("model = 'other' and T is null and route = 'rag'").count() == 13
+
+
+_RETRIEVE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from tessera.session import get_spark
+from tessera.streaming.retrieval import run_retrieval
+spark = get_spark("local[2]", app="retrieval", shuffle_partitions=2)
+temps = spark.createDataFrame([("m", "d", 2.0)], "model string, dataset string, T double")
+
+def fail(batch_id):
+    if sys.argv[6] == str(batch_id):
+        raise RuntimeError("lost before the commit")
+
+run_retrieval(spark, sys.argv[2], temps, sys.argv[3], sys.argv[4], sys.argv[5], k=2, after_batch=fail)
+spark.stop()
+"""
+
+
+def test_stream_retrieval_replays_a_lost_batch_once(spark):
+    """The first process is lost after it has written batch 1 and before the
+    commit; the second one plays that batch again and goes on.  Every routed
+    row has its k hits once, the same as the batch version finds."""
+    import subprocess
+    import sys
+
+    from tessera.operators import vectors as V
+    from tessera.streaming.retrieval import retrieved, routed_rows
+    top = tempfile.mkdtemp(prefix="tessera-retrieval-")
+    src, index, sink, ckpt = (os.path.join(top, x) for x in ("src", "index", "sink", "ckpt"))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    words = ["red", "green", "blue", "grey", "black"]
+    chunks = spark.createDataFrame([(i, f"{words[i % 5]} {words[i // 5]} thing") for i in range(25)], "chunk_id long, text string")
+    V.hashed_embeddings(chunks, "chunk_id", "text").write.parquet(index)
+    rows = [("m" if k % 2 else "other", "d", k, None if k == 7 else f"a {words[k % 5]} {words[k % 3]} text", k % 2, "c",
+             0.0, float(k - 10) / 2) for k in range(30)]
+    schema = "model string, dataset string, ex_id long, text string, label int, orig_class string, l0 double, l1 double"
+    for lo in (0, 10, 20):
+        spark.createDataFrame(rows[lo:lo + 10], schema).coalesce(1).write.mode("append").parquet(src)
+
+    def run(fail_at):
+        return subprocess.run([sys.executable, "-c", _RETRIEVE, root, src, index, sink, ckpt, fail_at],
+                              capture_output=True, text=True, timeout=300)
+
+    lost = run("1")
+    assert lost.returncode != 0 and "lost before the commit" in lost.stderr
+    assert spark.read.parquet(f"{sink}/routed").count() == 20      # batch 1 is written and not committed
+    done = run("none")
+    assert done.returncode == 0, done.stderr[-800:]
+    routed, hits = spark.read.parquet(f"{sink}/routed"), spark.read.parquet(f"{sink}/hits")
+    assert sorted(r[0] for r in routed.select("ex_id").collect()) == list(range(30))
+    n_rag = routed.where("route = 'rag'").count()
+    assert 0 < n_rag < 30 and hits.count() == 2 * n_rag
+    temps = spark.createDataFrame([("m", "d", 2.0)], "model string, dataset string, T double")
+    batch = retrieved(routed_rows(spark.read.parquet(src), temps).cache(), spark.read.parquet(index), k=2)
+    key = ["model", "dataset", "ex_id", "rank", "chunk_id", "score"]
+    assert sorted(map(tuple, hits.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))

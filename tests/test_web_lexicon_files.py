@@ -211,3 +211,26 @@ def test_not_found_title_and_empty_source(spark):
         assert "external" in str(e)
     else:
         raise AssertionError("a source without links must be an error")
+
+
+def test_line_numbers_of_files_over_several_splits(spark, tmp_path):
+    """Long files with all kinds of line ends, read in many small blocks."""
+    import random
+    r = random.Random(3)
+    want = {}
+    for name, end in (("a.txt", "\n"), ("b.txt", "\r\n"), ("empty.txt", "\n")):
+        lines = ["# head", ""] + [r.choice(["x", " y z ", "#no", "é" * r.randint(1, 40), "   "]) + (str(k) if k % 3 else "")
+                                  for k in range(3000 if name != "empty.txt" else 0)]
+        (tmp_path / name).write_bytes(end.join(lines).encode())
+        want[name] = [(k, x.strip()) for k, x in enumerate(lines, 1) if x.strip() and not x.strip().startswith("#")]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        rows = FS.comment_lines(spark, str(tmp_path))
+        assert FS.numbered_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+        got = {}
+        for x in rows.collect():
+            got.setdefault(x["file_name"], []).append((x["line_num"], x["line"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
