@@ -7,17 +7,19 @@ from the vocabulary: before every run of blanks, and on both sides of a
 character that stands in no longer piece (digits, line ends, other controls).
 The parts are the pre-tokens.
 
-1. ``vocabulary``: distinct pre-tokens of the corpus with their frequency; a
-   task adds up its blocks first.  Each goes through the model once.
-2. ``token_counts``: ``frequencies`` has one row per document and distinct
-   pre-token; the rows are joined with the counted pre-tokens and summed.
-   Frequent pre-tokens (at most ``HEAD_ROWS``) are a broadcast table, so that
-   their rows are summed where they arise and no hot pre-token is a join key.
-   The rare rest, if there is one, meets the remaining vocabulary in a shuffle
-   join, each row with its document's key.
-
-Documents are kept apart by id, length, hash of the text and the partition they
-were read in, so repeated ids and rows keep one result row each.
+1. ``frequent``: the most frequent pre-tokens (at most ``HEAD_ROWS``), each
+   through the model once.  Which ones these are decides only how rows travel:
+   a task proposes those that it meets ``PROPOSED`` times in a block.
+2. ``frequencies`` has one row per document and distinct pre-token.  Rows of
+   frequent pre-tokens are joined with their broadcast counts and summed where
+   they arise, so no hot pre-token is ever a key of a shuffle.
+3. The rare rest is dealt by pre-token: where its rows meet, each pre-token
+   goes through the model once and its count is multiplied into them (a join of
+   counts and frequencies in one shuffle; AQE may split a large partition).
+4. Both parts are summed per document.
+
+A document is known by its id and the hash of its text; equal rows share a sum,
+which is divided by their number, and get one result row each.
 
 Defined results: null and empty texts have no bytes and no tokens; null and
 repeated ids are counted like any other row; an empty table gives no rows;
@@ -34,8 +36,12 @@ from tessera.llm import text_arrays as ta
 from tessera.session import materialize
 
 LIMIT = 4096
-#: Rows of the broadcast vocabulary at most.
+#: Rows of the broadcast table of frequent pre-tokens at most.
 HEAD_ROWS = 200_000
+#: Occurrences in a block of texts that make a pre-token a proposal.
+PROPOSED = 2
+#: Counts of rare pre-tokens that a task keeps.
+CACHED = 500_000
 BLANK = "▁"
 
 
@@ -99,93 +105,101 @@ def _distinct(data, at, ends):
     return pa.array([raw[a:b].decode() for a, b in zip(at[sample].tolist(), ends[sample].tolist())], pa.string()), inverse
 
 
-def vocabulary(docs: DataFrame, model_path: str) -> DataFrame:
-    """``pretoken, total, pieces`` of every distinct pre-token."""
+def _pieces(model_path: str, most: int):
+    """A function from distinct pre-tokens to their token counts that keeps
+    up to ``most`` of the counts."""
+    known: dict[str, int] = {}
+
+    def of(words: list[str]) -> list[int]:
+        if len(known) > most:
+            known.clear()
+        new = [w for w in words if w not in known]
+        known.update(zip(new, _model(model_path).count(new)))
+        return [known[w] for w in words]
+
+    return of
+
+
+def frequent(docs: DataFrame, model_path: str, rows: int = HEAD_ROWS) -> DataFrame:
+    """``pretoken, pieces`` of at most ``rows`` frequent pre-tokens."""
     def parts(batches):
         for block in ta.blocks(batches, "text"):
             data, bounds = _blanked(block.column(0))
             if len(data):
                 at, ends, _ = _model(model_path).spans(data, bounds)
-                words, number = _distinct(data, at, ends)
-                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(number, minlength=len(words)))],
-                                                 names=["pretoken", "n"])
+                key = ta.span_hash(ta.prefix_hash(data), at, ends)
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                first, n = first[n >= PROPOSED], n[n >= PROPOSED]
+                raw = data.tobytes()
+                words = [raw[a:b].decode() for a, b in zip(at[first].tolist(), ends[first].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n)], names=["pretoken", "n"])
 
     def pieces(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(_model(model_path).count(b.column(0).to_pylist()), pa.int64())],
-                names=["pretoken", "total", "pieces"])
-
-    found = docs.select("text").mapInArrow(parts, "pretoken string, n long")
-    return found.groupBy("pretoken").agg(F.sum("n").alias("total")).mapInArrow(
-        pieces, "pretoken string, total long, pieces long")
+            count = _model(model_path).count(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64())], names=["pretoken", "pieces"])
 
-
-KEY = ("doc_id", "n_bytes", "digest", "part")
+    found = materialize(docs.select("text").mapInArrow(parts, "pretoken string, n long")
+                        .groupBy("pretoken").agg(F.sum("n").alias("n")))
+    # the smallest power of two that not more than ``rows`` of them reach
+    sizes = dict(found.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect())
+    total, least = 0, 1 << (max(sizes, default=0) + 1)
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > rows:
+            break
+        least = 1 << k
+    return materialize(found.where(F.col("n") >= least).select("pretoken").mapInArrow(
+        pieces, "pretoken string, pieces long"))
 
 
 def frequencies(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row per document (``copies`` 1, no pre-token) and one per document
-    and distinct pre-token with its frequency ``n`` there."""
+    """``doc_id, digest, pretoken, n``: how often each pre-token of a document
+    stands in it."""
     def run(batches):
         for block in ta.blocks(batches, "text"):
-            table = pa.Table.from_batches([block.select(list(KEY))])
-            size = block.num_rows
-            yield from table.append_column("copies", pa.array(np.ones(size, np.int64))) \
-                .append_column("pretoken", pa.nulls(size, pa.string())) \
-                .append_column("n", pa.array(np.zeros(size, np.int64))).to_batches()
-            data, bounds = _blanked(block.column(4))
+            data, bounds = _blanked(block.column(2))
             if not len(data):
                 continue
             at, ends, row = _model(model_path).spans(data, bounds)
             words, number = _distinct(data, at, ends)
             pair, n = np.unique(row * len(words) + number, return_counts=True)
-            yield from table.take(pa.array(pair // len(words))) \
-                .append_column("copies", pa.array(np.zeros(len(pair), np.int64))) \
-                .append_column("pretoken", words.take(pa.array(pair % len(words)))) \
-                .append_column("n", pa.array(n)).combine_chunks().to_batches()
+            of = pa.array(pair // len(words))
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0).take(of), block.column(1).take(of), words.take(pa.array(pair % len(words))), pa.array(n)],
+                names=["doc_id", "digest", "pretoken", "n"])
 
-    return docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.xxhash64("text").alias("digest"), F.spark_partition_id().alias("part"), "text").mapInArrow(
-        run, "doc_id long, n_bytes long, digest long, part int, copies long, pretoken string, n long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "text").mapInArrow(
+        run, "doc_id long, digest long, pretoken string, n long")
 
 
-def _head_least(vocab: DataFrame, rows: int) -> int:
-    """The smallest power of two such that at most ``rows`` pre-tokens occur
-    that often (1: the whole vocabulary fits)."""
-    sizes = dict(vocab.groupBy(F.floor(F.log2("total")).cast("int").alias("k")).count().collect())
-    total, least = 0, 1 << (max(sizes, default=0) + 1)
-    for k in sorted(sizes, reverse=True):
-        total += sizes[k]
-        if total > rows:
-            return least
-        least = 1 << k
-    return 1
+def _counted(rows: DataFrame, model_path: str) -> DataFrame:
+    """Rows of rare pre-tokens, dealt by pre-token, with their tokens."""
+    def run(batches):
+        of = _pieces(model_path, CACHED)
+        for b in batches:
+            words = b.column(2).dictionary_encode()
+            count = np.array(of(words.dictionary.to_pylist()), dtype=np.int64)
+            tokens = count[words.indices.to_numpy()] * b.column(3).to_numpy() if len(count) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens)],
+                                             names=["doc_id", "digest", "tokens"])
+
+    return rows.hint("rebalance", "pretoken").mapInArrow(run, "doc_id long, digest long, tokens long")
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT, head_rows: int = HEAD_ROWS) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row of ``docs``."""
-    vocab = materialize(vocabulary(docs, model_path))
-    least = _head_least(vocab, head_rows)
-    head = F.broadcast(vocab.where(F.col("total") >= least).select("pretoken", "pieces"))
-    joined = frequencies(docs, model_path).join(head, "pretoken", "left")
-    tokens = F.sum(F.col("n") * F.coalesce("pieces", F.lit(0))).alias("tokens")
-    if least == 1:
-        sums = joined.groupBy(*KEY).agg(F.sum("copies").alias("copies"), tokens)
-    else:
-        # Known pre-tokens are summed up per document; one row for each rare
-        # one stays beside it.
-        rare = F.when(F.col("pieces").isNull(), F.col("pretoken"))
-        parts = materialize(joined.withColumn("rare", rare).groupBy(*KEY, "rare").agg(
-            F.sum("copies").alias("copies"), F.sum("n").alias("n"), tokens))
-        tail = parts.where("rare IS NOT NULL").join(
-            vocab.where(F.col("total") < least).select(F.col("pretoken").alias("rare"), "pieces"), "rare")
-        sums = (parts.where("rare IS NULL").select(*KEY, "copies", "tokens")
-                .unionByName(tail.select(*KEY, F.lit(0).cast("long").alias("copies"),
-                                         (F.col("n") * F.col("pieces")).alias("tokens")))
-                .groupBy(*KEY).agg(F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens")))
-    # Equal rows of one partition share a sum; each gets its own row again.
+    zero = F.lit(0).cast("long")
+    head = F.broadcast(frequent(docs, model_path, head_rows))
+    rows = frequencies(docs, model_path)
+    often = rows.join(head, "pretoken").select("doc_id", "digest", (F.col("n") * F.col("pieces")).alias("tokens"))
+    rare = _counted(rows.join(head, "pretoken", "left_anti").select("doc_id", "digest", "pretoken", "n"), model_path)
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), zero.alias("tokens"),
+                      F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                      F.lit(1).cast("long").alias("copies"))
+    sums = own.unionByName(often.unionByName(rare).select("*", zero.alias("n_bytes"), zero.alias("copies"))) \
+        .groupBy("doc_id", "digest").agg(F.sum("tokens").alias("tokens"), F.max("n_bytes").alias("n_bytes"),
+                                         F.sum("copies").alias("copies"))
     return (sums.select("doc_id", "n_bytes", F.expr("tokens div copies").alias("n_tokens"),
                         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

@@ -89,10 +89,12 @@ def test_token_counts_of_a_table(spark):
     assert got == counted([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
-def test_vocabulary_counts_each_pretoken_once(spark):
-    docs = spark.createDataFrame([(1, "a b\nb b")], "doc_id long, text string")
-    got = {r.pretoken: (r.total, r.pieces) for r in token_counts.vocabulary(docs, MODEL).collect()}
-    assert got == {" a": (1, 1), " b": (2, 1), "\n": (1, 1), "b": (1, 1)}
+def test_pretokens_and_their_frequencies(spark):
+    docs = spark.createDataFrame([(1, "a b\nb b"), (2, "b")], "doc_id long, text string").coalesce(1)
+    got = {r.pretoken: r.pieces for r in token_counts.frequent(docs, MODEL).collect()}
+    assert got == {" b": 1}
+    rows = {(r.doc_id, r.pretoken): r.n for r in token_counts.frequencies(docs, MODEL).collect()}
+    assert rows == {(1, " a"): 1, (1, " b"): 2, (1, "\n"): 1, (1, "b"): 1, (2, " b"): 1}
 
 
 def phrase_table(spark, docs, parts=3):
