@@ -6,22 +6,23 @@ The documents are dealt into ``SHARDS`` shards by id.  A phrase that occurs
 completely at its lowered support, the locally frequent phrases are united, and
 one more pass counts all of them exactly.
 
-1. ``word_counts``: every word per language and shard; from it come ``n``, the
-   counts of single words and the shards' supports.
-2. Mining, level by level: in each shard only word pairs of two locally
+1. ``word_counts``: every word per shard of a language.  From it come ``n`` and
+   the shards' supports.
+2. ``mined``, level by level: in each shard only word pairs of two locally
    frequent words are counted, and only triples of two locally frequent pairs.
    A shard is no task: its rows are counted by key on all executors, after each
-   task has added up its own.  What is frequent passes on as a ``Filter``, a bit
-   table of bounded size; a bit hit by chance lets some phrases more be counted
-   and changes no result.
-3. ``phrase_counts``: texts are read once more, and phrases that pass the
-   united filter are counted by their words.  All occurrences of a phrase pass
-   or none, so counts are exact; those under ``least`` go.
+   task has added up its own.  What is frequent goes into a ``Filter``, a Bloom
+   filter of bounded size; a chance hit lets some phrases more be counted and
+   changes no result.  ``least`` is an absolute number, so every further shard
+   lowers the local supports; two leave the most to be pruned.
+3. ``phrase_counts``: texts are read once more, and the words and phrases that
+   any shard has found frequent are counted by their text.  All occurrences of a
+   phrase pass or none, so counts are exact; those under ``least`` go.
 4. Scores: the parts of each cut are looked up among the exact counts, with
    salted keys, since a frequent word is part of very many phrases.
 
 A shard's phrases are told apart by 64-bit hashes, which can only add
-candidates.  Within one block of a task (a few megabytes of text) the same
+candidates.  Within one block of a task (some megabytes of text) the same
 hashes group the occurrences that are then counted by their words.
 
 Defined results: a null text has no words; a null language is ``und``, together
@@ -42,10 +43,9 @@ from tessera.session import materialize, small_side
 
 LEAST = 10
 TOP = 2000
-SHARDS = 4
+SHARDS = 2
 #: Words of the longest phrase.
 LONGEST = 3
-BLOCK_BYTES = 4 << 20
 #: Bits of a filter: 16 a key, within these bounds (8 KB to 64 MB).
 BITS_LOW, BITS_HIGH = 16, 29
 _CHUNK = 16
@@ -65,21 +65,21 @@ def words(data: np.ndarray, bounds: np.ndarray):
 
 
 class Filter:
-    """Bit table of keys, on the executors as a broadcast variable."""
+    """Bloom filter (two bits a key) of a column ``key`` of 64-bit hashes, on
+    the executors as a broadcast variable."""
 
     def __init__(self, keys: DataFrame):
         keys = materialize(keys)
-        count = keys.count()
-        self.log = min(max(int(max(count, 1) * 16 - 1).bit_length(), BITS_LOW), BITS_HIGH)
-        slot = F.shiftrightunsigned("key", 64 - self.log)
+        self.log = min(max(int(max(keys.count(), 1) * 16 - 1).bit_length(), BITS_LOW), BITS_HIGH)
         width = 1 << _CHUNK
+        slots = F.array(F.shiftrightunsigned("key", 64 - self.log), F.col("key").bitwiseAND((1 << self.log) - 1))
 
         def pack(chunk, part):
             bits = np.zeros(width, dtype=np.uint8)
             bits[part["slot"].to_numpy() % width] = 1
             return pd.DataFrame({"chunk": [chunk[0]], "bits": [np.packbits(bits).tobytes()]})
 
-        rows = keys.select(slot.alias("slot")).distinct().groupBy(
+        rows = keys.select(F.explode(slots).alias("slot")).distinct().groupBy(
             F.shiftright("slot", _CHUNK).alias("chunk")).applyInPandas(pack, "chunk long, bits binary")
         table = np.zeros((1 << self.log) // 8, dtype=np.uint8)
         for r in rows.toLocalIterator():
@@ -87,17 +87,20 @@ class Filter:
         self.table = keys.sparkSession.sparkContext.broadcast(table)
 
     def hits(self, key: np.ndarray) -> np.ndarray:
-        slot = (key >> ta.U64(64 - self.log)).astype(np.int64)
-        return (self.table.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+        def bit(slot):
+            slot = slot.astype(np.int64)
+            return (self.table.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+        return bit(key >> ta.U64(64 - self.log)) & bit(key & ta.U64((1 << self.log) - 1)) == 1
 
 
-def _cells(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``lang, shard, cell, tongue, text``: keys of a shard of a language and
-    of the language."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+def _lang():
+    return F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+
+
+def _cells(docs: DataFrame, shards: int) -> DataFrame:
+    """``cell, text``, ``cell`` being the key of the document's shard of its language."""
     shard = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(shards)).cast("int")
-    return docs.select(lang.alias("lang"), shard.alias("shard"), F.xxhash64(lang, shard).alias("cell"),
-                       F.xxhash64(lang).alias("tongue"), F.col("text"))
+    return docs.select(F.xxhash64(_lang(), shard).alias("cell"), _lang().alias("lang"), "text")
 
 
 def _keys(column) -> np.ndarray:
@@ -128,86 +131,80 @@ class _Block:
             key, at = key[keep], at[keep]
         return key, at
 
-    def distinct(self, key, at, cells):
-        """First occurrence and count of every key in every cell."""
-        _, first, n = np.unique(key ^ cells[self.row[at]], return_index=True, return_counts=True)
-        return first, n
-
 
 def word_counts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``lang, shard, cell, tongue, word, key, n``: occurrences per shard."""
+    """``cell, key, n``: occurrences of every word per shard of a language."""
     def run(batches):
-        for block in ta.blocks(batches, "text", BLOCK_BYTES):
+        for block in ta.blocks(batches, "text"):
             b = _Block(block)
+            cell = _keys(block.column(0))
             key, at = b.grams(1)
-            first, n = b.distinct(key, at, _keys(block.column(2)))
-            if len(first):
-                raw, row = b.data.tobytes(), pa.array(b.row[first])
-                text = [raw[s:e].decode() for s, e in zip(b.starts[first].tolist(), b.ends[first].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [*[block.column(i).take(row) for i in range(4)], pa.array(text), pa.array(key[first].view(np.int64)),
-                     pa.array(n)], names=["lang", "shard", "cell", "tongue", "word", "key", "n"])
+            key = key ^ cell[b.row[at]]
+            key, first, n = np.unique(key, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell[b.row[first]].view(np.int64)), pa.array(key.view(np.int64)), pa.array(n)],
+                names=["cell", "key", "n"])
 
-    schema = "lang string, shard int, cell long, tongue long, word string, key long, n long"
-    found = _cells(docs, shards).mapInArrow(run, schema)
-    return found.groupBy("lang", "shard", "cell", "tongue", "word", "key").agg(F.sum("n").alias("n"))
+    return (_cells(docs, shards).select("cell", "text").mapInArrow(run, "cell long, key long, n long")
+            .groupBy("cell", "key").agg(F.sum("n").alias("n")))
 
 
-def _local(docs: DataFrame, size: int, passing: Filter, shards: int) -> DataFrame:
-    """``cell, key, n``: phrases of ``size`` words per shard, parts frequent."""
+def _local(docs: DataFrame, size: int, passing: Filter, needs: DataFrame, shards: int) -> DataFrame:
+    """``key``: the phrases of ``size`` words, all parts of them frequent, that
+    reach their shard's support ``need``."""
     def run(batches):
-        for block in ta.blocks(batches, "text", BLOCK_BYTES):
-            cell = _keys(block.column(0))
+        for block in ta.blocks(batches, "text"):
+            cell, need = _keys(block.column(0)), block.column(1).to_numpy()
             b = _Block(block)
             key, at = b.grams(size, cell, passing)
-            first, n = b.distinct(key, at, cell)
+            key, first, n = np.unique(key ^ cell[b.row[at]], return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[b.row[at[first]]].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(n)],
-                names=["cell", "key", "n"])
+                [pa.array(key.view(np.int64)), pa.array(n), pa.array(need[b.row[at[first]]])], names=["key", "n", "need"])
 
-    return (_cells(docs, shards).select("cell", "text").mapInArrow(run, "cell long, key long, n long")
-            .groupBy("cell", "key").agg(F.sum("n").alias("n")))
+    rows = _cells(docs, shards).join(needs, "cell").select("cell", "need", "text")
+    return (rows.mapInArrow(run, "key long, n long, need long")
+            .groupBy("key").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("key"))
 
 
-def phrase_counts(docs: DataFrame, passing: dict[int, Filter]) -> DataFrame:
-    """``lang, phrase, size, n``: exact counts of the phrases that may be
-    frequent.  ``passing[k]`` holds the phrases of ``k`` words by shard."""
+def mined(docs: DataFrame, found: DataFrame, cells: DataFrame, least: int = LEAST, shards: int = SHARDS) -> dict[int, Filter]:
+    """Words and phrases of 2 to ``LONGEST`` words that some shard finds frequent
+    at its lowered support.  ``found``: ``word_counts``; ``cells``: their sums."""
+    total = cells.groupBy("lang").agg(F.sum("w").alias("total"))
+    need = F.expr(f"({least} * w + total - 1) div total")
+    needs = small_side(cells.join(total, "lang").select("cell", need.alias("need")).groupBy("cell").agg(F.min("need").alias("need")))
+    out = {1: Filter(found.join(needs, "cell").where("n >= need").select("key"))}
+    for size in range(2, LONGEST + 1):
+        out[size] = Filter(_local(docs, size, out[size - 1], needs, shards))
+    return out
+
+
+def phrase_counts(docs: DataFrame, passing: dict[int, Filter], shards: int = SHARDS) -> DataFrame:
+    """``lang, phrase, size, n``: exact counts of the words and phrases that one
+    of the shards has found frequent."""
     def run(batches):
-        for block in ta.blocks(batches, "text", BLOCK_BYTES):
+        for block in ta.blocks(batches, "text"):
             b = _Block(block)
             lang = block.column(1)
-            tongue = _keys(block.column(2))
+            cells = [_keys(block.column(2 + k)) for k in range(shards)]
             raw = b.data.tobytes()
             for size, united in passing.items():
                 key, at = b.grams(size)
-                hit = united.hits(key ^ tongue[b.row[at]])
-                first, n = b.distinct(key[hit], at[hit], tongue)
-                at = at[hit][first]
+                hit = np.zeros(len(key), dtype=bool)
+                for cell in cells:
+                    hit |= united.hits(key ^ cell[b.row[at]])
+                key, at = key[hit], at[hit]
+                _, first, n = np.unique(key ^ cells[0][b.row[at]], return_index=True, return_counts=True)
+                at = at[first]
                 text = [" ".join([raw[b.starts[i + j]:b.ends[i + j]].decode() for j in range(size)]) for i in at.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [lang.take(pa.array(b.row[at])), pa.array(text, pa.string()), pa.array(np.full(len(at), size, np.int32)),
                      pa.array(n)], names=["lang", "phrase", "size", "n"])
 
-    return (_cells(docs).select("text", "lang", "tongue").mapInArrow(run, "lang string, phrase string, size int, n long")
+    every = [F.xxhash64(_lang(), F.lit(k)).alias(f"cell{k}") for k in range(shards)]
+    return (docs.select("text", _lang().alias("lang"), *every).mapInArrow(run, "lang string, phrase string, size int, n long")
             .groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")))
 
 
-def mined(docs: DataFrame, words_: DataFrame, least: int = LEAST, shards: int = SHARDS) -> dict[int, Filter]:
-    """Phrases of 2 to ``LONGEST`` words that some shard finds frequent at its
-    lowered support, united per language."""
-    cells = words_.groupBy("lang", "shard", "cell", "tongue").agg(F.sum("n").alias("w"))
-    total = cells.groupBy("lang").agg(F.sum("w").alias("total"))
-    need = F.expr(f"({least} * w + total - 1) div total")
-    cells = small_side(cells.join(total, "lang").select("cell", "tongue", need.alias("need")))
-    frequent = words_.select("cell", "key", "n").join(cells, "cell").where("n >= need")
-    out = {}
-    for size in range(2, LONGEST + 1):
-        found = _local(docs, size, Filter(frequent.select(F.col("key").bitwiseXOR(F.col("cell")).alias("key"))), shards)
-        frequent = materialize(found.join(cells, "cell").where("n >= need").select("cell", "tongue", "key"))
-        out[size] = Filter(frequent.select(F.col("key").bitwiseXOR(F.col("tongue")).alias("key")).distinct())
-    return out
-
-
 def _scored(cands: DataFrame, single: DataFrame) -> DataFrame:
     """``l``, ``r`` and ``score`` of the lowest-scoring cut of each candidate."""
     word = F.split("phrase", " ", -1)
@@ -234,8 +231,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shards: in
     """``lang, rank, phrase, a, l, r, n, score`` of each language's first
     ``top`` phrases by score, count and phrase."""
     found = materialize(word_counts(docs, shards))
-    cands = materialize(phrase_counts(docs, mined(docs, found, least, shards)).where(F.col("n") >= least))
-    single = found.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    langs = _cells(docs, shards).select("cell", "lang").distinct()
+    cells = materialize(langs.join(found.groupBy("cell").agg(F.sum("n").alias("w")), "cell"))
+    counts = materialize(phrase_counts(docs, mined(docs, found, cells, least, shards), shards).where(F.col("n") >= least))
+    cands = counts.where("size > 1")
+    single = counts.where("size = 1").select("lang", F.col("phrase").alias("word"), "n")
     # A phrase goes if one word more nearly always comes with it.
     longer = cands.where("size > 2").select(
         "lang", F.col("n").alias("longer"), F.split("phrase", " ", -1).alias("w"), "size")
@@ -252,7 +252,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shards: in
         .where(F.col("rank") <= top)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")) \
         .where(F.col("rank") <= top)
-    total = found.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = cells.groupBy("lang").agg(F.sum("w").alias("n"))
     return ranked.join(small_side(total), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
