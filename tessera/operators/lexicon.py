@@ -194,7 +194,7 @@ def profile_records(pages: DataFrame, md: str = "md", title: str = "title", slug
                        title_case(F.translate(F.col(slug), "-", " ")))
     df = pages.select("*", m.alias("_m"), F.size(lines).alias("_nlines"),
                       _profile_name(name0, F.col(slug)).alias("name"))
-    cut = F.regexp_replace(F.col("_m"), F.concat(F.lit("(?is)^.*?\\Q"), F.col("name"), F.lit("\\E\\s*")), F.lit(" "))
+    cut = F.regexp_replace(F.col("_m"), F.concat(F.lit("(?isu)^.*?\\Q"), F.col("name"), F.lit("\\E\\s*")), F.lit(" "))
     body = W.apply_rules(cut, PROFILE_BODY)
     body = collapse_ws(W.apply_rules(W.clean_body(body), PROFILE_EXTRA))
     df = df.withColumn("body", body)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir, small_side
+from tessera.session import ensure_checkpoint_dir, materialize, small_side
 
 
 def _order(c) -> Column:
@@ -65,6 +65,14 @@ def contiguous_ids(df: DataFrame, order: Sequence, id_col: str = "id",
     return ranked.withColumn(id_col, F.col("_cum_one") - 1).drop("_one", "_g", "_cum_one")
 
 
+def ids_beside(df: DataFrame, order: Sequence[str], id_col: str = "id") -> DataFrame:
+    """GEN1 for rows with a payload: ids are counted over the order columns
+    alone, of the written rows, and joined back; the payload is not ranged."""
+    df = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    ids = contiguous_ids(df.select(*order, "_row"), [*order, "_row"], id_col).select("_row", id_col)
+    return df.join(small_side(ids), "_row").drop("_row")
+
+
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
                     qs: Sequence[float], names: Sequence[str] | None = None,
                     num_partitions: int | None = None) -> DataFrame:

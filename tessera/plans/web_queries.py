@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import web as W
 from tessera.functions.text import TOKEN, sql_collapse_ws, sql_strip
+from tessera.operators import lexicon as LX
 from tessera.operators import webdocs as WD
 from tessera.plans.corpus_queries import CHUNKS_CTE, _labelled
 from tessera.sources.tables import read_table
@@ -171,6 +172,116 @@ def q_cap(spark, sf_dir):
     return WD.window_cap_check(WD.glossary_chunks(_pages(spark, sf_dir)))
 
 
+# --- DOM33 to the end: several address columns, profile pages, error pages, the lexicon
+def _mixed_pages(spark, sf_dir):
+    """Every fifth page stands at a profile address (in the first address
+    column), every eleventh has an error title, the others have an empty or
+    NULL first address."""
+    p = _pages(spark, sf_dir)
+    k = F.col("page_id")
+    return p.select(
+        "page_id", F.when(k % 5 == 0, F.concat(F.lit("https://www.splcenter.org/files/entry-"), k.cast("string")))
+        .when(k % 5 == 1, "").alias("sourceURL"), F.lit("").alias("source_url"), "url",
+        F.when(k % 11 == 0, F.replace("html", F.lit("<title>"), F.lit("<title>404 "))).otherwise(F.col("html")).alias("html"))
+
+
+def _listings(spark, sf_dir):
+    """One listing page per brand, a table row per part; terms recur on other pages."""
+    cell = F.concat_ws(" | ", F.concat(F.lit("| **"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("**")),
+                       F.when(F.col("p_partkey") % 3 == 0, "English").otherwise(F.col("p_type")),
+                       F.col("p_size").cast("string"), F.concat(F.lit("["), F.col("p_brand"), F.lit("](x) |")))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", cell.alias("c")))), lambda x: x["c"]), "\n")
+    head = "Showing 1 - 9 of 99 results\n| Term | Language | Sightings | Offensiveness |\n|---|---|---|---|\n"
+    return read_table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.lit(head), rows).alias("markdown")).select(
+        F.col("p_brand").alias("filter_group"), F.lit("f").alias("filter_name"), F.lit("group").alias("target_category"),
+        F.concat(F.lit("https://x.org/"), F.col("p_brand")).alias("url"), "markdown",
+        F.col("p_brand").alias("filter_order"))
+
+
+def _title(x):
+    return (f"array_to_string(list_transform(string_split({x}, ''), lambda ch, i: CASE WHEN i = 1 OR NOT "
+            f"regexp_matches(string_split({x}, '')[i - 1], '^\\p{{L}}$') THEN upper(ch) ELSE lower(ch) END), '')")
+
+
+def _profile_name_sql(x):
+    cleaned = sql_collapse_ws(sql_strip(W.sql_apply_rules(sql_strip(x), LX.PROFILE_NAME_CLEAN)))
+    bad = ", ".join(_q(b) for b in LX.PROFILE_BAD_NAMES)
+    return f"CASE WHEN lower({cleaned}) IN ({bad}) THEN {_title(_SLUG)} ELSE {cleaned} END"
+
+
+_SLUG = "replace(slug, '-', ' ')"
+_LINE_OK = " AND ".join([f"NOT starts_with(lower(x), {_q(b)})" for b in LX.PROFILE_BAD_LINE_STARTS]
+                        + ["NOT contains(lower(x), 'splc-extremist-files')", "length(x) >= 2"])
+_BAD_TITLE = ", ".join(_q(b) for b in LX.PROFILE_BAD_TITLE_NAMES)
+_MIXED_PAGES = """SELECT page_id, coalesce(nullif(CASE WHEN page_id % 5 = 0 THEN 'https://www.splcenter.org/files/entry-' || page_id
+       WHEN page_id % 5 = 1 THEN '' END, ''), url) AS url,
+       CASE WHEN page_id % 11 = 0 THEN replace(html, '<title>', '<title>404 ') ELSE html END AS html FROM pages"""
+_PROFILE_BODY_SQL = sql_collapse_ws(W.sql_apply_rules(W.sql_clean_body(W.sql_apply_rules(
+    "regexp_replace(m, '(?is)^.*?\\Q' || pname || '\\E\\s*', ' ')", LX.PROFILE_BODY)), LX.PROFILE_EXTRA))
+MIXED_RECORDS = (RECORDS_CTE.replace("FROM pages)", f"FROM ({_MIXED_PAGES}))").replace("records AS (", "generic AS (") + f""",
+q0 AS (SELECT *, {W.sql_apply_rules('md', LX.PROFILE_NAV)} AS m FROM p2 WHERE contains(lower(website), 'splcenter.org')),
+q1 AS (SELECT *, list_filter(list_transform(string_split(m, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS lines,
+              {_profile_name_sql("coalesce(title, '')")} AS cand FROM q0),
+q2 AS (SELECT *, CASE WHEN title <> '' AND cand <> '' AND lower(cand) NOT IN ({_BAD_TITLE}) THEN cand END AS title_name,
+              list_filter(list_transform(lines[1:30], lambda x: {sql_strip("regexp_replace(x, '^#{1,6}" + chr(92) + "s*', '')")}),
+                          lambda x: {_LINE_OK})[1] AS line_name FROM q1),
+q3 AS (SELECT *, coalesce(title_name, CASE WHEN line_name IS NOT NULL THEN {_profile_name_sql('line_name')} END, {_title(_SLUG)}) AS n0 FROM q2),
+q4 AS (SELECT *, {_profile_name_sql('n0')} AS pname FROM q3),
+q5 AS (SELECT *, {_PROFILE_BODY_SQL} AS pbody FROM q4),
+records AS (
+  SELECT g.page_id, g.url, g.website, g.slug, coalesce(q.pname, g.name) AS name, coalesce(q.pbody, g.body) AS body, g.source, g.label,
+         g.status, CASE WHEN q.page_id IS NULL OR g.skip_reason IN ('markdown_too_short', 'page_not_found') THEN g.skip_reason
+                        WHEN len(q.lines) = 0 THEN 'splc_no_lines' WHEN length(q.pbody) < 50 THEN 'splc_body_too_short'
+                        ELSE 'parsed_successfully' END AS skip_reason, g.markdown_length
+  FROM generic g LEFT JOIN q5 q ON q.page_id = g.page_id)""")
+MIXED_WINDOWS = MIXED_RECORDS + WINDOWS_CTE[len(RECORDS_CTE):]
+
+_LEXICON_CTE = """
+lx0 AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 2 AS row_pos, split_part(p_name, ' ', 1) AS term,
+               CASE WHEN p_partkey % 3 = 0 THEN 'English' ELSE p_type END AS language, CAST(p_size AS VARCHAR) AS sightings,
+               p_brand AS offensiveness FROM part),
+lx1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term, language ORDER BY p_brand, row_pos) AS rn FROM lx0) WHERE rn = 1),
+lx AS (SELECT *, '[hate] ' || term || ': Hatebase entry for ' || term || '. Target category: group. Filter group: ' || p_brand
+              || '. Language: ' || language || '. Offensiveness: ' || offensiveness || '. Sightings: ' || sightings || '.' AS text FROM lx1)"""
+
+
+@register("scl11_mixed_records", MIXED_RECORDS + """
+SELECT page_id, url, website, slug, name, body, source, label, status, skip_reason, markdown_length FROM records""")
+def q_mixed_records(spark, sf_dir):
+    return WD.page_records(_mixed_pages(spark, sf_dir))
+
+
+@register("dom33_full_glossary", MIXED_WINDOWS + "," + _LEXICON_CTE + """
+SELECT chunk_id, text, source, label, url, name AS symbol_name, slug, website, original_token_length, token_length, '' AS language,
+       '' AS offensiveness, '' AS sightings, '' AS filter_group, '' AS filter_name, '' AS target_category, '' AS showing_range,
+       '' AS coverage_note FROM chunks_g
+UNION ALL
+SELECT row_number() OVER (ORDER BY p_brand, row_pos) - 1 + (SELECT coalesce(max(chunk_id) + 1, 0) FROM chunks_g), text, 'hatebase', 'hate',
+       'https://x.org/' || p_brand, term, '', '', n, n, language, offensiveness, sightings, p_brand, 'f', 'group',
+       'Showing 1 - 9 of 99 results', 'selected_english_filters'
+FROM (SELECT *, CAST(len(string_split(text, ' ')) AS INTEGER) AS n FROM lx)""")
+def q_full_glossary(spark, sf_dir):
+    return WD.full_glossary(_mixed_pages(spark, sf_dir), _listings(spark, sf_dir))
+
+
+@register("dom2_window_offenders", WINDOWS_CTE + """
+SELECT chunk_id, source, url, name AS symbol_name, token_length, token_length - 40 AS over_by FROM chunks_g WHERE token_length > 40""")
+def q_offenders(spark, sf_dir):
+    return WD.window_offenders(WD.glossary_chunks(_pages(spark, sf_dir)), 40)
+
+
+# pages of one source have lost their links
+@register("dom35_links_of_sources", MIXED_RECORDS.replace("records AS (", "unused AS (").split(",\nq0 AS")[0].replace("generic AS", "unused AS") + f""",
+src AS (SELECT page_id, CASE {_SRC} ELSE 'external' END AS source FROM p2),
+lc AS (SELECT page_id, count(*) AS n FROM ({LINKS_CTE} SELECT page_id FROM links) GROUP BY page_id)
+SELECT source, count(*) AS pages, CAST(coalesce(sum(CASE WHEN source = 'splc' THEN NULL ELSE n END), 0) AS BIGINT) AS links,
+       CASE WHEN coalesce(sum(CASE WHEN source = 'splc' THEN NULL ELSE n END), 0) = 0 THEN 'failed: no URLs found' ELSE 'ok' END AS status
+FROM src LEFT JOIN lc USING (page_id) GROUP BY source""")
+def q_links_of_sources(spark, sf_dir):
+    mixed = _mixed_pages(spark, sf_dir)
+    return WD.links_of_sources(mixed.select(
+        "page_id", WD.page_url_of(mixed).alias("url"),
+        F.when(WD.page_url_of(mixed).contains("splcenter.org"), "").otherwise(F.col("html")).alias("html")))
 
 
 @register("dom9_full_corpus", CHUNKS_CTE + ",\n" + WINDOWS_CTE[len("WITH "):] + f"""

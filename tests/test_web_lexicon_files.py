@@ -194,7 +194,7 @@ def test_resolve_href_like_urljoin(spark):
     assert got == {i: urljoin("https://x.org", h).rstrip("/") for i, h in enumerate(hrefs)}
 
 
-def test_not_found_title_and_empty_source(spark):
+def test_not_found_title_and_empty_source(spark, tmp_path):
     from tessera.operators import webdocs as WD
     body = "<body><h1>Name</h1><p>" + "long enough text " * 10 + "</p><a href='x'>n</a></body>"
     pages = spark.createDataFrame(
@@ -206,11 +206,56 @@ def test_not_found_title_and_empty_source(spark):
     log = {r["page_id"]: r["status"] for r in WD.link_harvest_log(pages).collect()}
     assert log == {1: "ok", 2: "ok", 3: "ok", 4: "failed: no content"}
     try:
-        WD.require_links(pages)
+        WD.write_harvest(pages, str(tmp_path / 'harvest'), ['adl', 'external'])
     except ValueError as e:
         assert "external" in str(e)
     else:
         raise AssertionError("a source without links must be an error")
+    linked = pages.where("page_id = 2").withColumn("html", F.lit("<body><a href='x'>n</a><a href=\"/p/q\">q</a></body>"))
+    assert WD.write_harvest(linked, str(tmp_path / "more"), ["external"]) == {"external": 1}
+    assert spark.read.parquet(str(tmp_path / "more")).first()["link"] == "https://x.org/p/q"
+
+
+def test_window_cap_counted_while_writing(spark, tmp_path):
+    chunks = spark.createDataFrame([(0, "s", "u", "n", 50), (1, "s", "u", "n", 51), (2, "t", "v", "m", 7)],
+                                   "chunk_id long, source string, url string, symbol_name string, token_length int")
+    out = str(tmp_path / "chunks")
+    assert WD.write_checked(chunks, out, 51) == {"n_chunks": 3, "max_token_length": 51, "n_over_cap": 0}
+    try:
+        WD.write_checked(chunks, out, 50)
+    except ValueError as e:
+        assert "1 chunks exceed 50" in str(e)
+    else:
+        raise AssertionError("a chunk over the cap must be an error")
+    assert spark.read.parquet(out).count() == 3          # written all the same
+    assert [tuple(r) for r in WD.window_offenders(chunks, 50).collect()] == [(1, "s", "u", "n", 51, 1)]
+
+
+def test_url_fallback_order_and_profile_choice(spark):
+    body = "<body><h1>Some Name</h1><p>" + "long enough text " * 10 + "</p></body>"
+    pages = spark.createDataFrame(
+        [(1, "https://www.splcenter.org/f/jane-doe", None, "https://x.org/a", "<title>Jane Doe | Southern Poverty Law Center</title>"
+          "<body>Toggle Search<p>Jane Doe</p><p>Intro</p><p>Born: 1</p><p>" + "she wrote a lot of text " * 5 + "</p></body>"),
+         (2, "", "https://adl.org/s/two/", "https://x.org/b", "<title>T</title>" + body),
+         (3, None, "", "https://x.org/c?q=1", "<title>T</title>" + body),
+         (4, "https://www.splcenter.org/f/x", "", "", "<title>T</title><body><p>Share</p>" + "x" * 60 + " Get the latest updates from "
+          "Southern Poverty Law Center</body>"), (5, None, "", None, body)],
+        "page_id long, sourceURL string, source_url string, url string, html string")
+    got = {r["page_id"]: r for r in WD.page_records(pages).collect()}
+    assert [got[k]["url"] for k in range(1, 6)] == ["https://www.splcenter.org/f/jane-doe", "https://adl.org/s/two",
+                                                  "https://x.org/c", "https://www.splcenter.org/f/x", None]
+    assert got[1]["name"] == "Jane Doe" and got[1]["body"].startswith("Intro she wrote") and got[1]["source"] == "splc"
+    assert got[2]["name"] == "Some Name" and got[2]["source"] == "adl" and got[3]["source"] == "external"
+    assert got[1]["skip_reason"] == "parsed_successfully"
+
+
+def test_ids_beside_the_payload(spark):
+    from tessera.operators.prefix import ids_beside
+    df = spark.createDataFrame([(k % 7, f"text {k}") for k in range(50)], "k int, text string").repartition(5)
+    rows = ids_beside(df, ["k"]).collect()
+    assert sorted(r["id"] for r in rows) == list(range(50))
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["id"])] == sorted(k % 7 for k in range(50))
+    assert len({r["text"] for r in rows}) == 50
 
 
 def test_line_numbers_of_files_over_several_splits(spark, tmp_path):
