@@ -2,13 +2,14 @@
 GEN1-GEN3, AGG2-AGG7, AGG16, SMP1, SRT1, DOM31-DOM32).
 
 Keep-first de-duplication: texts are grouped by a 128-bit digest of their
-normal form, the first (priority, row index) per digest is an aggregate that
-is reduced map-side, and the rows are semi-joined with it, so a text crosses
-one exchange and no sort sees it; a key holding a third of all rows is one
-aggregate row per map task.  The three-corpus cascade of the study (internal
-keep-first, then drop what a higher-priority corpus holds) is provably the
-same as one keep-first over the union ordered by (priority, row index), so it
-costs one pass instead of five.
+normal form; the first (priority, row index) of a digest that occurs more than
+once is a numeric minimum in a hash aggregate, and the rows behind it are
+anti-joined away.  Digests and row numbers are all that is aggregated; where the
+repeated digests are few, they are broadcast and no text moves.  A key holding a
+third of all rows is one aggregate row per map task.  The three-corpus cascade
+of the study (internal keep-first, then drop what a higher-priority corpus
+holds) is provably the same as one keep-first over the union ordered by
+(priority, row index), so it costs one pass instead of five.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scoring import orig_class
 from tessera.functions.text import dedup_norm, word_count
 from tessera.operators.prefix import prefix_sums
-from tessera.session import materialize
+from tessera.session import materialize, small_side
 
 # Corpora in priority order, carved out of documents.source
 # by numeric suffix (src0-6, src7-13, src14-19).
@@ -165,25 +166,43 @@ def corpus_rows(documents: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- dedup
 
-def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """WIN1: keep the first row of every key in ``order`` (ascending, unique
-    within a key).  Not dropDuplicates, whose survivor is arbitrary.
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _digest(df: DataFrame, k: str) -> Column:
+    """A string key as 16 bytes, any other key as it is."""
+    return F.unhex(F.md5(F.col(k))) if dict(df.dtypes)[k] == "string" else F.col(k)
 
-    Skew-safe: the first (order...) per key is a min() aggregate, reduced
-    map-side, and rows are then semi-joined on (key, order) -- a hot key is
-    never sorted inside one task.  String keys take part as md5 digests, in
-    the aggregate and in the join.  NULL keys form one group, as in a window.
-    """
-    strings = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
 
-    def short(k):
-        return F.md5(F.col(k)) if k in strings else F.col(k)
+def _order_value(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order columns as one value: a number for one or two integers (a
+    numeric minimum stays in a hash aggregate), else a struct."""
+    types = dict(df.dtypes)
+    if all(types[o] in _INTEGERS for o in order):
+        if len(order) == 1:
+            return F.col(order[0]).cast("long")
+        if len(order) == 2 and types[order[0]] != "bigint":
+            return F.expr(f"CAST(CAST(`{order[0]}` AS DECIMAL(10,0)) * 10000000000000000000BD "
+                          f"+ CAST(`{order[1]}` AS DECIMAL(19,0)) AS DECIMAL(38,0))")
+    return F.struct(*order)
 
-    firsts = df.select(*[short(k).alias(f"_k_{k}") for k in key], *[F.col(o).alias(f"_o_{o}") for o in order]) \
-        .groupBy(*[f"_k_{k}" for k in key]).agg(F.min(F.struct(*[f"_o_{o}" for o in order])).alias("_f")).select(
-        *[f"_k_{k}" for k in key], "_f.*")
-    cond = [short(k).eqNullSafe(F.col(f"_k_{k}")) for k in key] + [F.col(o) == F.col(f"_o_{o}") for o in order]
-    return df.join(firsts, cond, "left_semi")
+
+def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """WIN1: keep the first row of every key in ``order`` (ascending, not NULL,
+    unique within a key).  Not dropDuplicates, whose survivor is arbitrary.
+
+    Skew-safe: the first order per repeated key is a min() aggregate, reduced
+    map-side, and the other rows of these keys are anti-joined -- a hot key is
+    never sorted inside one task, and a key that occurs once takes no part in
+    the join.  String keys take part as md5 digests.  NULL keys form one group,
+    as in a window.
+    """
+    keys = [f"_k{i}" for i in range(len(key))]
+    keyed = df.withColumns({**{n: _digest(df, k) for n, k in zip(keys, key)}, "_o": _order_value(df, order)})
+    repeated = keyed.groupBy(*keys).agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    firsts = small_side(repeated.select(*[F.col(n).alias(f"{n}_") for n in keys], "_first"))
+    behind = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in keys] + [F.col("_o") != F.col("_first")]
+    return keyed.join(firsts, behind, "left_anti").drop(*keys, "_o")
 
 
 def internal_dedup(rows: DataFrame) -> DataFrame:
@@ -199,18 +218,24 @@ def cascade_dedup(rows: DataFrame) -> DataFrame:
 def cascade_dedup_anti(rows: DataFrame) -> DataFrame:
     """JN2 / SET4: the study's literal cascade -- internal keep-first, then
     left-anti joins against the union of higher-priority key sets.  Same
-    result as :func:`cascade_dedup`; kept as the reference formulation."""
-    inner = internal_dedup(rows)
+    result as :func:`cascade_dedup`; kept as the reference formulation.
+
+    The cascade runs on (row, corpus, digest), written once; rows with their
+    texts are met by the kept row numbers at the end."""
+    keys = rows.select("row_idx", "corpus", F.md5("norm").alias("norm"))
+    inner = materialize(internal_dedup(keys))
     out = None
     seen = None
     for c in CORPORA:
         part = inner.where(F.col("corpus") == c)
         if seen is not None:
-            part = part.join(seen, "norm", "left_anti")
+            part = part.join(seen, part["norm"].eqNullSafe(seen["norm"]), "left_anti")
+        part = materialize(part)
         out = part if out is None else out.unionByName(part)
         keys = part.select("norm")
         seen = keys if seen is None else seen.union(keys).distinct()
-    return out
+    kept = small_side(out.select("row_idx", "corpus"))
+    return rows.join(kept, ["row_idx", "corpus"], "left_semi")
 
 
 def duplicate_stats(rows: DataFrame, group=("corpus",)) -> DataFrame:

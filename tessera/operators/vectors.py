@@ -6,7 +6,8 @@ semantics of a flat index; its plan is in ``block_search``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,79 @@ def encode_with(df: DataFrame, text_col: str, encoder: Callable[[list[str]], np.
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, embedding array<double>")
 
 
+TextEncoder = Callable[[list[str]], np.ndarray]
+
+
+def hashed_encoder(dim: int) -> TextEncoder:
+    """The vectors of :func:`hashed_embeddings` before normalisation, as an
+    encoder of text batches; buckets of tokens are kept for the task."""
+    known: dict[str, int] = {}
+
+    def bucket(token: str) -> int:
+        if token not in known:
+            if len(known) > 1_000_000:
+                known.clear()
+            known[token] = int(hashlib.md5(token.lower().encode()).hexdigest()[:8], 16) % dim
+        return known[token]
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for row, text in enumerate(texts):
+            at = [bucket(t) for t in text.split()]
+            if at:
+                out[row] = np.bincount(at, minlength=dim)
+        return out
+
+    return encode
+
+
+#: Texts as the variants of an index take them.
+VARIANTS: dict[str, Callable[[str], str]] = {"full": lambda t: t, "head": lambda t: " ".join(t.split()[:20])}
+#: Encoders by model name; callers add their own.
+ENCODERS: dict[str, TextEncoder] = {"hashed32": hashed_encoder(32), "hashed64": hashed_encoder(64)}
+
+
+def index_grid(chunks: DataFrame, models: Sequence[str], variants: Sequence[str], batch_size: int = 256,
+               encoders: dict[str, TextEncoder] | None = None) -> DataFrame:
+    """DOM3 for a grid: ``model, variant, source, chunk_id, embedding``
+    (L2-normalised) of every chunk (source, chunk_id, text) under each model and
+    variant.  The chunks are read once; a task encodes each batch of texts with
+    all of the encoders.  A NULL text is encoded like an empty one."""
+    chosen = {m: (encoders or ENCODERS)[m] for m in models}
+    shapes = {v: VARIANTS[v] for v in variants}
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, batch_size):
+                part = batch.slice(s, batch_size)
+                texts = [t or "" for t in part.column(2).to_pylist()]
+                for variant, shape in shapes.items():
+                    shaped = [shape(t) for t in texts]
+                    for model, encode in chosen.items():
+                        vecs = np.asarray(encode(shaped), dtype=np.float64)
+                        norms = np.linalg.norm(vecs, axis=1, keepdims=True)
+                        vecs = vecs / np.where(norms > 0, norms, 1.0)
+                        n, dim = vecs.shape
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([model] * n), pa.array([variant] * n), part.column(0), part.column(1),
+                             pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(vecs.ravel()))],
+                            names=["model", "variant", "source", "chunk_id", "embedding"])
+
+    return chunks.select(F.col("source").cast("string"), F.col("chunk_id").cast("long"), "text").mapInArrow(
+        run, "model string, variant string, source string, chunk_id long, embedding array<double>")
+
+
+def index_integrity(vectors: DataFrame, dims: dict[str, int]) -> DataFrame:
+    """DOM10 per index: rows, distinct ids, rows of another width than the
+    model's, vectors without a direction."""
+    dim = F.element_at(F.create_map(*[F.lit(x) for kv in dims.items() for x in kv]), F.col("model"))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return vectors.groupBy("model", "variant", "source").agg(
+        F.count(F.lit(1)).alias("n_vectors"), F.count_distinct("chunk_id").alias("n_ids"),
+        F.count_if(F.coalesce(F.size("embedding") != dim, F.lit(True))).alias("n_bad_width"),
+        F.count_if(norm == 0).alias("n_zero"))
+
+
 def integrity(vectors: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
     """DOM10: row count and rows whose width is not ``dim``."""
     return vectors.agg(F.count(F.lit(1)).alias("n_vectors"),

@@ -207,13 +207,52 @@ def q_log(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("snk6_vector_sink", "SELECT vec_id FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 3 = 2")
+@register("snk6_vector_sink", """
+SELECT vec_id, 'm' || (vec_id % 2) AS model, 'v' AS variant, 's' || (vec_id % 3) AS source,
+       list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS embedding FROM embeddings""")
 def q_vectors(spark, sf_dir):
     path = _folder(spark)
     e = read_table(spark, sf_dir, "embeddings")
     SK.write_vectors(e.select("vec_id", "embedding", F.concat(F.lit("m"), F.col("vec_id") % 2).alias("model"),
                               F.lit("v").alias("variant"), F.concat(F.lit("s"), F.col("vec_id") % 3).alias("source")), path)
-    return spark.read.parquet(path).where("model = 'm1' and source = 's2'").select("vec_id")
+    return spark.read.parquet(path).select(
+        "vec_id", "model", "variant", "source",
+        F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+
+
+# --- DOM3, DOM10, SNK6 over models, variants and sources; one index written again -----
+_GRID_MODELS, _GRID_VARIANTS = {"hashed32": 32, "hashed64": 64}, ("full", "head")
+
+
+def _grid_sql():
+    from tessera.functions.text import TOKEN
+    toks = f"regexp_extract_all(coalesce(text, ''), '{TOKEN}')"
+    return f"""
+WITH t AS (SELECT source, doc_id, {toks} AS full_t FROM documents),
+g AS (SELECT source, doc_id, m.model, m.dim, v.variant, CASE v.variant WHEN 'head' THEN full_t[1:20] ELSE full_t END AS t
+      FROM t, (VALUES ('hashed32', 32), ('hashed64', 64)) AS m(model, dim), (VALUES ('full'), ('head')) AS v(variant)),
+b AS (SELECT *, list_transform(t, lambda x: CAST(('0x' || substr(md5(lower(x)), 1, 8))::BIGINT % dim AS INTEGER)) AS slots FROM g),
+c AS (SELECT *, list_transform(range(dim), lambda i: CAST(len(list_filter(slots, lambda x: x = i)) AS DOUBLE)) AS e FROM b),
+n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM c)
+SELECT model, variant, source, count(*) AS n_vectors, count(DISTINCT doc_id) AS n_ids, CAST(0 AS BIGINT) AS n_bad_width,
+       count(*) FILTER (WHERE norm = 0) AS n_zero,
+       round(sum(CASE WHEN norm = 0 THEN 0.0 ELSE list_sum(list_transform(e, lambda x: x / norm)) END), 4) AS total
+FROM n GROUP BY ALL"""
+
+
+@register("dom3_index_grid", _grid_sql())
+def q_index_grid(spark, sf_dir):
+    path = _folder(spark)
+    chunks = read_table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("chunk_id"), "text")
+    grid = V.index_grid(chunks, list(_GRID_MODELS), _GRID_VARIANTS)
+    # one index is first written with vectors of another model's, then replaced
+    wrong = V.index_grid(chunks, ["hashed64"], ["head"]).withColumn("model", F.lit("hashed32"))
+    SK.write_vectors(grid.where("model <> 'hashed32' OR variant <> 'head'").unionByName(wrong), path)
+    SK.write_vectors(V.index_grid(chunks, ["hashed32"], ["head"]), path)
+    vectors = spark.read.parquet(path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    sums = vectors.groupBy("model", "variant", "source").agg(F.round(F.sum(total), 4).alias("total"))
+    return V.index_integrity(vectors, _GRID_MODELS).join(sums, ["model", "variant", "source"])
 
 
 @register("snk7_lookup_sink", "SELECT item_id AS chunk_id, text FROM benchmark")

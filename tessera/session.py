@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,6 +76,19 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def written(df):
+    """Cut lineage with a table written in the shared folder.
+
+    For tables that are joined again and again in a loop: a checkpoint keeps
+    the planner's size estimate, which for a join is the product of both sides,
+    so that its digits multiply with every round; a written table has the size
+    of its files.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 BROADCAST_MAX_ROWS = 100_000
 
 

@@ -53,8 +53,9 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SNK6: vectors partitioned by (model, variant, source)."""
-    df.write.mode(mode).partitionBy("model", "variant", "source").parquet(path)
+    """SNK6: vectors partitioned by (model, variant, source).  Overwriting
+    replaces the indexes that ``df`` holds and leaves all others."""
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("model", "variant", "source").parquet(path)
 
 
 def write_lookup(df: DataFrame, path: str, mode: str = "overwrite") -> None:

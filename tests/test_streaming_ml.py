@@ -80,6 +80,28 @@ def test_small_library_functions(spark):
     assert spark.read.parquet(os.path.join(d, "vectors")).where("model = 'm' AND variant = 'v'").count() == 1
 
 
+def test_index_grid_one_index_written_again(spark):
+    import numpy as np
+    from tessera.operators import vectors as V
+    from tessera.sources import sinks as SK
+    chunks = spark.createDataFrame([("a", 1, "x y"), ("a", 2, None), ("b", 1, "y " * 30)], "source string, chunk_id long, text string")
+    own = {"len": lambda ts: np.array([[len(t.split()), 1.0] for t in ts]), "hashed32": V.ENCODERS["hashed32"]}
+    grid = V.index_grid(chunks, ["len", "hashed32"], ["full", "head"], batch_size=1, encoders=own)
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-grid-"), "v")
+    SK.write_vectors(grid, path)
+    got = {(r["model"], r["variant"], r["source"]): tuple(r)[3:] for r in
+           V.index_integrity(spark.read.parquet(path), {"len": 2, "hashed32": 32}).collect()}
+    assert got["len", "full", "a"] == (2, 2, 0, 0) and got["hashed32", "head", "a"] == (2, 2, 0, 1) and len(got) == 8
+    # only the named index is replaced
+    SK.write_vectors(V.index_grid(chunks.where("chunk_id = 1 and source = 'a'"), ["len"], ["head"], encoders=own), path)
+    n = {(r["model"], r["variant"], r["source"]): r["count"] for r in
+         spark.read.parquet(path).groupBy("model", "variant", "source").count().collect()}
+    assert n["len", "head", "a"] == 1 and n["len", "head", "b"] == 1 and n["len", "full", "a"] == 2 and sum(n.values()) == 11
+    native = {r["chunk_id"]: r["embedding"] for r in V.hashed_embeddings(chunks.where("source = 'b'"), "chunk_id", "text", 32).collect()}
+    mine = spark.read.parquet(path).where("model = 'hashed32' and variant = 'full' and source = 'b'").first()["embedding"]
+    assert np.allclose(native[1], mine)
+
+
 _ROUTE = """
 import sys
 sys.path.insert(0, sys.argv[1])
