@@ -37,7 +37,7 @@ from tessera.session import materialize
 
 LIMIT = 4096
 #: Rows of the broadcast table of frequent pre-tokens at most.
-HEAD_ROWS = 200_000
+HEAD_ROWS = 500_000
 #: Occurrences in a block of texts that make a pre-token a proposal.
 PROPOSED = 2
 #: Counts of rare pre-tokens that a task keeps.
