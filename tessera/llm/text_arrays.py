@@ -89,6 +89,7 @@ def blocks(batches, column: str, limit: int = BLOCK_BYTES):
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()   # else a worker keeps the peak of all its batches
 
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import text_arrays as ta
+from tessera.session import materialize
 
 BUCKETS = 1 << 20
 TRAIN_ROWS = 12_000
@@ -33,6 +34,7 @@ EPOCHS = 200
 MIN_ROWS = 3
 MIN_Z = 3.0
 PREFIXES = (4, 6)
+BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 
 _WORD = np.zeros(256, dtype=bool)
@@ -132,19 +134,48 @@ def fold_of(doc_id):
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     """Fit on at most ``rows`` labelled documents outside fold 0.
 
-    The sample is taken by the smallest hash of the id; only its feature
-    buckets come to the driver.  Returns None when a class is missing.
+    The sample is taken by the smallest hash of the id; an id with both labels
+    counts as 0.  The documents of either label that hold a bucket are counted
+    in Spark; only occurrences of buckets that get a weight come to the driver.
+    Returns None when a class is missing.
     """
     known = (labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
-             .where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
+             .where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"))
              .where(fold_of(F.col("_id")) != 0)
              .withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(rows))
     picked = (docs.select(F.col("doc_id").alias("_id"), "text")
               .join(F.broadcast(known), "_id").select("_id", "text", "_y"))
 
+    def count(batches):
+        """Documents by label that hold a bucket; bucket -1 counts them all."""
+        for part in ta.blocks(batches, "text", BLOCK_BYTES):
+            sent, bucket, sent_row, _, _ = features(part.column(1))
+            y = part.column(2).to_numpy(zero_copy_only=False)
+            pair = np.unique((sent_row[sent].astype(np.int64) << 20) | bucket) if len(sent) else np.zeros(0, np.int64)
+            held = np.concatenate([pair & (BUCKETS - 1), np.full(len(y), -1)])
+            label = np.concatenate([y[pair >> 20], y])
+            found, at = np.unique(held, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array(np.bincount(at)), pa.array(np.bincount(at, weights=label).astype(np.int64))],
+                names=["bucket", "n", "toxic"])
+
+    seen = materialize(picked.mapInArrow(count, "bucket long, n long, toxic long").groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum("toxic").alias("toxic")))
+    whole = seen.where("bucket = -1").first()
+    if whole is None or whole["toxic"] in (0, whole["n"]):
+        return None
+    share = whole["toxic"] / whole["n"]
+    # fit_noisy_or decides by the same rule; a margin leaves rounding to it
+    z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    picks = seen.where((F.col("bucket") >= 0) & (F.col("n") >= MIN_ROWS) & (z > MIN_Z - 0.01))
+    useful = np.zeros(BUCKETS, dtype=bool)
+    useful[[r["bucket"] for r in picks.select("bucket").toLocalIterator()]] = True
+    useful = docs.sparkSession.sparkContext.broadcast(useful)
+
     def featurize(batches):
-        for part in ta.blocks(batches, "text"):
+        for part in ta.blocks(batches, "text", BLOCK_BYTES):
             sent, bucket, sent_row, _, _ = features(part.column(1))
+            sent, bucket = sent[useful.value[bucket]], bucket[useful.value[bucket]]
             base = np.searchsorted(sent_row, np.arange(part.num_rows))
             owner = sent_row[sent] if len(sent) else np.zeros(0, np.int64)
             key = np.unique((sent.astype(np.int64) << 20) | bucket)
@@ -160,8 +191,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
 
     got = picked.mapInArrow(featurize, "y int, feat binary, sent binary").toPandas()
     y = got["y"].to_numpy()
-    if not len(got) or y.min() == y.max():
-        return None
     return fit_noisy_or([np.frombuffer(x, np.int32) for x in got["feat"]],
                         [np.frombuffer(x, np.int32) for x in got["sent"]], y)
 
@@ -186,7 +215,7 @@ def score(docs: DataFrame, model) -> DataFrame:
 
     def run(batches):
         fitted = shared.value
-        for part in ta.blocks(batches, "text"):
+        for part in ta.blocks(batches, "text", BLOCK_BYTES):
             sent, bucket, sent_row, a, b = features(part.column(1))
             rows = part.num_rows
             p, keep = _log_clean(fitted, sent, bucket, sent_row, rows)
@@ -210,7 +239,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, thres
 
     def run(batches):
         fitted = shared.value
-        for part in ta.blocks(batches, "text"):
+        for part in ta.blocks(batches, "text", BLOCK_BYTES):
             if fitted is not None:
                 sent, bucket, sent_row, _, _ = features(part.column(part.schema.get_field_index("text")))
                 clean = np.exp(_log_clean(fitted, sent, bucket, sent_row, part.num_rows)[1])
