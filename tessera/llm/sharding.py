@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.session import materialize
+from tessera.session import bounded_broadcast, materialize
 
 SHARDS = 24
 ROUNDS = 4
@@ -104,9 +104,13 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     big = votes.select("g", "n").distinct()
     big = materialize(running_total(big.withColumn("one", F.lit(1)), ["one"], F.col("n"), ["g"], ["g"], "first"))
     big_rows = big.agg(F.sum("n")).first()[0] or 0
-    rows = rows.join(settled.select("g", "shard") if settled is not None else
-                     groups.select("g", F.lit(None).cast("int").alias("shard")).limit(0), "g", "left")
-    rows = rows.join(big.select("g", "first"), "g", "left")
+    # rows without a text have no group and take no part in the joins; tables of
+    # groups are broadcast within the bound, beyond it AQE splits a hot group
+    alone = rows.where("g is null").withColumns({"shard": F.lit(None).cast("int"), "first": F.lit(None).cast("long")})
+    rows = rows.where("g is not null").join(
+        bounded_broadcast(settled.select("g", "shard")) if settled is not None else
+        groups.select("g", F.lit(None).cast("int").alias("shard")).limit(0), "g", "left")
+    rows = rows.join(bounded_broadcast(big.select("g", "first")), "g", "left").unionByName(alone)
     one = F.lit(1).cast("long")
     placed = rows.where("shard is not null").drop("first")
     cut = running_total(rows.where("first is not null"), ["g"], one, ["doc_id"], ["doc_id"], "k")
