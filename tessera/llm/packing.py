@@ -36,7 +36,8 @@ CAPACITY = 4096
 END_ID = 1
 FILLINGS = 24
 NODES = 4_000
-CACHE_WORDS = 4_000_000
+CACHE_WORDS = 2_000_000
+BLOCK_BYTES = 1 << 20
 
 #: Fixed by the tokenizer file: contractions that its split pattern parts off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -176,7 +177,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def run(batches):
         if tokenizer_path not in _tokens:
             _tokens[tokenizer_path] = Tokens(tokenizer_path)
-        for part in ta.blocks(batches, "text"):
+        for part in ta.blocks(batches, "text", BLOCK_BYTES):
             rows = []
             texts = [t or "" for t in part.column(1).to_pylist()]
             for doc, got in zip(part.column(0).to_pylist(), _tokens[tokenizer_path].encode(texts)):
