@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import web as W
 from tessera.functions.text import WS, collapse_ws, hard_token_cap, strip, word_count
 from tessera.operators.corpus import keep_first
+from tessera.session import dealt, written
 
 # Fixed values of the listing-page parser: table-cell cleanup in order
 # (SCL13), the row filters (PRJ13), the result counter (SCL15), the coverage
@@ -45,8 +46,10 @@ def clean_cell(c: Column) -> Column:
 def table_rows(pages: DataFrame, md: str = "markdown") -> DataFrame:
     """SCL14 + PRJ13: markdown table rows -> (…, row_pos, term, language,
     sightings, offensiveness), skipping separators, short rows, header/UI
-    rows and rows whose three other cells are empty."""
-    lines = pages.select("*", F.posexplode(F.split(F.col(md), r"\r?\n")).alias("row_pos", "_raw"))
+    rows and rows whose three other cells are empty.  A page may hold very many
+    rows, so its lines are dealt over the tasks before they are parsed."""
+    lines = pages.select("*", F.posexplode(F.split(F.col(md), r"\r?\n")).alias("row_pos", "_raw")).drop(md)
+    lines = dealt(lines.where(F.col("_raw").contains("|")))
     line = strip("_raw")
     lines = lines.withColumn("_line", line).where(F.col("_line").startswith("|")) \
         .where(~F.col("_line").rlike(SEPARATOR_ROW))
@@ -55,7 +58,8 @@ def table_rows(pages: DataFrame, md: str = "markdown") -> DataFrame:
     lines = lines.withColumn("_parts", parts).where(F.size("_parts") >= 4)
     cells = [clean_cell(F.element_at("_parts", i + 1)).alias(n)
              for i, n in enumerate(("term", "language", "sightings", "offensiveness"))]
-    rows = lines.select(*[c for c in pages.columns if c != md], "row_pos", *cells)
+    # generated, not projected: filters on a projection would parse the cells once more each
+    rows = lines.select(*[c for c in pages.columns if c != md], "row_pos", F.inline(F.array(F.struct(*cells))))
     return rows.where((F.col("term") != "")
                       & ~F.lower("term").isin(HEADER_TERMS)
                       & ~F.lower("language").isin(HEADER_LANGUAGES)
@@ -81,7 +85,7 @@ def lexicon_entries(pages: DataFrame, label: str = "hate", source: str = "hateba
                                "coverage_note": F.lit(COVERAGE_NOTE)})
     rows = table_rows(pages).withColumn("source", F.lit(source)).withColumn("label", F.lit(label)) \
         .withColumnRenamed("url", "source_url")
-    kept = keep_first(rows, ["term", "language"], ["filter_order", "row_pos"])
+    kept = keep_first(written(rows), ["term", "language"], ["filter_order", "row_pos"])
     entry = F.format_string(
         ENTRY, "label", "term", "target_category", "filter_group", "language", "offensiveness", "sightings")
     body = F.format_string(
@@ -113,7 +117,7 @@ def filter_log(pages: DataFrame, n: int = 5) -> DataFrame:
 def first_terms(rows: DataFrame, by: str = "target_category", n: int = 15) -> DataFrame:
     """AGG18: the first n distinct terms per group (row_number <= n, so the
     partial top-n is cut before the shuffle; the list is bounded by n)."""
-    d = keep_first(rows, [by, "term"], ["filter_order", "row_pos"])
+    d = keep_first(written(rows.select(by, "term", "filter_order", "row_pos")), [by, "term"], ["filter_order", "row_pos"])
     w = Window.partitionBy(by).orderBy("filter_order", "row_pos")
     top = d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     return top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_rn", "term"))).alias("_l")) \
