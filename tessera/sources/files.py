@@ -23,11 +23,36 @@ def _columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != "value"]
 
 
-def text_files(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
+#: Ends a document in a packed text file, and what stands for it (and for itself) in names and bodies.
+RECORD, ESCAPE = "\x1e", "\x10"
+
+
+def pack_text_files(files: DataFrame, path: str) -> None:
+    """SRC5 writer: ``(file_name, raw)``, small text files, as a folder of a few
+    large ones.  A record is the name, a line end and the body; a million files
+    of their own would each be created, moved, listed and opened."""
+    both = F.concat_ws("\n", F.col("file_name"), F.coalesce("raw", F.lit("")))
+    coded = F.replace(F.replace(both, F.lit(ESCAPE), F.lit(ESCAPE + "p")), F.lit(RECORD), F.lit(ESCAPE + "s"))
+    files.select(coded.alias("value")).write.option("lineSep", RECORD).text(path)
+
+
+def _packed(spark: SparkSession, path: str) -> DataFrame:
+    """The ``file_name, raw`` of ``pack_text_files``."""
+    value = F.replace(F.replace("value", F.lit(ESCAPE + "s"), F.lit(RECORD)), F.lit(ESCAPE + "p"), F.lit(ESCAPE))
+    return spark.read.text(path, lineSep=RECORD).select(value.alias("_v")).select(
+        F.expr("substring(_v, 1, instr(_v, '\n') - 1)").alias("file_name"),
+        F.expr("substring(_v, instr(_v, '\n') + 1)").alias("raw"))
+
+
+def text_files(spark: SparkSession, path: str, suffix: str = ".txt", packed: bool = False) -> DataFrame:
     """SRC5 / SRC7: one row per file -- (file_name, file_id, text); only
-    files with ``suffix``; id = name without the suffix; body stripped."""
-    df = spark.read.text(path, wholetext=True)
-    df = df.select(F.col("_metadata.file_name").alias("file_name"), *_columns(df), F.col("value").alias("raw"))
+    files with ``suffix``; id = name without the suffix; body stripped.
+    ``packed``: the files lie in packed ones (``pack_text_files``)."""
+    if packed:
+        df = _packed(spark, path)
+    else:
+        df = spark.read.text(path, wholetext=True)
+        df = df.select(F.col("_metadata.file_name").alias("file_name"), *_columns(df), F.col("value").alias("raw"))
     stem = F.expr(f"substring(file_name, 1, length(file_name) - {len(suffix)})")
     return df.where(F.col("file_name").endswith(suffix)).select(
         "file_name", stem.alias("file_id"), *[c for c in df.columns if c not in ("file_name", "raw")],
@@ -35,12 +60,13 @@ def text_files(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFram
 
 
 def labelled_text_dir(spark: SparkSession, text_dir: str, meta: DataFrame, keep_labels=None,
-                      drop_labels=None, drop_empty: bool = True, id_col: str = "file_id") -> DataFrame:
+                      drop_labels=None, drop_empty: bool = True, id_col: str = "file_id",
+                      packed: bool = False) -> DataFrame:
     """SRC5 + JN1 + PRJ3 + PRJ4: text files joined to (``id_col``, label)
     metadata (inner join: a file without metadata is dropped), label
     whitelist or blacklist, empty-text drop; ordered by file name.  ``id_col``
     is the file's stem or a column of the folder."""
-    files = text_files(spark, text_dir)
+    files = text_files(spark, text_dir, packed=packed)
     j = files.join(meta.select(id_col, "label"), id_col)
     if keep_labels is not None:
         j = j.where(F.col("label").isin(list(keep_labels)))

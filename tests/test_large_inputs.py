@@ -54,3 +54,42 @@ def test_document_copies_of_every_twentieth_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = agrees(spark, "dom5_document_copies", str(tmp_path), ["documents"])
     assert {r[0] for r in got} == {0, 20, 40} and {r[1] for r in got} == set(range(0, 60, 10))
+
+
+def test_personal_data_is_learned_from_all_documents(spark):
+    from tessera.llm import pii
+    docs = spark.range(20_300).select(F.col("id").alias("doc_id"), F.lit("card 4111 1111 1111 1111 here").alias("text"))
+    got = pii.training_rows(docs).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    # the base pattern of cards and two generators match; equal candidates are one row a fold
+    assert got["n"] == 3 * 20_300 and got["rows"] <= 15
+
+
+def test_redaction_threshold_counts_all_documents(spark, monkeypatch):
+    from tessera.llm import pii
+    seen = []
+    threshold = pii._threshold
+    monkeypatch.setattr(pii, "_threshold", lambda bins: seen.append(sum(b["n"] for b in bins)) or threshold(bins))
+    text = F.when(F.col("id") % 2 == 0, "card 4111 1111 1111 1111 here").otherwise("card 4111 1111 1111 1112 here")
+    pii.redact(spark.range(20_300).select(F.col("id").alias("doc_id"), text.alias("text")))
+    assert sum(seen) == 3 * 20_300
+
+
+def test_rare_tokens_are_counted_in_all_documents(spark):
+    from tessera.llm import passages
+    docs = spark.range(12_000).select(F.col("id").alias("doc"), F.concat(F.lit("a b c d e "), "id").alias("text"))
+    assert int(passages.token_counts(docs).sum()) == 2 * 12_000
+
+
+@pytest.mark.parametrize("name", ["src5_text_directory", "jn1_text_metadata_join", "prj3_label_lists", "prj4_empty_text_drop"])
+def test_text_files_are_packed(spark, tmp_path, monkeypatch, name):
+    from tessera.plans import io_queries
+    odd = [" a\n b \r\n", "\x1e x \x10s \x10\x1ep\x10p", "", None, "\n", "ä b", "s\x1e\x1e", "\x10"]
+    spark.createDataFrame([(i, odd[i % len(odd)]) for i in range(200)], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3) for i in range(0, 260, 2)] + [(i, 1, i % 4) for i in range(1, 100, 2)],
+                          "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    paths, folder = [], io_queries._folder
+    monkeypatch.setattr(io_queries, "_folder", lambda spark: paths.append(folder(spark)) or paths[-1])
+    assert agrees(spark, name, str(tmp_path), ["documents", "labels"])
+    files = [f for p in paths for f in spark.read.text(p).inputFiles()]
+    assert 0 < len(files) < 20
