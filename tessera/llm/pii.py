@@ -8,10 +8,10 @@ by format and context, and those above their kind's threshold, calibrated to
 ``PRECISION`` on held-out candidates of the kind, are added where they overlap
 neither a base span nor a better candidate.
 
-The trees are fitted on the candidates of at most ``TRAIN_ROWS`` documents
-(those with the smallest hash of the id).  There are no span labels, so the
-labels are rules that the features do not see whole.  1 is a candidate that is
-or covers a valid base span; an obfuscated e-mail whose host ends in a domain
+The trees are fitted, and the thresholds calibrated, on the candidates of all
+documents with an id; candidates of equal features, label and fold are one row
+with their number as weight.  There are no span labels, so the labels are rules
+that the features do not see whole.  1 is a candidate that is or covers a valid base span; an obfuscated e-mail whose host ends in a domain
 of letters once its marks are undone; an IPv6 address of eight groups; a
 grouped card number that passes Luhn; a phone number without ``+`` of 9 to 15
 digits behind a word for phones; a secret with a known prefix or behind a word
@@ -22,7 +22,7 @@ inside the row: one scan, no explode, no shuffle.
 
 Positions are code points, ends exclusive.  Defined results: null and empty
 texts have no span; null ids and repeated rows are handled like any other
-row; an empty table gives no rows, and if the sample has no candidate of one
+row; an empty table gives no rows, and if there is no candidate of one
 of the two labels nothing is added to the base spans; extra columns are
 ignored, or kept by ``redact``.
 """
@@ -38,7 +38,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.session import materialize
 
-TRAIN_ROWS = 20_000
+#: Distinct candidates a task of the fit.
+TASK_ROWS = 50_000
 TREES = 12
 DEPTH = 3
 PRECISION = 0.95
@@ -170,11 +171,10 @@ _TRUE = {
 }
 
 
-def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``features..., label, fold`` of the candidates of a bounded sample."""
-    ids = (docs.select("doc_id").where("doc_id is not null").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    picked = with_spans(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+def training_rows(docs: DataFrame) -> DataFrame:
+    """``features..., label, fold, n``: the candidates of all documents with an
+    id; ``n`` of them are equal in all of these."""
+    picked = with_spans(docs.select("doc_id", "text").where("doc_id is not null"))
     text = F.coalesce(F.col("text"), F.lit(""))
     near = lambda x: F.substring(
         text, F.greatest(x["start"] - NEAR + 1, F.lit(1)), F.least(x["start"], F.lit(NEAR)))
@@ -192,7 +192,8 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     every = F.concat(F.transform("_raw", row(False)), F.transform("_more", row(True)))
     return (picked.select(F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("fold"),
                           F.explode(every).alias("c"))
-            .select("c.*", (F.col("fold") % 5).alias("fold")))
+            .select("c.*", (F.col("fold") % 5).alias("fold"))
+            .groupBy(*FEATURES, "label", "fold").agg(F.count("*").cast("double").alias("n")))
 
 
 def _tree(node, x: dict[str, Column]) -> Column:
@@ -221,19 +222,20 @@ def _threshold(bins: list) -> float:
     return threshold
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS):
+def fit(docs: DataFrame):
     """``(trees, weights, thresholds by kind)``, or None if a label is missing."""
-    data = materialize(training_rows(docs, rows))
+    data = materialize(training_rows(docs))
     sizes = {r["label"]: r["n"] for r in data.where("fold <> 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data)
-    parts = max(2, min(8, sum(sizes.values()) // 2000))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1).fit(
+    parts = max(2, sum(sizes.values()) // TASK_ROWS)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1, weightCol="n").fit(
         vectors.where("fold <> 0").repartition(parts, F.hash(*FEATURES)))
     scored = model.transform(vectors).select(
-        "kind", "label", "fold", F.floor(vector_to_array("probability")[1] * 50).cast("int").alias("bin"))
-    bins = scored.groupBy("kind", "bin", "fold").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()
+        "kind", "label", "fold", "n", F.floor(vector_to_array("probability")[1] * 50).cast("int").alias("bin"))
+    bins = scored.groupBy("kind", "bin", "fold").agg(
+        F.sum(F.col("label") * F.col("n")).alias("pos"), F.sum("n").alias("n")).collect()
     thresholds = [_threshold([b for b in bins if b["kind"] == k]) for k in range(len(KINDS))]
     # trees add up to half the log-odds
     java = model._java_obj.trees()
@@ -278,9 +280,9 @@ def _joined(spans: Column) -> Column:
         ":", name(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def personal_data(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``."""
-    spans = pii_spans(docs.select("doc_id", "text"), fit(docs, rows))
+    spans = pii_spans(docs.select("doc_id", "text"), fit(docs))
 
     def count(kind):
         return F.size(F.filter("_base", lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -290,11 +292,11 @@ def personal_data(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
                         _joined(F.col("_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``[KIND]``; spans that
     overlap become one mark (that of the first).  Texts without a span stay."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    spans = pii_spans(docs.select(F.struct(*columns).alias("row"), "text"), fit(docs, rows))
+    spans = pii_spans(docs.select(F.struct(*columns).alias("row"), "text"), fit(docs))
     ordered = F.sort_array(F.transform("_spans", lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     mark = lambda x: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["kind"] + 1)
