@@ -93,3 +93,15 @@ def test_text_files_are_packed(spark, tmp_path, monkeypatch, name):
     assert agrees(spark, name, str(tmp_path), ["documents", "labels"])
     files = [f for p in paths for f in spark.read.text(p).inputFiles()]
     assert 0 < len(files) < 20
+
+
+def test_encoders_share_a_bounded_number_of_tokens(monkeypatch):
+    import numpy as np
+    from tessera.operators import vectors as V
+    monkeypatch.setattr(V, "KNOWN_TOKENS", 50, raising=False)
+    known = {}
+    wide, narrow = V.hashed_encoder(64, known), V.hashed_encoder(32, known)
+    texts = [" ".join(f"t{i}" for i in range(j, j + 70)) for j in range(5)]
+    a, b = wide(texts), narrow(texts)
+    assert 0 < len(known) <= 50
+    assert np.array_equal(a[:, :32] + a[:, 32:], b) and a.sum() == 5 * 70
