@@ -3,6 +3,7 @@ contradicting labels, buckets of the same company, components over rounds."""
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import components, near_dups, toxicity
@@ -65,3 +66,23 @@ def test_hubs_of_every_place(spark):
     got = sorted((r["key"], r["hub"]) for r in later.collect())
     assert got == sorted((k, k + 3 * j) for k in range(3) for j in (1, 2, 3))
     assert later.where(F.col("component") != F.col("hub") * 10).count() == 0
+
+
+def test_links_of_a_dense_family_connect_it_with_few_rows():
+    """Two components alike in all pairs give one link, not one a pair."""
+    sets = [list(range(100))] * 40 + [list(range(5, 100))] * 40 + [list(range(60, 160))]
+    group = [1] * 40 + [2] * 40 + [3]
+    for block in ([0] * 81, [0] * 40 + [1] * 41):
+        got = near_dups.compared(75)(pa.table({
+            "id": list(range(81)), "shingles": sets, "component": group, "block": block}))
+        rows = list(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+        assert len(rows) == 1 and {group[i] for i in rows[0]} == {1, 2}
+    apart = near_dups.compared(75)(pa.table({
+        "id": [0, 1, 2], "shingles": sets[:2] + sets[-1:], "component": [1, 2, 3], "block": [0, 0, 1]}))
+    assert apart.num_rows == 0 and apart.schema.types == [pa.int64()] * 2    # of two blocks, only pairs between them
+
+
+def test_components_that_meet(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (1, 7), (1, 9), (2, 7), (2, 7), (3, 9), (4, 5), (4, 7)],
+                                 "key long, component long")
+    assert sorted(map(tuple, near_dups.met(rows).collect())) == [(5, 7), (5, 9)]
