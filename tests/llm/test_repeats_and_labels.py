@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import components, near_dups, toxicity
+from tessera.llm import components, near_dups, substrings, toxicity
 
 from .test_operators import prose
 
@@ -86,3 +86,23 @@ def test_components_that_meet(spark):
     rows = spark.createDataFrame([(1, 5), (1, 5), (1, 7), (1, 9), (2, 7), (2, 7), (3, 9), (4, 5), (4, 7)],
                                  "key long, component long")
     assert sorted(map(tuple, near_dups.met(rows).collect())) == [(5, 7), (5, 9)]
+
+
+def test_runs_travel_packed(spark):
+    texts = [prose(60, 5), "ab" * 4000, prose(60, 5) + " end", "short", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    runs = substrings._run_rows(docs, 50, 16)
+    assert runs.columns == ["packed", "context", "doc", "at"]
+    mask = (1 << substrings.KEY_CUT) - 1
+    n = {}
+    for r in runs.collect():
+        n[r["doc"]] = n.get(r["doc"], 0) + ((r["packed"] & mask) >> 1)
+    assert n == {k: len(texts[k]) - 49 for k in (0, 1, 2)}
+
+    far = (1 << 31) - 60
+    rows = spark.createDataFrame([(1, 5, 7, 0), (1, 8, 10, 0), (1, far, 2048, 2), (2, 0, far, 0), (2, 3, 1, 1)],
+                                 "doc long, at int, n int, kind int")
+    got = {r["doc"]: r for r in substrings._per_doc(rows).collect()}
+    opened = {k: [x.tolist() for x in substrings._unpacked(pa.array(r["open"], pa.int64()))] for k, r in got.items()}
+    assert got[1]["dup"] == [5, 18] and opened[1] == [[far], [2048], [2]]
+    assert got[2]["dup"] == [0, far] and opened[2] == [[3], [1], [1]]
