@@ -2,7 +2,9 @@
 contradicting labels, buckets of the same company, components over rounds."""
 
 import random
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -106,3 +108,23 @@ def test_runs_travel_packed(spark):
     opened = {k: [x.tolist() for x in substrings._unpacked(pa.array(r["open"], pa.int64()))] for k, r in got.items()}
     assert got[1]["dup"] == [5, 18] and opened[1] == [[far], [2048], [2]]
     assert got[2]["dup"] == [0, far] and opened[2] == [[3], [1], [1]]
+
+
+def test_rare_shingles_in_one_pass_of_bounded_blocks(spark, monkeypatch):
+    from tessera.llm import text_arrays as ta
+    texts = [prose(40 + k, k) for k in range(12)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rest = spark.createDataFrame([(k, k // 2) for k in range(1, 14)], "id long, component long")
+    monkeypatch.setattr(near_dups, "_slot_counts", lambda docs, wanted: np.zeros(near_dups.SLOTS, dtype=np.int64))
+    rows = near_dups.rare_keys(docs, rest, 75)
+    # one Python worker a task: a second one behind the first gets sets in batches of any size
+    assert len(re.findall(r"^[^(]*MapInArrow", rows._jdf.queryExecution().executedPlan().toString(), re.M)) == 1
+    want = []
+    for k, s in enumerate(near_dups.shingle_sets(pa.array(texts, pa.string()))):
+        if k and len(s):    # without counts the order is by hash
+            want += [(v, k // 2) for v in s[:len(s) + 1 - -(-len(s) * 75 // 100)].view(np.int64).tolist()]
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    monkeypatch.setattr(ta, "_powers", {})
+    for n in (0, 1, 65535, 65536, 65537, 200_000):
+        up, down = ta.powers(n)
+        assert n < len(up) == len(down) <= max(2 * n, 1 << 16)
