@@ -128,3 +128,30 @@ def test_rare_shingles_in_one_pass_of_bounded_blocks(spark, monkeypatch):
     for n in (0, 1, 65535, 65536, 65537, 200_000):
         up, down = ta.powers(n)
         assert n < len(up) == len(down) <= max(2 * n, 1 << 16)
+
+
+def test_pipeline_stages_bound_arrow_batches(spark):
+    import corpus_pipeline
+    from tessera import session
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(k, "x" * 4000) for k in range(4000)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([part.nbytes])], names=["n"])
+
+    before = spark.conf.get(key, None)
+    try:
+        for stage in [f for _, f in corpus_pipeline.STAGES]:
+            spark.conf.unset(key)
+            try:
+                stage(spark, docs, "/nowhere")
+            except Exception:       # no tables there; the bound is set before they are read
+                pass
+            got = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) >= 16_000_000 and max(got) < session.ARROW_BYTES + 100_000
+        spark.conf.set(key, "8m")
+        session.bounded_batches(spark)
+        assert spark.conf.get(key) == "8m"      # the session's own bound stays
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
