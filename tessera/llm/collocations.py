@@ -49,7 +49,10 @@ LONGEST = 3
 #: Bits of a filter: 16 a key, within these bounds (8 KB to 64 MB).
 BITS_LOW, BITS_HIGH = 16, 29
 _CHUNK = 16
-SALT = 16
+#: Salts of a word and of a phrase as parts: a frequent word is part of far more phrases than any phrase is.
+SALT, SALT_PHRASE = 16, 4
+#: Phrases whose texts are built at a time.
+TEXTS = 1 << 16
 
 _SPLIT = np.zeros(256, dtype=bool)
 _SPLIT[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = True
@@ -107,6 +110,32 @@ def _keys(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).view(ta.U64)
 
 
+def _firsts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a sorted array begins, and how often it stands there."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)])
+    return first, np.diff(np.append(first, len(ordered)))
+
+
+def _by_cell(block: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows ordered by their cell (the first column), and where each cell's rows begin."""
+    block = block.take(pa.array(np.argsort(_keys(block.column(0)), kind="stable")))
+    return block, _firsts(_keys(block.column(0)))[0]
+
+
+def _counted(key: np.ndarray, row: np.ndarray, cell: np.ndarray, firsts: np.ndarray):
+    """Distinct keys of each cell, their counts and the cell's first row.  Keys of
+    one cell stand together, so plain sorts do, with no index."""
+    cuts = [*np.searchsorted(row, firsts).tolist(), len(key)]
+    keys, counts, rows = [np.zeros(0, ta.U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r, lo, hi in zip(firsts.tolist(), cuts, cuts[1:]):
+        ordered = np.sort(key[lo:hi])
+        first, n = _firsts(ordered)
+        keys.append(ordered[first] ^ cell[r])
+        counts.append(n)
+        rows.append(np.full(len(n), r))
+    return np.concatenate(keys), np.concatenate(counts), np.concatenate(rows)
+
+
 class _Block:
     """Words of a block of texts with their hashes."""
 
@@ -131,19 +160,29 @@ class _Block:
             key, at = key[keep], at[keep]
         return key, at
 
+    def texts(self, at: np.ndarray, size: int) -> pa.Array:
+        """The ``size``-word phrases from the words ``at`` on, joined by spaces."""
+        which = at[:, None] + np.arange(size)
+        starts, length = self.starts[which], self.ends[which] - self.starts[which]
+        taken = length + (np.arange(size) < size - 1)
+        to = np.append(0, np.cumsum(taken.ravel()))
+        begin = to[:-1].reshape(taken.shape)
+        out = self.data[np.minimum(np.repeat((starts - begin).ravel(), taken.ravel()) + np.arange(to[-1]), len(self.data) - 1)]
+        out[(begin + length)[:, :-1]] = 0x20
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(to[::size].astype(np.int32)), pa.py_buffer(out))
+
 
 def word_counts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``cell, key, n``: occurrences of every word per shard of a language."""
     def run(batches):
         for block in ta.blocks(batches, "text"):
+            block, firsts = _by_cell(block)
             b = _Block(block)
             cell = _keys(block.column(0))
             key, at = b.grams(1)
-            key = key ^ cell[b.row[at]]
-            key, first, n = np.unique(key, return_index=True, return_counts=True)
+            key, n, row = _counted(key, b.row[at], cell, firsts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[b.row[first]].view(np.int64)), pa.array(key.view(np.int64)), pa.array(n)],
-                names=["cell", "key", "n"])
+                [pa.array(cell[row].view(np.int64)), pa.array(key.view(np.int64)), pa.array(n)], names=["cell", "key", "n"])
 
     return (_cells(docs, shards).select("cell", "text").mapInArrow(run, "cell long, key long, n long")
             .groupBy("cell", "key").agg(F.sum("n").alias("n")))
@@ -154,12 +193,13 @@ def _local(docs: DataFrame, size: int, passing: Filter, needs: DataFrame, shards
     reach their shard's support ``need``."""
     def run(batches):
         for block in ta.blocks(batches, "text"):
+            block, firsts = _by_cell(block)
             cell, need = _keys(block.column(0)), block.column(1).to_numpy()
             b = _Block(block)
             key, at = b.grams(size, cell, passing)
-            key, first, n = np.unique(key ^ cell[b.row[at]], return_index=True, return_counts=True)
+            key, n, row = _counted(key, b.row[at], cell, firsts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(n), pa.array(need[b.row[at[first]]])], names=["key", "n", "need"])
+                [pa.array(key.view(np.int64)), pa.array(n), pa.array(need[row])], names=["key", "n", "need"])
 
     rows = _cells(docs, shards).join(needs, "cell").select("cell", "need", "text")
     return (rows.mapInArrow(run, "key long, n long, need long")
@@ -186,23 +226,26 @@ def phrase_counts(docs: DataFrame, passing: dict[int, Filter], shards: int = SHA
             b = _Block(block)
             lang = block.column(1)
             cells = [_keys(block.column(2 + k)) for k in range(shards)]
-            raw = b.data.tobytes()
             for size, united in passing.items():
                 key, at = b.grams(size)
                 hit = np.zeros(len(key), dtype=bool)
                 for cell in cells:
                     hit |= united.hits(key ^ cell[b.row[at]])
                 key, at = key[hit], at[hit]
-                _, first, n = np.unique(key ^ cells[0][b.row[at]], return_index=True, return_counts=True)
-                at = at[first]
-                text = [" ".join([raw[b.starts[i + j]:b.ends[i + j]].decode() for j in range(size)]) for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [lang.take(pa.array(b.row[at])), pa.array(text, pa.string()), pa.array(np.full(len(at), size, np.int32)),
-                     pa.array(n)], names=["lang", "phrase", "size", "n"])
+                key ^= cells[0][b.row[at]]
+                order = np.argsort(key)
+                first, n = _firsts(key[order])
+                at = at[order[first]]
+                for i in range(0, len(at), TEXTS):
+                    some = at[i:i + TEXTS]
+                    yield pa.RecordBatch.from_arrays(
+                        [lang.take(pa.array(b.row[some])), b.texts(some, size), pa.array(n[i:i + TEXTS])],
+                        names=["lang", "phrase", "n"])
 
     every = [F.xxhash64(_lang(), F.lit(k)).alias(f"cell{k}") for k in range(shards)]
-    return (docs.select("text", _lang().alias("lang"), *every).mapInArrow(run, "lang string, phrase string, size int, n long")
-            .groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")))
+    size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1     # no word holds a space
+    return (docs.select("text", _lang().alias("lang"), *every).mapInArrow(run, "lang string, phrase string, n long")
+            .groupBy("lang", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", size.alias("size"), "n"))
 
 
 def _scored(cands: DataFrame, single: DataFrame) -> DataFrame:
@@ -212,19 +255,28 @@ def _scored(cands: DataFrame, single: DataFrame) -> DataFrame:
         F.struct(k.alias("k"), F.lit("l").alias("side"), F.array_join(F.slice(F.col("w"), F.lit(1), k), " ").alias("part")),
         F.struct(k.alias("k"), F.lit("r").alias("side"),
                  F.array_join(F.slice(F.col("w"), k + 1, F.col("size") - k), " ").alias("part")))))
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALT)).cast("int")
-    needed = cands.withColumn("w", word).select(
-        "lang", "phrase", "size", "n", F.explode(cuts).alias("c"), salt.alias("salt")) \
-        .select("lang", "phrase", "size", "n", "c.*", "salt")
-    known = single.select("lang", F.col("word").alias("part"), F.col("n").alias("f")).unionByName(
-        cands.where(F.col("size") < LONGEST).select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")))
-    known = known.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
-    got = needed.join(known, ["lang", "part", "salt"]).groupBy("lang", "phrase", "size", F.col("n").alias("a"), "k").agg(
-        F.max(F.when(F.col("side") == "l", F.col("f"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("f"))).alias("r"))
-    score = F.expr("(1000000BD * CAST(a AS DECIMAL(19,0)) * CAST(a AS DECIMAL(19,0))) div "
-                   "(CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
-    best = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("b")
-    return got.groupBy("lang", "phrase", "size", "a").agg(best).select("lang", "phrase", "size", "a", "b.l", "b.r", "b.score")
+    salt = F.pmod(F.xxhash64("phrase"), F.when(F.instr("c.part", " ") > 0, SALT_PHRASE).otherwise(SALT)).cast("int")
+    needed = cands.withColumn("w", word).select("lang", "phrase", "size", "n", F.explode(cuts).alias("c")) \
+        .select("lang", "phrase", "size", "n", "c.*", salt.alias("salt"))
+
+    def salted(rows, salts):
+        return rows.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+
+    known = salted(single.select("lang", F.col("word").alias("part"), F.col("n").alias("f")), SALT).unionByName(salted(
+        cands.where(F.col("size") < LONGEST).select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")), SALT_PHRASE))
+    sides = [F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("f"))).alias(f"{side}{k}")
+             for k in range(1, LONGEST) for side in "lr"]
+    got = needed.join(known, ["lang", "part", "salt"]).groupBy("lang", "phrase").agg(
+        F.max("size").alias("size"), F.max("n").alias("a"), *sides)
+
+    def cut(k):
+        score = F.expr("(1000000BD * CAST(a AS DECIMAL(19,0)) * CAST(a AS DECIMAL(19,0))) div "
+                       f"(CAST(l{k} AS DECIMAL(19,0)) * CAST(r{k} AS DECIMAL(19,0)))")
+        return F.when(F.col("size") > k, F.struct(
+            score.alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
+
+    best = F.array_min(F.array(*[cut(k) for k in range(1, LONGEST)])).alias("b")
+    return got.select("lang", "phrase", "size", "a", best).select("lang", "phrase", "size", "a", "b.l", "b.r", "b.score")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shards: int = SHARDS) -> DataFrame:

@@ -1,7 +1,10 @@
 """Merkle manifest, token counts and phrase collocations against plain versions."""
 
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as E
@@ -135,3 +138,24 @@ def test_collocation_scores_pass_64_bits(spark):
         cands.union(spark.createDataFrame([("en", "y z", 2, b - 1)], cands.schema)), single).collect()}
     assert got["x y"] == 1000000 * b * b // (a * a)
     assert got["x y z"] == min(1000000 * (b - 5) ** 2 // (a * (b - 1)), 1000000 * (b - 5) ** 2 // (b * a))
+
+
+def test_phrase_texts_and_counts_of_a_block():
+    """Phrases are cut out of a block's bytes as a whole, and keys are counted by sorts of one cell's rows."""
+    texts = ["Aa  b\té, x\x00y z", None, "", "one", "b é aa\nb é aa b \u3000q"]
+    cells = pa.array([7, 3, 7, 3, 3], pa.int64())
+    block, firsts = collocations._by_cell(pa.RecordBatch.from_arrays([cells, pa.array(texts)], names=["cell", "text"]))
+    assert firsts.tolist() == [0, 3]
+    b = collocations._Block(block)
+    pieces = {7: [["aa", "b", "é"], ["x\x00y", "z"]], 3: [["one"], ["b", "é", "aa"], ["b", "é", "aa", "b", "\u3000q"]]}
+    for size in (1, 2, 3):
+        want = Counter((c, " ".join(w[i:i + size])) for c, ps in pieces.items() for w in ps for i in range(len(w) - size + 1))
+        key, at = b.grams(size)
+        got = b.texts(at, size)
+        got.validate(full=True)
+        cell = np.array([3, 3, 3, 7, 7], np.uint64)
+        assert Counter(zip(cell[b.row[at]].tolist(), got.to_pylist())) == want
+        keys, n, row = collocations._counted(key, b.row[at], cell, firsts)
+        assert Counter(zip(cell[row].tolist(), n.tolist())) == Counter((c, k) for (c, _), k in want.items())
+        assert len(set(keys.tolist())) == len(want)
+    assert b.texts(np.zeros(0, np.int64), 2).to_pylist() == []
