@@ -3,12 +3,13 @@ contradicting labels, buckets of the same company, components over rounds."""
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import components, near_dups, substrings, toxicity
+from tessera.llm import components, near_dups, passages, substrings, toxicity
 
 from .test_operators import prose
 
@@ -155,3 +156,33 @@ def test_pipeline_stages_bound_arrow_batches(spark):
         assert spark.conf.get(key) == "8m"      # the session's own bound stays
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_passages_bound_batches_and_clean_shuffles(spark, monkeypatch):
+    """Every step of the passages runs with bounded Arrow batches and leaves no
+    shuffle files behind; the session's own setting comes back."""
+    from tessera import session
+    clean, batch = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+    seen, plain = [], passages.materialize
+    monkeypatch.setattr(passages, "materialize", lambda df: (
+        seen.append((spark.conf.get(clean), spark.conf.get(batch, None))), plain(df))[1])
+    text = prose(70, 901)
+    docs = spark.createDataFrame([(1, text), (2, prose(9, 902) + " " + text)], "doc_id long, text string")
+    before, bound = spark.conf.get(clean), spark.conf.get(batch, None)
+    try:
+        spark.conf.unset(batch)
+        got = passages.passage_duplicates(docs).collect()
+    finally:
+        spark.conf.unset(batch) if bound is None else spark.conf.set(batch, bound)
+    assert [(r.doc_id, r.match_doc_id) for r in got] == [(2, 1)]
+    assert len(seen) > 3 and set(seen) == {("true", str(session.ARROW_BYTES))}
+    assert spark.conf.get(clean) == before
+
+
+def test_compact_windows_of_rising_hashes_take_few_rounds():
+    """Each value looks past all later ones; one by one that takes n rounds of n steps."""
+    n = 150_000
+    began = time.time()
+    row, left, c, right = passages.compact_windows(np.arange(1, n + 1, dtype=np.uint64), np.array([0, n]), 46)
+    assert time.time() - began < 20
+    assert c.tolist() == left.tolist() == list(range(n - 45)) and set(right.tolist()) == {n - 1}
