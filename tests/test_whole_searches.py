@@ -17,3 +17,9 @@ def test_every_user_turn_is_a_query(spark, tmp_path):
         f"{tmp_path}/conversations.parquet")
     got = agrees(spark, "dom3_conversation_search", str(tmp_path), ["documents", "conversations"])
     assert {r[:2] for r in got} == {(c, t) for c in range(1, 8) for t in (1, 3)}
+
+
+def test_every_document_is_compared(spark, tmp_path):
+    _documents(spark, tmp_path, 60)
+    got = agrees(spark, "dom5_document_copies", str(tmp_path), ["documents"])
+    assert {r[0] for r in got} == set(range(60)) and len(got) == 60 * 5
