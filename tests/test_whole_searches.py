@@ -23,3 +23,15 @@ def test_every_document_is_compared(spark, tmp_path):
     _documents(spark, tmp_path, 60)
     got = agrees(spark, "dom5_document_copies", str(tmp_path), ["documents"])
     assert {r[0] for r in got} == set(range(60)) and len(got) == 60 * 5
+
+
+def _embeddings(spark, folder):
+    rows = [(i, [1.0 if j == i % 7 else 0.1 * (i % 3) for j in range(8)]) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+
+
+@pytest.mark.parametrize("name", ["dom4_topk_search"])
+def test_every_vector_is_a_query(spark, tmp_path, name):
+    _embeddings(spark, tmp_path)
+    got = agrees(spark, name, str(tmp_path), ["embeddings"])
+    assert {r[0] for r in got} == set(range(45))
