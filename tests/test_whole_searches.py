@@ -30,7 +30,7 @@ def _embeddings(spark, folder):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
 
 
-@pytest.mark.parametrize("name", ["dom4_topk_search"])
+@pytest.mark.parametrize("name", ["dom4_topk_search", "dom5_threshold_search"])
 def test_every_vector_is_a_query(spark, tmp_path, name):
     _embeddings(spark, tmp_path)
     got = agrees(spark, name, str(tmp_path), ["embeddings"])
